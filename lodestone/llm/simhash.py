@@ -48,6 +48,11 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
 
 
+def distance(a: int, b: int) -> int:
+    """Bits in which two signed 64-bit integers differ."""
+    return ((a ^ b) & 0xFFFF_FFFF_FFFF_FFFF).bit_count()
+
+
 class BKTree:
     """Fingerprints by Hamming distance. near() follows only edges that the triangle inequality leaves open."""
 
@@ -64,14 +69,14 @@ class BKTree:
         stack = [0]
         while stack:
             i = stack.pop()
-            d = (self.keys[i] ^ key).bit_count()
+            d = distance(self.keys[i], key)
             if d <= r:
                 found.append(i)
             for edge, child in self.children[i].items():
                 if d - r <= edge <= d + r:
                     stack.append(child)
         i = 0
-        while d := (self.keys[i] ^ key).bit_count():
+        while d := distance(self.keys[i], key):
             if (child := self.children[i].get(d)) is None:
                 self.children[i][d] = len(self.keys)
                 self.keys.append(key)
