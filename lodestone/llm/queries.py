@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.packing import op1_packing
 from lodestone.llm.simhash import op10_simhash
+from lodestone.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op4_toxicity": op4_toxicity,
     "op10_simhash": op10_simhash,
 }
 
