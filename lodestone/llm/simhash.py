@@ -167,6 +167,34 @@ def simhash_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return docs.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 7) -> DataFrame:
+    """The rows of df without those whose fingerprint is reachable from that of a row with a smaller id; all columns.
+
+    Of rows that repeat an id, one for each component stays. Rows with a null id stay only where their component has no
+    other. The texts move once, to meet the keys of the rows that stay.
+    """
+    names = [f"`{n}`" for n in df.columns]
+    hashed = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64())])
+
+    def run(parts):
+        for part in parts:
+            fps = pa.array([fingerprint(t.as_py(), width) for t in part.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), fps], schema=schema)
+
+    rows = documents_of(df, id_col, text_col).withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, h long, fp long")
+    rows = checkpointed(rows.groupBy("doc_id", "h", "fp").agg(F.count("*").alias("n")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    distinct = rows.groupBy("fp").agg(least.alias("least"))
+    roots = components(fingerprint_links(distinct.select("fp"), radius))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
+    stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("__id"), F.col("least.h").alias("__h"))
+    kept = df.join(stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (hashed == F.col("__h")), "left_semi")
+    if rows.where("n > 1").isEmpty():
+        return kept.select(*names)
+    return kept.withColumn("__h", hashed).dropDuplicates([id_col, "__h"]).select(*names)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash_components(table(spark, sf_dir, "documents"))

@@ -334,6 +334,20 @@ def score_toxicity(df: DataFrame, net: Network, *, id_col: str = "doc_id", text_
     return documents_of(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
 
+def drop_toxic(df: DataFrame, net: Network, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df that score below the threshold, with all their columns; no shuffle."""
+    at, shared = df.columns.index(text_col), df.sparkSession.sparkContext.broadcast(net)
+
+    def run(parts):
+        scorer = Scorer(shared.value)
+        for part in parts:
+            for a in range(0, part.num_rows, 512):
+                piece = part.slice(a, 512)
+                yield piece.filter(pa.array(scorer.scores([t or "" for t in piece.column(at).to_pylist()]) < threshold))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) -> Network:
     """A network fitted on at most per_class labelled rows of each class outside the held-out fold."""
     texts, known, share = labelled_sample(documents_of(docs), labels, "toxic", FOLDS, HELD_OUT, per_class)
