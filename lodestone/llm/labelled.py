@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows of each class that a fit takes at most, those with the lowest hash of their id.
-PER_CLASS = 2500
+PER_CLASS = 2000
 
 
 def remainder(id_col: str, folds: int) -> Column:
