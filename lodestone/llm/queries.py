@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.decontamination import op9_decontamination
+from lodestone.llm.neighbours import op7_neighbours
 from lodestone.llm.packing import op1_packing
 from lodestone.llm.pii import op8_pii
 from lodestone.llm.quality import op5_quality
 from lodestone.llm.simhash import op10_simhash
+from lodestone.llm.suffixes import op2_suffixes
 from lodestone.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
+    "op2_suffixes": op2_suffixes,
+    "op7_neighbours": op7_neighbours,
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
