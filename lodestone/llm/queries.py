@@ -12,18 +12,22 @@ from lodestone.llm.packing import op1_packing
 from lodestone.llm.pii import op8_pii
 from lodestone.llm.quality import op5_quality
 from lodestone.llm.simhash import op10_simhash
+from lodestone.llm.spans import OP6_SQL, op6_spans
 from lodestone.llm.suffixes import op2_suffixes
+from lodestone.llm.token_counts import op3_token_counts
 from lodestone.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_suffixes": op2_suffixes,
+    "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
-    "op2_suffixes": op2_suffixes,
+    "op6_spans": op6_spans,
     "op7_neighbours": op7_neighbours,
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_spans": OP6_SQL}
