@@ -114,7 +114,7 @@ def fit(texts: list[str], labels: list[int], *, share: float | None = None, step
     net, y, rng = Network(seed), np.array(labels, np.float64), np.random.default_rng(seed)
     here = float(y.mean()) if len(y) else 0.5
     share = here if share is None else share
-    if not 0 < here < 1:
+    if not len(y) or not 0 < here < 1:
         net.combine = np.array([np.log((share + 1e-3) / (1 - share + 1e-3)), 0, 0, 0])
         return net
     data = [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
