@@ -34,11 +34,13 @@ FORCED_STEP = 64
 #: Tokens that are planned at once; the memory of a task follows this and its longest document.
 BLOCK_TOKENS = 1 << 20
 #: Words whose ids a worker remembers, and as many pieces of words.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 150_000
 #: Documents that are encoded together.
-DOCUMENTS_AT_ONCE = 64
-#: ASCII marks that a piece of letters ends before.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+DOCUMENTS_AT_ONCE = 256
+#: A line of Latin letters and the ASCII marks after them, or of anything else.
+PIECES = re.compile(r"^(?:([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-/:-@\[-`{-~]*)|(.*))$", re.MULTILINE)
+#: Words on which the way through the tokenizer and that straight to its model must agree.
+TRIAL = ("the", "The", "qzxv", "supercalifragilistic", "A", "HtTp", "onenthsh", "Éçouç", "straße", "Žluťoučký", "ªµº", "ĦŁŋſ")
 
 SCHEMA = pa.schema(
     [
@@ -57,9 +59,10 @@ DDL = "doc_id long, start long, doc_tokens long, sequence_id long, offset long,
 class WordEncoder:
     """Token ids, as little-endian unsigned 32-bit bytes, of texts under a tokenizer to which white space is a hard border.
 
-    Text between two blanks is encoded once and remembered, as the tokenizer never looks across white space. A word of
-    letters with ASCII marks after it is two pieces to the tokenizer. Pieces that are new go to it in one line: where it
-    marks the last token of a piece, the line's ids are cut there, else the pieces are encoded one by one.
+    Text between two blanks is encoded once and remembered, as the tokenizer never looks across white space. New words
+    of Latin letters, with ASCII marks after them, are two pieces to the tokenizer. These letters go straight to its model
+    if a trial at the start shows that the way there only lowers their case and writes bytes as characters; everything
+    else goes through the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -68,45 +71,53 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.tails: dict[str, bytes] = {"": b""}
         tokens = self.tokenizer.get_vocab()
-        self.ends, self.last = np.zeros((2, max(tokens.values()) + 1), bool)
+        size = max(tokens.values()) + 1
+        self.bytes = [i.to_bytes(4, "little") for i in range(size)]
+        self.ends = np.zeros(size, bool)
         for token, i in tokens.items():
             self.ends[i] = re.fullmatch(r"[^\w\s]*[.!?][^\w\s]*", token.removesuffix("</w>")) is not None
-            self.last[i] = token.endswith("</w>")
-
-    def encode_each(self, fresh: list[str], into: dict[str, bytes]) -> None:
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            into[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode_pieces(self, fresh: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
-        cuts = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-        if len(cuts) == len(fresh):
-            line = ids.tobytes()
-            self.pieces.update(zip(fresh, [line[a:b] for a, b in zip([0, *cuts], cuts)]))
-        else:
-            self.encode_each(fresh, self.pieces)
-
-    def learn(self, fresh: set[str]) -> None:
-        names, stems, tails, odd = [], [], [], []
-        for w in fresh:
-            stem = w.rstrip(MARKS)
-            if stem.isalpha():
-                names.append(w)
-                stems.append(stem.lower() if stem.isascii() else stem)
-                tails.append(w[len(stem) :])
-            else:
+        # what a byte-level vocabulary writes for a byte: printable ones as they are, the others as the characters from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.characters = {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.direct = all(self.letters(w) == self.whole(w) for w in TRIAL)
+
+    def letters(self, word: str) -> bytes:
+        low = word.lower()
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(self.characters)
+        return b"".join([self.bytes[t.id] for t in self.tokenizer.model.tokenize(low)])
+
+    def whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, fresh: list[str]) -> None:
+        words, tails, odd = self.words, self.tails, []
+        table, tokenize, characters = self.bytes, self.tokenizer.model.tokenize, self.characters
+        for w, (stem, tail, _) in zip(fresh, PIECES.findall("\n".join(fresh))):
+            if not stem or not self.direct:
                 odd.append(w)
-        need = set(stems).union(tails)
-        if len(self.pieces) + len(need) > CACHE_WORDS:
-            self.pieces = {"": b""}
-        if new := list(need.difference(self.pieces)):
-            self.encode_pieces(new)
+                continue
+            low = stem.lower()
+            if not low.isascii():
+                low = low.encode().decode("latin-1").translate(characters)
+            ids = b"".join([table[t.id] for t in tokenize(low)])
+            if tail:
+                if tail not in tails:
+                    if len(tails) >= CACHE_WORDS:
+                        tails.clear()
+                    tails[tail] = self.whole(tail)
+                ids += tails[tail]
+            words[w] = ids
         if odd:
-            self.encode_each(odd, self.words)
-        get = self.pieces
-        self.words.update(zip(names, [get[a] + get[b] for a, b in zip(stems, tails)]))
+            for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+                words[w] = np.array(e.ids, "<u4").tobytes()
+
+    def forget(self) -> None:
+        """Workers live on between tasks; what they remember should not."""
+        self.words, self.tails = {}, {"": b""}
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -115,7 +126,7 @@ class WordEncoder:
         if len(self.words) + len(fresh) > CACHE_WORDS:
             self.words = {w: self.words[w] for w in distinct.difference(fresh)}
         if fresh:
-            self.learn(fresh)
+            self.learn(list(fresh))
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -149,20 +160,26 @@ def plan_cuts(position: np.ndarray, penalty: np.ndarray, window: int, close: boo
         found = np.searchsorted(position, position - p)
         for j in np.flatnonzero(position[np.minimum(found, n - 1)] == position - p).tolist():
             exact.setdefault(j, []).append(int(found[j]))
-    best, back, queue = [0.0] * n, [-1] * n, deque([0])
+    best, back = [0.0] * n, [-1] * n
+    queue, keys = deque([0]), deque([0.0])  # boundaries, and what each adds to the cost of a window that starts there
     for j in range(1, n):
-        while at[j] - at[queue[0]] > window:
+        here = at[j]
+        while at[queue[0]] < here - window:
             queue.popleft()
-        i = queue[0]
-        value = best[i] + window - (at[j] - at[i])
-        for k in exact.get(j, ()):
-            if best[k] < value:
-                value, i = best[k], k
-        best[j], back[j] = value + cost[j], i
-        key = best[j] + at[j]
-        while queue and best[queue[-1]] + at[queue[-1]] >= key:
+            keys.popleft()
+        i, value = queue[0], keys[0] + window - here
+        if j in exact:
+            for k in exact[j]:
+                if best[k] < value:
+                    value, i = best[k], k
+        value += cost[j]
+        best[j], back[j] = value, i
+        value += here
+        while keys and keys[-1] >= value:
+            keys.pop()
             queue.pop()
         queue.append(j)
+        keys.append(value)
     if close:
         j = n - 1
     else:
@@ -277,6 +294,7 @@ def pack(
         while packer.size:
             if rows := packer.flush(True):
                 yield to_batch(SCHEMA, rows)
+        words.forget()
 
     return docs.mapInArrow(run, DDL)
 
