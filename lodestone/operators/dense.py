@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import cosine_distance, norm
 
-#: Queries that go to the workers at once; more of them take further scans. With its vector a query is bounded by MAX_SIZE numbers.
-QUERY_BLOCK, MAX_SIZE = 4096, 8192
+#: Up to so many queries go to the workers in one broadcast; more of them meet shards of the vectors block by block.
+BROADCAST_QUERIES, MAX_SIZE = 4096, 8192
+#: Vectors of a shard and queries of a block, on average, where both meet in one task.
+SHARD, BLOCK = 32_768, 4096
 
 
 def _matrix(rows: list) -> np.ndarray:
@@ -22,57 +24,71 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+def _nearest(ids: list, q: np.ndarray, labels: list[set] | None, v: np.ndarray, own: list | None, k: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """Per query its k nearest rows, and all that tie with the last of them, so that ids can decide later."""
+    d = np.maximum(1 - q @ v.T, 0)
+    if labels is not None:
+        for i, allowed in enumerate(labels):
+            if allowed:
+                d[i, [x not in allowed for x in own]] = np.inf
+    last = min(k, d.shape[1]) - 1
+    limit = np.partition(d, last, axis=1)[:, last]
+    a, b = np.nonzero((d <= limit[:, None] + 1e-12) & np.isfinite(d))
+    return [ids[i] for i in a], b, d[a, b]
+
+
+def _values(column) -> np.ndarray:
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    flat = pa.concat_arrays([c.flatten() for c in parts])
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, *, depth: int = 1, label_col: str | None = None) -> DataFrame:
     """(query_id, rank, id, distance): the k nearest by cosine distance, ties to the smaller id.
 
     vectors(id, embedding[, label_col]), queries(query_id, vec[, labels]). The search is exact, so that fetching
     depth * k candidates and keeping k is the same as fetching k; the parameter stays for its callers. labels: only
     vectors whose label is in the list are ranked; null or empty lists don't filter. Null vectors take no part. Each
-    batch of vectors keeps its best k per query before anything is shuffled.
+    batch or shard of vectors keeps its best k per query before anything else is shuffled.
     """
+    spark = vectors.sparkSession
     use_labels = label_col is not None and "labels" in queries.columns
-    found = None
-    asked = queries.where(F.col("vec").isNotNull()).select("query_id", "vec", *(["labels"] if use_labels else []))
-    kind = dict(vectors.dtypes)["id"]
-    block: list = []
-    blocks = []
-    for row in asked.toLocalIterator():
-        if len(row["vec"]) > MAX_SIZE:
-            raise ValueError(f"a query vector has {len(row['vec'])} components; {MAX_SIZE} are the most")
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            blocks, block = [*blocks, block], []
-    blocks = [*blocks, block] if block else blocks
-    query_kind = dict(queries.dtypes)["query_id"]
-    ddl = f"query_id {query_kind}, id {kind}, distance double"
-    rows = vectors.where(F.col("embedding").isNotNull()).select("id", "embedding", *([F.col(label_col).alias("label")] if use_labels else []))
-    for some in blocks:
-        shared = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in some], _unit(_matrix([r["vec"] for r in some])), [set(r["labels"] or ()) for r in some] if use_labels else None))
-
-        def run(parts, shared=shared):
+    asked = queries.where(F.col("vec").isNotNull()).select("query_id", "vec", F.col("labels") if use_labels else F.lit(None).cast("array<string>").alias("labels"))
+    rows = vectors.where(F.col("embedding").isNotNull()).select("id", "embedding", F.col(label_col).alias("label") if use_labels else F.lit(None).cast("string").alias("label"))
+    ddl = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(vectors.dtypes)['id']}, distance double"
+    names = ["query_id", "id", "distance"]
+    some = asked.limit(BROADCAST_QUERIES + 1).collect()
+    if any(len(r["vec"]) > MAX_SIZE for r in some):
+        raise ValueError(f"a query vector has more than {MAX_SIZE} components")
+    if not some:
+        found = spark.createDataFrame([], ddl)
+    elif len(some) <= BROADCAST_QUERIES:
+        shared = spark.sparkContext.broadcast(([r["query_id"] for r in some], _unit(_matrix([r["vec"] for r in some])), [set(r["labels"] or ()) for r in some] if use_labels else None))
+
+        def scan(parts):
             ids, q, labels = shared.value
             for part in parts:
-                if not part.num_rows:
-                    continue
-                v = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1))
-                d = np.maximum(1 - q @ v.T, 0)
-                if labels is not None:
-                    own = part.column(2).to_pylist()
-                    for i, allowed in enumerate(labels):
-                        if allowed:
-                            d[i, [x not in allowed for x in own]] = np.inf
-                vec_ids = part.column(0)
-                order = np.argsort(vec_ids.to_numpy(zero_copy_only=False), kind="stable")
-                d = d[:, order]
-                # all that tie with the k-th are kept, so that ids decide later
-                limit = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-                a, b = np.nonzero((d <= limit[:, None] + 1e-12) & np.isfinite(d))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in a]), vec_ids.take(pa.array(order[b])), pa.array(d[a, b])], names=["query_id", "id", "distance"])
-
-        part = rows.mapInArrow(run, ddl)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], ddl)
+                if part.num_rows:
+                    a, b, d = _nearest(ids, q, labels, _unit(_values(part.column(1))), part.column(2).to_pylist() if labels is not None else None, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), part.column(0).take(pa.array(b)), pa.array(d)], names=names)
+
+        found = rows.mapInArrow(scan, ddl)
+    else:
+        n, m = rows.count(), asked.count()
+        shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
+        each = lambda c, size: F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias(c)
+        key = lambda c, size: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
+        left = rows.select(key("id", shards).alias("shard"), each("block", blocks), "*")
+        right = asked.select(each("shard", shards), key("query_id", blocks).alias("block"), "*")
+
+        def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+            if not x.num_rows or not y.num_rows:
+                return pa.table([x["id"].slice(0, 0) if n == "id" else y["query_id"].slice(0, 0) if n == "query_id" else pa.array([], pa.float64()) for n in names], names=names)
+            labels = [set(r or ()) for r in y["labels"].to_pylist()] if use_labels else None
+            a, b, d = _nearest(list(range(y.num_rows)), _unit(_values(y["vec"])), labels, _unit(_values(x["embedding"])), x["label"].to_pylist() if use_labels else None, k)
+            return pa.table([y["query_id"].take(pa.array(a, pa.int64())), x["id"].take(pa.array(b)), pa.array(d)], names=names)
+
+        found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meet, ddl)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 12), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 

@@ -18,7 +18,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from lodestone.functions.vectors import bucket_numbers, dot, norm, normalized, packed_bits, squared_distance, unpacked_bits
 
 #: Centroid numbers, times components, that a broadcast may hold.
-MOST_CENTROID_VALUES = 1 << 27
+MOST_CENTROID_VALUES = 1 << 25
 UNSEEN = -9999.0
 
 
@@ -117,7 +117,7 @@ def assign(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
 
 def residuals(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
     """assigned with r: what the centroid leaves of the vector."""
-    joined = assigned.join(F.broadcast(centroids), assigned["code"] == centroids["cid"])
+    joined = assigned.join(centroids, assigned["code"] == centroids["cid"])
     return joined.withColumn("r", F.zip_with("v", "c", lambda x, y: x.cast("double") - y)).drop("cid", "c")
 
 
@@ -139,7 +139,7 @@ def compress(with_r: DataFrame, codec: DataFrame, bits: int) -> DataFrame:
 
 def decompress(compressed: DataFrame, centroids: DataFrame, codec: DataFrame, bits: int) -> DataFrame:
     """(pid, pos, code, v): centroid plus bucket weights, at length 1."""
-    joined = compressed.join(F.broadcast(centroids), compressed["code"] == centroids["cid"]).crossJoin(F.broadcast(codec))
+    joined = compressed.join(centroids, compressed["code"] == centroids["cid"]).crossJoin(F.broadcast(codec))
     approximate = F.zip_with(F.col("c"), unpacked_bits("residual", bits), lambda c, b: c + F.get(F.col("weights"), b))
     return joined.select("pid", "pos", "code", normalized(approximate).alias("v"))
 
@@ -175,7 +175,7 @@ def settings(k: int, ncells: int | None = None, threshold: float | None = None,
 
 def centroid_scores(queries: DataFrame, centroids: DataFrame) -> DataFrame:
     """(query_id, qpos, cid, s) for query tokens(query_id, qpos, q); the centroids are the small side."""
-    return queries.crossJoin(F.broadcast(centroids)).select("query_id", "qpos", "cid", dot("q", "c").alias("s"))
+    return queries.crossJoin(centroids).select("query_id", "qpos", "cid", dot("q", "c").alias("s"))
 
 
 def probe(scores: DataFrame, ncells: int) -> DataFrame:

@@ -81,7 +81,10 @@ def search(index: LexicalIndex, questions: DataFrame, *, limit: int, fields: tup
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - B + B * F.col("length") / F.col("average")))
     scored = asked_terms.join(stats, "term").join(index.postings, ["term", "field"]).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-    everything = asked.where(F.size("words") == 0).select("query_id").crossJoin(index.documents.select("doc_id")).withColumn("score", F.lit(1.0))
+    # without a keyword all documents tie: the first ones of each label are all that a ranking of `limit` can show
+    first = F.row_number().over(Window.partitionBy("crop_label").orderBy("doc_id"))
+    leading = index.documents.select("doc_id", first.alias("n")).where(F.col("n") <= limit).select("doc_id")
+    everything = asked.where(F.size("words") == 0).select("query_id").crossJoin(leading).withColumn("score", F.lit(1.0))
     hits = scored.unionByName(everything)
     allowed = asked.select("query_id", "labels").where(F.size("labels") > 0)
     labelled = hits.join(allowed, "query_id", "left").join(index.documents.select("doc_id", "crop_label"), "doc_id")
