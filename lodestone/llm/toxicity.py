@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ LENGTH, STRIDE = 32, 24
 SIZE, HIDDEN = 8, 8
 WORD_ROWS, GRAM_ROWS = 1 << 17, 1 << 16
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
-CACHE_WORDS = 150_000
+CACHE_WORDS = 120_000
 #: Words of a text whose ids are made at once; a multiple of STRIDE, so that windows run on over the seams.
 PIECE = 1024 * STRIDE
 #: Every so many texts of the sample only calibrate the score.
@@ -135,27 +137,30 @@ class Network:
 
 
 class Lexicon:
-    """Rows of distinct words, in the order in which they came."""
+    """Rows of distinct words, in the order in which they came, in flat arrays."""
 
     def __init__(self):
         self.number: dict[str, int] = {}
-        self.rows: list[int] = []
-        self.grams: list[list[int]] = []
+        self.rows, self.grams, self.cuts = array("I"), array("H"), array("q", [0])
 
     def ids(self, words: list[str]) -> np.ndarray:
         for w in words:
             if w not in self.number:
                 self.number[w] = len(self.rows)
                 self.rows.append(word_row(w))
-                self.grams.append(gram_rows(w))
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+                self.grams.extend(gram_rows(w))
+                self.cuts.append(len(self.grams))
+        return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
 
     def flat(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lists = [self.grams[i] for i in some.tolist()]
-        return np.array([self.rows[i] for i in some.tolist()], np.int64), np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum(list(map(len, lists)))]).astype(np.int64)
+        """Word rows, n-gram rows, and where each word's n-grams end, of some words."""
+        cuts, grams = np.frombuffer(self.cuts, np.int64), np.frombuffer(self.grams, np.uint16)
+        start, n = cuts[some], cuts[some + 1] - cuts[some]
+        place = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.frombuffer(self.rows, np.uint32)[some].astype(np.int64), grams[place], np.append(0, np.cumsum(n))
 
 
-def evidence(rows: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
+def evidence(rows: Iterable[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
     """Shrunken log odds of the label, given that a row number occurs in a document."""
     count = np.zeros((2, size))
     for r, y in zip(rows, labels):
@@ -188,11 +193,10 @@ def fit(texts: list[str], labels: list[int], *, share: float | None = None, step
     lexicon = Lexicon()
     docs = [lexicon.ids(words_of(t)) for t, a in zip(texts, apart) if not a]
     known, y = y, y[~apart]
-    every, grams, cuts = lexicon.flat(np.arange(len(lexicon.rows)))
-    of = lambda d: np.unique(np.concatenate([grams[cuts[i] : cuts[i + 1]] for i in np.unique(d)]) if len(d) else d)
-    net.grams[:, 0] = evidence([of(d) for d in docs], y, GRAM_ROWS)
-    net.words[:, 0] = evidence([np.unique(every[d]) for d in docs], y, WORD_ROWS)
-    strength = net.vectors(every, grams, cuts)[:, 0]
+    net.grams[:, 0] = evidence((np.unique(lexicon.flat(np.unique(d))[1]) for d in docs), y, GRAM_ROWS)
+    net.words[:, 0] = evidence((np.unique(lexicon.flat(np.unique(d))[0]) for d in docs), y, WORD_ROWS)
+    parts = np.array_split(np.arange(len(lexicon.rows)), len(lexicon.rows) // 8192 + 1)
+    strength = np.concatenate([net.vectors(*lexicon.flat(p))[:, 0] for p in parts if len(p)] or [np.zeros(0, np.float32)])
     rng = np.random.default_rng(seed)
     shown, target = [], []
     for d, label in zip(docs, y):
@@ -204,13 +208,16 @@ def fit(texts: list[str], labels: list[int], *, share: float | None = None, step
         for k in sorted(chosen):
             shown.append(d[starts[k] : starts[k] + LENGTH])
             target.append(label)
+    if len(set(target)) < 2:
+        net.slope, net.shift = 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3)))
+        return net
     index, mask = pad_windows(shown)
     target = np.array(target, np.float32)
     weight = np.where(target > 0, 0.5 / max(target.mean(), 1e-6), 0.5 / max(1 - target.mean(), 1e-6)).astype(np.float32)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     seen_words, seen_grams, step = np.full(WORD_ROWS, 1e-3, np.float32), np.full(GRAM_ROWS, 1e-3, np.float32), 0
-    for _ in range(max(6, steps * 128 // len(target))):
+    for _ in range(max(6, steps // -(-len(target) // 128))):
         order = rng.permutation(len(target))
         for a in range(0, len(order), 128):
             some = order[a : a + 128]
@@ -262,7 +269,7 @@ class Scorer:
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.gates = np.zeros((1 << 14, 6 * HIDDEN), np.float32)
+        self.gates = np.zeros((1 << 12, 6 * HIDDEN), np.float32)
 
     def learn(self, fresh: list[str]) -> None:
         lists = [gram_rows(w) for w in fresh]
@@ -270,8 +277,8 @@ class Scorer:
         flat = np.fromiter((g for x in lists for g in x), np.int64, int(cuts[-1]))
         gates = self.net.gates(self.net.vectors(np.fromiter(map(word_row, fresh), np.int64, len(fresh)), flat, cuts))
         n = len(self.number)
-        while n + len(fresh) > len(self.gates):
-            self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)])
+        if n + len(fresh) > len(self.gates):
+            self.gates = np.concatenate([self.gates, np.zeros((max(len(fresh), len(self.gates) // 2), 6 * HIDDEN), np.float32)])
         self.gates[n : n + len(fresh)] = gates
         self.number.update(zip(fresh, range(n, n + len(fresh))))
 
