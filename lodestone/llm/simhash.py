@@ -10,6 +10,7 @@ the corpus.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -18,23 +19,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed, documents_of, table, to_batch
+from lodestone.llm.common import batches, checkpointed, documents_of, table
 from lodestone.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
+#: Near copies: candidates by word pairs within a radius, then wide fingerprints of five words at a similarity.
+CANDIDATE_WIDTH, CANDIDATE_RADIUS, SIMILAR_WIDTH, SIMILARITY = 2, 7, 5, 0.8
 
 
-def shingle_hashes(text: str, width: int, seed: int = SEED) -> np.ndarray:
-    """XXH64 of each run of `width` words, of the whole sequence if it is shorter, of nothing if there are no words."""
+def shingles(text: str, width: int) -> list[bytes]:
+    """Runs of `width` words, the whole sequence if it is shorter, nothing without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, "<u8")
-    line, digest = b" ".join(words), xxhash.xxh64_digest
+    line = b" ".join(words)
     if len(words) <= width:
-        return np.frombuffer(digest(line, seed), ">u8")
+        return [line] if words else []
     ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
-    starts = [0, *[e + 1 for e in ends]]
-    return np.frombuffer(b"".join([digest(line[a:b], seed) for a, b in zip(starts, ends[width - 1 :])]), ">u8")
+    return [line[a:b] for a, b in zip([0, *[e + 1 for e in ends]], ends[width - 1 :])]
+
+
+def shingle_hashes(text: str, width: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle, big-endian."""
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(g, seed) for g in shingles(text, width)]), ">u8")
 
 
 def fingerprint(text: str, width: int = SHINGLE) -> int:
@@ -48,6 +54,24 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
 
 
+def wide_fingerprint(text: str, width: int = SIMILAR_WIDTH) -> bytes:
+    """A SimHash of 256 bits, of two 128-bit hashes of each shingle."""
+    grams = shingles(text, width)
+    counts = np.zeros(256, np.int64)
+    for at in range(0, len(grams), 1 << 14):
+        some = grams[at : at + (1 << 14)]
+        for k in (0, 1):
+            bits = np.unpackbits(np.frombuffer(b"".join([xxhash.xxh3_128_digest(g, SEED + k) for g in some]), np.uint8))
+            counts[128 * k : 128 * k + 128] += bits.reshape(-1, 128).sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(grams)).tobytes()
+
+
+def wide_limit(similarity: float) -> int:
+    """Bits of 256 in which wide fingerprints of shingle sets of a similarity differ on average, and half a deviation more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(256 * share + 0.5 * math.sqrt(256 * share * (1 - share)))
+
+
 def distance(a: int, b: int) -> int:
     """Bits in which two signed 64-bit integers differ."""
     return ((a ^ b) & 0xFFFF_FFFF_FFFF_FFFF).bit_count()
@@ -106,6 +130,31 @@ def linked(keys: list[int], radius: int) -> list[tuple[int, int]]:
     return [(tree.keys[i], tree.keys[r]) for i in range(len(parent)) if (r := root(i)) != i]
 
 
+def linked_if_similar(keys: list[int], nodes: list[int], wide: np.ndarray, radius: int, limit: int) -> list[tuple[int, int]]:
+    """As linked, for nodes that have a key and a wide fingerprint each: both must be near. Nodes of one key share its place in the tree."""
+    tree, members, parent = BKTree(radius), [], list(range(len(keys)))
+    at: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for n, key in enumerate(keys):
+        near = tree.add(key)
+        if key not in at:
+            at[key] = len(members)
+            members.append([])
+        others = np.array([m for i in {*near, at[key]} if i < len(members) for m in members[i]], np.int64)
+        if len(others):
+            for m in others[np.bitwise_count(wide[others] ^ wide[n]).sum(1) <= limit].tolist():
+                a, b = root(m), root(n)
+                parent[max(a, b)] = min(a, b)
+        members[at[key]].append(n)
+    return [(nodes[i], nodes[r]) for i in range(len(keys)) if (r := root(i)) != i]
+
+
 def shard_keys(fp: Column, radius: int) -> Column:
     """Array of shard keys (longs): each pair of the radius + 2 blocks, with the pair's number."""
     n = radius + 2
@@ -114,32 +163,55 @@ def shard_keys(fp: Column, radius: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), block[i], block[j]) for k, (i, j) in enumerate(combinations(range(n), 2))])
 
 
+def runs_of_shards(parts):
+    """(rows as lists of columns) of each run of equal first columns in sorted batches."""
+    held_key, held = None, None
+    for part in parts:
+        keys = part.column(0).to_numpy()
+        cuts = np.flatnonzero(np.diff(keys)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+            if a == b:
+                continue
+            if held is not None and keys[a] == held_key:
+                held.append(part.slice(a, b - a))
+                continue
+            if held is not None and (len(held) > 1 or held[0].num_rows > 1):
+                yield held
+            held_key, held = keys[a], [part.slice(a, b - a)]
+    if held is not None and (len(held) > 1 or held[0].num_rows > 1):
+        yield held
+
+
+EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
 def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (u, v) that connect the classes of the distinct longs in `fp`; a hash that two shards share only adds comparisons."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(parts):
-        held_key, held = None, []
-        for part in parts:
-            keys, fps = part.column(0).to_numpy(), part.column(1).to_numpy()
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            out = []
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
-                if held and keys[a] == held_key:
-                    held.extend(fps[a:b].tolist())
-                    continue
-                if len(held) > 1:
-                    out += linked(held, radius)
-                held_key, held = keys[a], fps[a:b].tolist()
-            if out:
-                yield to_batch(schema, out)
-        if len(held) > 1 and (out := linked(held, radius)):
-            yield to_batch(schema, out)
+        found = (e for held in runs_of_shards(parts) for e in linked([x for p in held for x in p.column(1).to_pylist()], radius))
+        yield from batches(EDGE, found)
 
     shards = fingerprints.select(F.explode(shard_keys(F.col("fp"), radius)).alias("shard"), "fp")
     return shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "u long, v long")
 
 
+def similar_links(nodes: DataFrame, radius: int = CANDIDATE_RADIUS, limit: int | None = None) -> DataFrame:
+    """Edges (u, v) between nodes(node, fp, wide) whose keys and wide fingerprints are near."""
+    most = wide_limit(SIMILARITY) if limit is None else limit
+
+    def run(parts):
+        def edges():
+            for held in runs_of_shards(parts):
+                column = lambda i, held=held: [x for p in held for x in p.column(i).to_pylist()]
+                yield from linked_if_similar(column(1), column(2), np.frombuffer(b"".join(column(3)), np.uint64).reshape(-1, 4), radius, most)
+
+        yield from batches(EDGE, edges())
+
+    shards = nodes.select(F.explode(shard_keys(F.col("fp"), radius)).alias("shard"), "fp", "node", "wide")
+    return shards.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(run, "u long, v long")
+
+
 def fingerprints_of(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -167,27 +239,30 @@ def simhash_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return docs.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 7) -> DataFrame:
-    """The rows of df without those whose fingerprint is reachable from that of a row with a smaller id; all columns.
+def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of df without those that a row with a smaller id reaches over links; all columns.
 
-    Of rows that repeat an id, one for each component stays. Rows with a null id stay only where their component has no
-    other. The texts move once, to meet the keys of the rows that stay.
+    Rows link if their fingerprints of word pairs differ in at most 7 bits, and their 256-bit fingerprints of five-word
+    shingles in no more than sets of that similarity do. Equal texts always link. Of rows that repeat an id, one for each
+    component stays. Rows with a null id stay only where their component has no other. The texts move once, to meet the
+    keys of the rows that stay.
     """
     names = [f"`{n}`" for n in df.columns]
     hashed = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64()), ("wide", pa.binary())])
 
     def run(parts):
         for part in parts:
-            fps = pa.array([fingerprint(t.as_py(), width) for t in part.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), fps], schema=schema)
+            texts = part.column(1).to_pylist()
+            fps, wide = pa.array([fingerprint(t, CANDIDATE_WIDTH) for t in texts], pa.int64()), pa.array([wide_fingerprint(t) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), fps, wide], schema=schema)
 
-    rows = documents_of(df, id_col, text_col).withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, h long, fp long")
-    rows = checkpointed(rows.groupBy("doc_id", "h", "fp").agg(F.count("*").alias("n")))
+    rows = documents_of(df, id_col, text_col).withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, h long, fp long, wide binary")
+    rows = checkpointed(rows.groupBy("doc_id", "h", "fp", "wide").agg(F.count("*").alias("n")))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
-    distinct = rows.groupBy("fp").agg(least.alias("least"))
-    roots = components(fingerprint_links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
+    nodes = rows.groupBy("fp", "wide").agg(least.alias("least")).withColumn("node", F.xxhash64("fp", "wide"))
+    roots = components(similar_links(nodes, CANDIDATE_RADIUS, wide_limit(similarity)))
+    rooted = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("__id"), F.col("least.h").alias("__h"))
     kept = df.join(stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (hashed == F.col("__h")), "left_semi")
     if rows.where("n > 1").isEmpty():

@@ -401,3 +401,38 @@ def test_digests(spark):
     assert p["ids_crc32"] == zlib.crc32(np.array(ids[: p["length"]], "<u4").tobytes())
     base = pii.find_pii(docs).select(pii.digest(F.col("base")).alias("d")).first()["d"]
     assert base == "email:5:11,ip:15:22" and len(hashlib.sha256(base.encode()).hexdigest()) == 64
+
+
+def test_similar_links(spark):
+    r = np.random.default_rng(9)
+    base = [(int(r.integers(-(1 << 63), 1 << 63)), r.bytes(32)) for _ in range(12)]
+    nodes = []
+    for fp, wide in base:
+        for _ in range(10):
+            bits = np.unpackbits(np.frombuffer(wide, np.uint8))
+            bits[r.choice(256, r.integers(0, 30), replace=False)] ^= 1
+            nodes.append((len(nodes), fp ^ int(sum(1 << int(k) for k in r.choice(63, r.integers(0, 5), replace=False))), bytearray(np.packbits(bits).tobytes())))
+    ham = lambda a, b: int(np.unpackbits(np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)).sum())
+    df = spark.createDataFrame(nodes, "node long, fp long, wide binary")
+    for limit in (20, 41):
+        want = [(a[0], b[0]) for a in nodes for b in nodes if a[0] < b[0] and simhash.distance(a[1], b[1]) <= 7 and ham(a[2], b[2]) <= limit]
+        got = [tuple(e) for e in simhash.similar_links(df, 7, limit).collect()]
+        assert classes(got, range(len(nodes))) == classes(want, range(len(nodes)))
+
+
+def test_near_copies_go(spark):
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
+    docs = []
+    for d in range(40):
+        words = [r.choice(vocabulary) for _ in range(150)]
+        docs.append((d, " ".join(words)))
+        for k in range(1, 3):
+            edited = list(words)
+            edited[r.randrange(150)] = "edited"
+            docs.append((1000 * k + d, " ".join(edited)))
+        half = words[:75] + [r.choice(vocabulary) for _ in range(75)]
+        docs.append((5000 + d, " ".join(half)))
+    kept = {x["doc_id"] for x in simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert set(range(40)) | set(range(5000, 5040)) <= kept
+    assert len(kept) <= 80 + 4
