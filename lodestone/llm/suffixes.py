@@ -44,6 +44,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the k-gram at each place, of the two words of eight bytes at its start and the one at its end."""
+    n = len(data) - GRAM + 1
+    word = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,)).astype(np.uint64)
+    return mixed(word[:n] * _ODD[0] + mixed(word[8 : n + 8]) * _ODD[1] + word[12 : n + 12] * _ODD[2])
+
+
+def content_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each stretch's bytes, wherever they stand."""
+    return Prefixes(data).of(first, first + size) + size.astype(np.uint64)
+
+
 class Stretches:
     """Stretches of a buffer of documents: first and last window, anchor's position, document number, anchor's hash."""
 
@@ -73,10 +85,8 @@ class Stretches:
 
     @staticmethod
     def piece(data: np.ndarray, a: int, b: int):
-        own = data[a : b + WINDOW - 1]
-        n = len(own) - GRAM + 1
-        word = np.ndarray((len(own) - 7,), "<u8", np.ascontiguousarray(own), strides=(1,)).astype(np.uint64)
-        key = mixed(word[:n] * _ODD[0] + mixed(word[8 : n + 8]) * _ODD[1] + word[12 : n + 12] * _ODD[2])
+        key = gram_hashes(data[a : b + WINDOW - 1])
+        n = len(key)
         low = (key & ~_PLACE) | np.arange(n, dtype=np.uint64)
         width = 1
         while 2 * width <= ANCHORS:
@@ -309,33 +319,35 @@ def stretches_of_block(docs: pa.Table, repeated: pa.Table, buckets: int, fine: i
     if not len(found.key):
         return table_of([], STRETCHES)
     size = found.last - found.first + WINDOW
-    content = Prefixes(data).of(found.first, found.last + WINDOW) + size.astype(np.uint64)
+    content = content_hashes(data, found.first, size)
     order = np.lexsort((content, found.key))
     key, content, first, size, doc = found.key[order], content[order], found.first[order], size[order], ids[found.doc[order]]
     offset = found.anchor[order] - first
     start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1])))
     least, most = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
-    key, content, first, size, offset = (x[start] for x in (key, content, first, size, offset))
+    key, first, size, offset = (x[start] for x in (key, first, size, offset))
     rows = []
     for b, p in split_by(bucket_of(key, fine)):
-        rows.append((b, block, *blobs([key[p], content[p], least[p], most[p], offset[p].astype(np.uint8), size[p].astype(np.uint8), stretch_bytes(data, first[p], size[p])])))
+        packed = pa.compress(stretch_bytes(data, first[p], size[p]).tobytes(), codec="zstd", asbytes=True)
+        rows.append((b, block, *blobs([least[p], most[p], offset[p].astype(np.uint8), size[p].astype(np.uint8)]), packed))
     return table_of(rows, STRETCHES)
 
 
-STRETCHES = "bucket:i block:i key:b content:b least:b most:b offset:b size:b bytes:b"
+#: Both hashes of a stretch follow from its bytes, so that these alone are sent.
+STRETCHES = "bucket:i block:i least:b most:b offset:b size:b bytes:b"
 MARKS = "block:i key:b content:b first:b last:b least:b"
 
 
 def marks_of_bucket(rows: pa.Table) -> pa.Table:
     """Step 3: for each block the runs of windows of its stretches that a document with a smaller id has, with that id."""
-    key, row = joined(rows["key"], np.uint64)
-    content, _ = joined(rows["content"], np.uint64)
-    least, _ = joined(rows["least"], np.int64)
+    least, row = joined(rows["least"], np.int64)
     most, _ = joined(rows["most"], np.int64)
     offset = joined(rows["offset"], np.uint8)[0].astype(np.int64)
     size = joined(rows["size"], np.uint8)[0].astype(np.int64)
-    data, _ = joined(rows["bytes"], np.uint8)
+    total = np.bincount(row, size, rows.num_rows).astype(np.int64).tolist()
+    data = np.frombuffer(b"".join([pa.decompress(b, n, "zstd", asbytes=True) for b, n in zip(rows["bytes"].to_pylist(), total)]), np.uint8)
     at = np.cumsum(size) - size
+    key, content = gram_hashes(data)[at + offset], content_hashes(data, at, size)
     order = np.lexsort((content, key))
     k, c = key[order], content[order]
     new_key = np.append(True, k[1:] != k[:-1])
@@ -405,7 +417,7 @@ def cut_block(docs: pa.Table, marks: pa.Table) -> pa.Table:
         found = Stretches(data, ends)
         found = found.only(members(np.unique(key), found.key))
         if len(found.key):
-            own = Prefixes(data).of(found.first, found.last + WINDOW) + (found.last - found.first + WINDOW).astype(np.uint64)
+            own = content_hashes(data, found.first, found.last - found.first + WINDOW)
             pair = np.unique(np.stack([key, content], 1).view([("k", np.uint64), ("c", np.uint64)]).reshape(-1))
             wanted = np.stack([found.key, own], 1).view([("k", np.uint64), ("c", np.uint64)]).reshape(-1)
             # number the distinct pairs, then join the runs to the stretches by number
