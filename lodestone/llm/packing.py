@@ -105,11 +105,11 @@ class WordEncoder:
                 low = low.encode().decode("latin-1").translate(characters)
             ids = b"".join([table[t.id] for t in tokenize(low)])
             if tail:
-                if tail not in tails:
+                if (more := tails.get(tail)) is None:
                     if len(tails) >= CACHE_WORDS:
                         tails.clear()
-                    tails[tail] = self.whole(tail)
-                ids += tails[tail]
+                    tails[tail] = more = self.whole(tail)
+                ids += more
             words[w] = ids
         if odd:
             for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
@@ -156,9 +156,11 @@ def plan_cuts(position: np.ndarray, penalty: np.ndarray, window: int, close: boo
     at, cost = position.tolist(), penalty.tolist()
     powers = [1 << k for k in range(window.bit_length()) if 1 << k < window]
     exact: dict[int, list[int]] = {}
+    number = np.full(at[-1] + 1, -1, np.int32)
+    number[position] = np.arange(n)
     for p in powers:
-        found = np.searchsorted(position, position - p)
-        for j in np.flatnonzero(position[np.minimum(found, n - 1)] == position - p).tolist():
+        found = number[np.maximum(position - p, 0)]
+        for j in np.flatnonzero((position >= p) & (found >= 0)).tolist():
             exact.setdefault(j, []).append(int(found[j]))
     best, back = [0.0] * n, [-1] * n
     queue, keys = deque([0]), deque([0.0])  # boundaries, and what each adds to the cost of a window that starts there
