@@ -227,14 +227,22 @@ def token_windows(c: Column | str, size: int, overlap: int = 0) -> Column:
     if overlap >= size:
         raise ValueError("the overlap must be smaller than the window")
     step = size - overlap
-    pieces = F.regexp_extract_all(text, F.lit(rf"(\s*\S+)"), F.lit(1))
-    ends = F.aggregate(pieces, F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(p))))
-    n = F.size(pieces)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), n - overlap - 1), F.lit(step))).otherwise(F.array().cast("array<int>"))
+    pieces = F.regexp_extract_all(text, F.lit(r"(\s*\S+)"), F.lit(1))
 
-    def window(s: Column, i: Column) -> Column:
-        raw = F.array_join(F.slice(pieces, s + 1, size), "")
-        lead = F.length(raw) - F.length(F.regexp_replace(raw, r"^\s+", ""))
-        return F.struct(i.alias("number"), (F.when(s > 0, F.try_element_at(ends, F.greatest(s, F.lit(1)))).otherwise(0) + lead).alias("start"), F.regexp_replace(raw, r"^\s+", "").alias("text"))
+    def starts(p: Column) -> Column:
+        n = F.size(p)
+        return F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), n - overlap - 1), F.lit(step))).otherwise(F.array().cast("array<int>"))
 
-    return F.transform(starts, window)
+    def before(p: Column) -> Column:
+        """Characters before each window, added up over windows rather than over tokens."""
+        lengths = F.transform(starts(p), lambda s: F.length(F.array_join(F.slice(p, s + 1, step), "")))
+        return F.aggregate(lengths, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    def window(p: Column, at: Column, s: Column, i: Column) -> Column:
+        raw = F.array_join(F.slice(p, s + 1, size), "")
+        bare = F.regexp_replace(raw, r"^\s+", "")
+        return F.struct(i.alias("number"), (F.get(at, i) + F.length(raw) - F.length(bare)).alias("start"), bare.alias("text"))
+
+    # a lambda over an array of one binds what would else be computed again for every window
+    bound = lambda value, f: F.flatten(F.transform(F.array(value), f))
+    return bound(pieces, lambda p: bound(before(p), lambda at: F.transform(starts(p), lambda s, i: window(p, at, s, i))))
