@@ -23,7 +23,7 @@ from lodestone.llm.common import batches, checkpointed, documents_of, table
 from lodestone.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Near copies: candidates by word pairs within a radius, then wide fingerprints of five words at a similarity.
+#: Near copies: a Jaccard similarity of shingles of five words. Candidate width and radius are those of similar_links.
 CANDIDATE_WIDTH, CANDIDATE_RADIUS, SIMILAR_WIDTH, SIMILARITY = 2, 7, 5, 0.8
 
 
@@ -239,33 +239,223 @@ def simhash_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return docs.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def gram_set(text: str, width: int = SIMILAR_WIDTH) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(shingle_hashes(text, width).astype(np.uint64).view(np.int64))
+
+
+def prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The start of a set, in an order that all sets share, that meets the start of every set of that Jaccard similarity.
+
+    The order is by count in the sample and then by hash; any order would be exact, this one keeps common shingles out.
+    """
+    n = len(grams)
+    if len(common) and n:
+        at = np.searchsorted(common, grams).clip(max=len(common) - 1)
+        grams = grams[np.argsort(np.where(common[at] == grams, counts[at], 0), kind="stable")]
+    return grams[: n - math.ceil(similarity * n - 1e-9) + 1] if n else grams
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def possible(i: np.ndarray, n: np.ndarray, j: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m shingles whose first common one is at places i and j can have the similarity."""
+    return np.minimum(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - 1e-9
+
+
+def whole_runs(parts):
+    """Columns as arrays, of batches sorted by their first column, cut so that equal first values stay together."""
+    held = None
+    for part in parts:
+        if not part.num_rows:
+            continue
+        now = [c.to_numpy(zero_copy_only=False) for c in part.columns]
+        now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        held = [c[cut:] for c in now]
+        if cut:
+            yield [c[:cut] for c in now]
+    if held is not None:
+        yield held
+
+
+def run_starts(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+
+
+PLACE = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("pos", pa.int64()), ("size", pa.int64())])
+#: Texts of the sample that says which shingles are common; it steers the order only, not which links are found.
+ORDER_SAMPLE = 4000
+#: Bits of the map that tells most texts of no pair before they are shingled again.
+MAP_BITS = 1 << 25
+
+
+def common_grams(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingles, counts) of those that three or more texts(h, text) of a sample have."""
+    step = max(1, -(-texts.count() // ORDER_SAMPLE))
+    sample = texts.where(F.pmod("h", F.lit(step)) == 0).dropDuplicates(["h"]).select("text")
+
+    def run(parts):
+        for part in parts:
+            for t in part.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(gram_set(t.as_py()))], names=["g"])
+
+    found = sample.mapInArrow(run, "g long").groupBy("g").agg(F.count("*").alias("n")).where("n > 2").orderBy("g").toArrow()
+    return found["g"].to_numpy(), found["n"].to_numpy()
+
+
+def shared_places(rows: DataFrame) -> DataFrame:
+    """(key, node, pos, size): of rows(node, size, keys), the keys that more than one node has."""
+
+    def places(parts):
+        seen = set()
+        for part in parts:
+            out = []
+            for node, size, keys in zip(*(part.column(i).to_pylist() for i in range(3))):
+                if node not in seen:
+                    seen.add(node)
+                    k = np.frombuffer(keys, np.int64)
+                    out.append((k, np.full(len(k), node), np.arange(len(k)), np.full(len(k), size)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], schema=PLACE)
+
+    def shared(parts):
+        for columns in whole_runs(parts):
+            key, node = columns[:2]
+            fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+            columns = [c[fresh] for c in columns]
+            starts = run_starts(columns[0])
+            n = np.diff(np.append(starts, len(columns[0])))
+            more = np.repeat(n > 1, n)
+            yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in columns], schema=PLACE)
+
+    ddl = "key long, node long, pos long, size long"
+    return rows.select("node", "size", "keys").mapInArrow(places, ddl).repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared, ddl)
+
+
+def first_pairs(columns: list[np.ndarray], similarity: float):
+    """In each run one set against all others; in long runs, which one changes with the key."""
+    key, node, pos, size = columns[:4]
+    starts = run_starts(key)
+    n = np.diff(np.append(starts, len(key)))
+    mixed = (node ^ ((key & 7) * 0x1E3779B97F4A7C15)) * 0x2545F4914F6CDD1D
+    mixed = np.where(np.repeat(n > 16, n), mixed, node)
+    lead = np.repeat(np.lexsort((mixed, np.repeat(np.arange(len(n)), n)))[starts], n)
+    ok = (lead != np.arange(len(key))) & possible(pos, size, pos[lead], size[lead], similarity)
+    yield node[ok], node[lead[ok]]
+
+
+def other_pairs(columns: list[np.ndarray], similarity: float):
+    """In each run all pairs of sets that have different roots."""
+    key, node, pos, size, root = columns
+    starts = run_starts(key)
+    mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+    ends = np.append(starts[1:], len(key))
+    for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist()):
+        values, counts = np.unique(root[a:b], return_counts=True)
+        for i in (a + np.flatnonzero(root[a:b] != values[counts.argmax()])).tolist():
+            ok = (root[a:b] != root[i]) & possible(pos[a:b], size[a:b], pos[i], size[i], similarity)
+            yield node[a:b][ok], np.full(int(ok.sum()), node[i])
+
+
+def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, grams) of the texts(h, text) whose hash is in wanted(h), and of a few others."""
+    place = F.pmod("h", F.lit(MAP_BITS))
+    parts_of_map = wanted.groupBy(F.floor(place / 32768).cast("int").alias("b")).agg(F.bitmap_construct_agg(place % 32768).alias("bits")).collect()  # 1024 rows of 4 KB at most
+    bits = np.zeros((MAP_BITS // 32768, 4096), np.uint8)
+    for r in parts_of_map:
+        bits[r["b"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = wanted.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    def run(parts):
+        seen = set()
+        for part in parts:
+            h = part.column(0).to_numpy()
+            p = h % MAP_BITS
+            out = []
+            for i in np.flatnonzero(shared.value[p >> 3] >> (p & 7) & 1).tolist():
+                if int(h[i]) not in seen:
+                    seen.add(int(h[i]))
+                    grams = gram_set(part.column(1)[i].as_py()).tobytes()
+                    out.append((node_of(grams), grams))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], schema=pa.schema([("node", pa.int64()), ("grams", pa.binary())]))
+
+    return texts.mapInArrow(run, "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
+
+
+def node_of(grams: bytes) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(grams, SEED), "big", signed=True)
+
+
+def verified(places: DataFrame, pairs_of, texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) of those pairs whose sets have the Jaccard similarity."""
+
+    def run(parts):
+        for columns in whole_runs(parts):
+            for u, v in pairs_of(columns, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], schema=EDGE)
+
+    def verify(parts):
+        for part in parts:
+            u, v, a, b = (part.column(i).to_pylist() for i in range(4))
+            ok = [jaccard(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) >= similarity - 1e-12 for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(c, ok) if k], pa.int64()) for c in (u, v)], schema=EDGE)
+
+    pairs = checkpointed(places.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct())
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = sets_of(texts, nodes.join(ends, "node", "left_semi").select("h"))
+    side = lambda node, grams: sets.select(F.col("node").alias(node), F.col("grams").alias(grams))
+    both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
+    return checkpointed(both.mapInArrow(verify, "u long, v long"))
+
+
+def jaccard_roots(rows: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) over all links of at least that Jaccard similarity; nodes(node, h) has a text's hash for each set.
+
+    Sets that can link meet under a shingle of their prefixes. There one is compared with all others; then all pairs are
+    that these links leave in different components, so that a large group of near copies costs no square of its size.
+    """
+    places = checkpointed(shared_places(rows))
+    first = verified(places, first_pairs, texts, nodes, similarity)
+    roots = components(first)
+    rooted = places.join(roots, "node", "left").select("key", "node", "pos", "size", F.coalesce("root", "node").alias("root"))
+    rest = verified(rooted, other_pairs, texts, nodes, similarity)
+    return roots if rest.isEmpty() else components(first.union(rest))
+
+
 def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of df without those that a row with a smaller id reaches over links; all columns.
 
-    Rows link if their fingerprints of word pairs differ in at most 7 bits, and their 256-bit fingerprints of five-word
-    shingles in no more than sets of that similarity do. Equal texts always link. Of rows that repeat an id, one for each
-    component stays. Rows with a null id stay only where their component has no other. The texts move once, to meet the
-    keys of the rows that stay.
+    Rows link if their sets of five-word shingles have a Jaccard similarity of at least `similarity`; texts without words
+    link with each other. Of rows that repeat an id, one for each component stays. Rows with a null id stay only where
+    their component has no other. The texts move once, to meet the keys of the rows that stay.
     """
     names = [f"`{n}`" for n in df.columns]
     hashed = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64()), ("wide", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("keys", pa.binary())])
+    docs = documents_of(df, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    texts = docs.select("h", "text")
+    common = df.sparkSession.sparkContext.broadcast(common_grams(texts))
 
     def run(parts):
         for part in parts:
-            texts = part.column(1).to_pylist()
-            fps, wide = pa.array([fingerprint(t, CANDIDATE_WIDTH) for t in texts], pa.int64()), pa.array([wide_fingerprint(t) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), fps, wide], schema=schema)
+            sets = [gram_set(t.as_py()) for t in part.column(1)]
+            node, size = [node_of(g.tobytes()) for g in sets], [len(g) for g in sets]
+            keys = [prefix(g, *common.value, similarity).tobytes() for g in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *map(pa.array, (node, size)), pa.array(keys, pa.binary())], schema=schema)
 
-    rows = documents_of(df, id_col, text_col).withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, h long, fp long, wide binary")
-    rows = checkpointed(rows.groupBy("doc_id", "h", "fp", "wide").agg(F.count("*").alias("n")))
+    rows = checkpointed(docs.mapInArrow(run, "doc_id long, h long, node long, size long, keys binary"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
-    nodes = rows.groupBy("fp", "wide").agg(least.alias("least")).withColumn("node", F.xxhash64("fp", "wide"))
-    roots = components(similar_links(nodes, CANDIDATE_RADIUS, wide_limit(similarity)))
+    nodes = rows.groupBy("node").agg(least.alias("least"))
+    roots = jaccard_roots(rows, texts, nodes.select("node", F.col("least.h").alias("h")), similarity)
     rooted = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("__id"), F.col("least.h").alias("__h"))
     kept = df.join(stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (hashed == F.col("__h")), "left_semi")
-    if rows.where("n > 1").isEmpty():
+    if rows.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return kept.select(*names)
     return kept.withColumn("__h", hashed).dropDuplicates([id_col, "__h"]).select(*names)
 

@@ -436,3 +436,35 @@ def test_near_copies_go(spark):
     kept = {x["doc_id"] for x in simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
     assert set(range(40)) | set(range(5000, 5040)) <= kept
     assert len(kept) <= 80 + 4
+
+
+def test_near_copies_are_those_of_jaccard_similarity(spark):
+    """Every link of 0.8 or more, and no other, against brute force; among them a large group and a passage that many share."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    passage, docs = [word() for _ in range(60)], []
+
+    def edited(words, n):
+        words = list(words)
+        for i in r.sample(range(len(words)), n):
+            words[i] = word()
+        return words
+
+    for _ in range(60):
+        base = [word() for _ in range(r.randrange(20, 160))]
+        docs += [base, *[edited(base, k) for k in range(1, 5)], base[: int(len(base) * r.uniform(0.75, 0.9))]]
+    docs += [passage + [word() for _ in range(12)] for _ in range(60)]
+    large = [word() for _ in range(200)]
+    docs += [edited(large, r.randrange(0, 5)) for _ in range(80)]
+    r.shuffle(docs)
+    texts = [" ".join(d) for d in docs]
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both >= 0.8 * (len(a) + len(sets[j]) - both) - 1e-9 and root[i] != root[j]:
+                x, y = sorted((root[i], root[j]))
+                root = [x if z == y else z for z in root]
+    kept = {x["doc_id"] for x in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    assert kept == set(root)
