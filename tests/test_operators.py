@@ -238,3 +238,15 @@ def test_incremental_stream(spark, tmp_path):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(folder)
         index.start(indexing.incoming(spark, folder, schema), str(tmp_path / "cp")).awaitTermination()
     assert sorted(map(tuple, index.table().collect())) == [("a", "1"), ("b", "2"), ("c", "3")]
+
+
+def test_pair_statistics_of_more_than_2000_vectors(spark, monkeypatch):
+    """All pairs, over several blocks."""
+    monkeypatch.setattr(dense, "PAIR_BLOCK", 700)
+    v = np.random.default_rng(3).standard_normal((2101, 4))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    d = (1 - u @ u.T)[np.triu_indices(len(u), 1)]
+    got = dense.pair_statistics(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")).first()
+    assert got["pairs"] == len(d) == 2101 * 2100 // 2
+    assert list(got)[1:] == pytest.approx([d.mean(), np.median(d), d.std(), d.min(), d.max()], abs=1e-9)
+    assert dense.pair_statistics(spark.createDataFrame([(1, [1.0])], "id long, embedding array<double>")).first()["pairs"] == 0
