@@ -20,6 +20,8 @@ from lodestone.functions.vectors import bucket_numbers, dot, norm, normalized, p
 #: Centroid numbers, times components, that a broadcast may hold.
 MOST_CENTROID_VALUES = 1 << 25
 UNSEEN = -9999.0
+#: Token vectors of a shard and of a block of queries, on average, where all are compared.
+EXACT_SHARD, EXACT_BLOCK = 8192, 1024
 
 
 @dataclass(frozen=True)
@@ -247,8 +249,40 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "pid", "score")
 
 
-def search(queries: DataFrame, tokens: DataFrame, centroids: DataFrame, codes: DataFrame, lists: DataFrame, k: int, *, allowed: DataFrame | None = None) -> DataFrame:
-    """The whole search: probe, look up, prune, score, rank. tokens: exact or decompressed; allowed(pid): the passages that count."""
+def scored_exactly(queries: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
+    """(query_id, pid, score) by the sum of best matches, those below 0 as 0, over all passages: the best k of each shard, and all that tie with the last.
+
+    Shards of passages meet blocks of queries; a passage and a query stay whole.
+    """
+    shards, blocks = max(1, -(-tokens.count() // EXACT_SHARD)), max(1, -(-queries.count() // EXACT_BLOCK))
+    each = lambda c, size: F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias(c)
+    key = lambda c, size: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
+    left = tokens.select(key("pid", shards).alias("shard"), each("block", blocks), "pid", "v")
+    right = queries.select(each("shard", shards), key("query_id", blocks).alias("block"), "query_id", "q")
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        names = ["query_id", "pid", "score"]
+        if not x.num_rows or not y.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        x, y = x.sort_by("pid"), y.sort_by("query_id")
+        v, q = (np.array(c.to_pylist(), np.float64) for c in (x["v"], y["q"]))
+        pid, first = np.unique(x["pid"].to_numpy(), return_index=True)
+        query, start = np.unique(y["query_id"].to_numpy(), return_index=True)
+        score = np.add.reduceat(np.maximum(np.maximum.reduceat(q @ v.T, first, axis=1), 0), start, axis=0)
+        last = np.partition(-score, min(k, len(pid)) - 1, axis=1)[:, min(k, len(pid)) - 1]
+        i, j = np.nonzero(-score <= last[:, None] + 1e-8)
+        return pa.table([query[i], pid[j], score[i, j]], names=names)
+
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meet, "query_id long, pid long, score double")
+
+
+def search(queries: DataFrame, tokens: DataFrame, centroids: DataFrame, codes: DataFrame, lists: DataFrame, k: int, *, allowed: DataFrame | None = None, exact: bool = False) -> DataFrame:
+    """The whole search: probe, look up, prune, score, rank. tokens: exact or decompressed; allowed(pid): the passages that count.
+
+    exact: every passage that counts is scored by all its tokens; cells and pruning, which lose passages, take no part.
+    """
+    if exact:
+        return top_k(scored_exactly(queries, tokens.join(allowed, "pid", "left_semi") if allowed is not None else tokens, k), k)
     how = settings(k)
     scores = centroid_scores(queries, centroids)
     found = candidates(probe(scores, how.ncells), lists)

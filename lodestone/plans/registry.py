@@ -747,7 +747,7 @@ def li_topk(s, d):
 def li_search(s, d):
     c = centroids_of(s, d)
     codes = late.assign(tokens_of(s, d), c)
-    return late.search(token_queries(s, d), tokens_of(s, d), c, codes, late.inverted_lists(codes), 10)
+    return late.search(token_queries(s, d), tokens_of(s, d), c, codes, late.inverted_lists(codes), 10, exact=True)
 
 
 @query("li_kmeans")

@@ -250,3 +250,21 @@ def test_pair_statistics_of_more_than_2000_vectors(spark, monkeypatch):
     assert got["pairs"] == len(d) == 2101 * 2100 // 2
     assert list(got)[1:] == pytest.approx([d.mean(), np.median(d), d.std(), d.min(), d.max()], abs=1e-9)
     assert dense.pair_statistics(spark.createDataFrame([(1, [1.0])], "id long, embedding array<double>")).first()["pairs"] == 0
+
+
+def test_li_search_finds_what_brute_force_finds(spark):
+    """Recall at 10 of the registered query, on a table where its cuts would show."""
+    from lodestone.plans import registry
+
+    sf = "/root/testdata/sf0.1"
+    rows = registry.tokens_of(spark, sf).orderBy("pid", "pos").collect()
+    v = {}
+    for r in rows:
+        v.setdefault(r["pid"], []).append(r["v"])
+    v = {p: np.array(x) for p, x in v.items()}
+    want = set()
+    for q in (p for p in v if p % 50 == 0):
+        score = {p: np.maximum((v[q] @ x.T).max(1), 0).sum() for p, x in v.items()}
+        want |= {(q, p) for p in sorted(score, key=lambda p: (-round(score[p], 9), p))[:10]}
+    got = {(r["query_id"], r["pid"]) for r in registry.li_search(spark, sf).collect()}
+    assert len(got & want) / len(want) >= 0.99
