@@ -929,7 +929,7 @@ def an_pca95(s, d):
 
 @query("an_kmeans_select")
 def an_kmeans_select(s, d):
-    return analytics.cluster_choices(labelled(s, d), most=4)
+    return analytics.cluster_choices(labelled(s, d))
 
 
 @query("an_cluster_profile", "with c as (select label as cluster, 'src' || (vec_id % 20) as value, count(*) as n from embeddings group by all), k as (select *, row_number() over (partition by cluster order by n desc, value) as rank from c) select cluster, cast(rank as int) as rank, value, n from k where rank <= 3")

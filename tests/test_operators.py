@@ -268,3 +268,9 @@ def test_li_search_finds_what_brute_force_finds(spark):
         want |= {(q, p) for p in sorted(score, key=lambda p: (-round(score[p], 9), p))[:10]}
     got = {(r["query_id"], r["pid"]) for r in registry.li_search(spark, sf).collect()}
     assert len(got & want) / len(want) >= 0.99
+
+
+def test_kmeans_select_goes_to_ten_clusters(spark):
+    from lodestone.plans import registry
+
+    assert sorted(r["k"] for r in registry.an_kmeans_select(spark, "/root/testdata/sf0.001").collect()) == list(range(2, 11))
