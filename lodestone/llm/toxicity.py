@@ -28,12 +28,18 @@ FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 CACHE_WORDS = 120_000
 #: Words of a text whose ids are made at once; a multiple of STRIDE, so that windows run on over the seams.
 PIECE = 1024 * STRIDE
+#: Characters of the longest word that is read in one piece.
+LONG = 48
 #: Every so many texts of the sample only calibrate the score.
 CALIBRATE = 5
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The words of a text; one longer than LONG comes as pieces of LONG characters at most that overlap by half."""
+    words = WORD.findall(text.lower())
+    if all(len(w) <= LONG for w in words):
+        return words
+    return [p for w in words for p in ([w] if len(w) <= LONG else [w[i : i + LONG] for i in range(0, len(w) - LONG // 2, LONG // 2)])]
 
 
 def word_row(word: str) -> int:
@@ -41,8 +47,8 @@ def word_row(word: str) -> int:
 
 
 def gram_rows(word: str) -> list[int]:
-    """Rows of the character n-grams, 3 to 5 long, of a word in angle brackets (its first and last 24 characters if it is longer than 48)."""
-    w = f"<{word if len(word) <= 48 else word[:24] + word[-24:]}>"
+    """Rows of the character n-grams, 3 to 5 long, of a word in angle brackets."""
+    w = f"<{word}>"
     return [zlib.crc32(w[i : i + n].encode("utf-8", "replace")) % GRAM_ROWS for n in (3, 4, 5) for i in range(max(1, len(w) - n + 1))]
 
 

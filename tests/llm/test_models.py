@@ -184,3 +184,14 @@ def test_pipeline(spark, tmp_path):
     assert masked["text"].endswith("write to [EMAIL] now") and masked["n_chars"] == len(masked["text"])
     assert kept["packing"] == kept["pii"]
     assert {x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept["packing"]
+
+
+def test_the_middle_of_a_long_word_is_read():
+    from lodestone.llm import toxicity
+
+    long = "a_" * 40 + "poisonous" + "_b" * 40
+    pieces = toxicity.words_of(f"one {long} two")
+    assert pieces[0] == "one" and pieces[-1] == "two" and all(len(p) <= 48 for p in pieces)
+    assert any("poisonous" in p for p in pieces)
+    assert set(long[i : i + 5] for i in range(len(long) - 4)) <= {p[i : i + 5] for p in pieces for i in range(len(p) - 4)}
+    assert toxicity.words_of("a" * 48) == ["a" * 48]
