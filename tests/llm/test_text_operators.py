@@ -157,35 +157,60 @@ def test_suffix_sort():
 # --- spans of sentences
 
 
-def brute_spans(docs, run=3):
-    split = []
+def brute_spans(docs, run=2, words=20):
+    """Runs by their text; rows with equal ids don't cut each other."""
+    found = []
     for d, t in docs:
-        s = [x.strip(" ") for x in re.split(r"(?<=[.!?])[ \t]+|\n+", t or "")]
-        split.append((d, [x for x in s if x]))
-    first = {}
-    for d, s in sorted(split, key=lambda x: x[0]):
-        for i in range(len(s) - run + 1):
-            first.setdefault(tuple(re.sub("[ \t]+", " ", x).lower() for x in s[i : i + run]), (d, i))
+        s = [x.strip(" \t") for x in re.split(r"(?<=[.!?,;:])[ \t]+|\n+", t or "")]
+        s = [x for x in s if x]
+        norm = [re.sub("[ \t]+", " ", x).lower() for x in s]
+        size = [len(x.split(" ")) for x in norm]
+        own = []
+        for i in range(len(s)):
+            ends = [j for j in range(i + run, len(s) + 1) if sum(size[i:j]) >= words]
+            if ends or i == 0:
+                own.append((i, ends[0] if ends else len(s)))
+        found.append((d, s, norm, own))
+    least = {}
+    for d, _, norm, own in found:
+        for i, j in own:
+            key = tuple(norm[i:j])
+            least[key] = min(least.get(key, d), d)
     out = []
-    for d, s in split:
-        gone = set()
-        for i in range(len(s) - run + 1):
-            if first[tuple(re.sub("[ \t]+", " ", x).lower() for x in s[i : i + run])] != (d, i):
-                gone.update(range(i, i + run))
+    for d, s, norm, own in found:
+        gone, seen = set(), set()
+        for i, j in own:
+            key = tuple(norm[i:j])
+            if key in seen or least[key] < d:
+                gone.update(range(i, j))
+            seen.add(key)
         out.append((d, [x for i, x in enumerate(s) if i not in gone]))
     return sorted(out)
 
 
 def test_spans(spark):
     r = random.Random(5)
-    pool = [f"Sentence number {i} stands here." for i in range(12)]
-    docs = [(d, "".join(r.choice(pool) + r.choice([" ", "\n", "  "]) for _ in range(r.randrange(0, 9)))) for d in range(60)] + [(60, None), (61, "")]
-    got = spans.sentence_spans(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "kept").collect()
-    assert sorted(map(tuple, got)) == brute_spans(docs)
+    pool = [f"Sentence number {i} stands here, {'and more, ' * (i % 3)}as it does." for i in range(12)]
+    docs = [(d, "".join(r.choice(pool) + r.choice([" ", "\n", "  ", "\t ", " \n\t"]) for _ in range(r.randrange(0, 9)))) for d in range(60)] + [(60, None), (61, ""), (5, pool[0] * 4), (5, pool[0] * 4)]
+    for run, words in ((2, 20), (3, 0), (1, 12)):
+        got = spans.sentence_spans(spark.createDataFrame(docs, "doc_id long, text string"), run=run, words=words).select("doc_id", "kept").collect()
+        assert sorted(map(tuple, got)) == brute_spans(docs, run, words)
     assert spans.sentence_spans(odd(spark)).count() == len(ODD)
     assert spans.sentence_spans(empty(spark)).count() == 0
 
 
+def test_spans_of_planted_passages(spark):
+    """Passages of over 50 words, cut out of the middle of their sentences, are found; texts that share none stay whole."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 8)))
+    prose = lambda n: " ".join(word() + r.choice([""] * 12 + [".", ","]) for _ in range(n))
+    passages = [prose(60) for _ in range(40)]
+    docs = [(d, f"{prose(40)} {passages[d % 40]} {prose(40)}") for d in range(80)] + [(100 + d, prose(140)) for d in range(40)]
+    got = dict(spans.sentence_spans(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", F.size("removed")).collect())
+    assert sum(got[d] > 0 for d in range(40, 80)) >= 38
+    assert all(got[d] == 0 for d in [*range(40), *range(100, 140)])
+
+
 # --- token counts
 
 
