@@ -86,15 +86,17 @@ class Items:
         """Those n-grams of each item that occur in at most `rare` documents, or are of the rarer half of the item's."""
         often = frequency[np.searchsorted(self.distinct, self.gram)] if len(self.gram) else self.gram
         keep = often <= rare
-        for k in range(len(self.words)):
-            own = np.flatnonzero(self.item == k)
-            keep[own[np.argsort(often[own], kind="stable")][: (len(own) + 1) // 2]] = True
+        order = np.lexsort((often, self.item))
+        count = np.bincount(self.item, minlength=len(self.words))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count)
+        keep[order[place < (count[self.item[order]] + 1) // 2]] = True
         return Seeds(self, self.gram[keep], self.item[keep], self.at[keep])
 
 
 class Seeds:
     def __init__(self, items: Items, gram: np.ndarray, item: np.ndarray, at: np.ndarray):
         self.items, self.item, self.at = items, item, at
+        self.lengths = np.array([len(w) for w in items.words], np.int64)
         self.first = np.searchsorted(gram, items.distinct, "left")
         self.last = np.searchsorted(gram, items.distinct, "right")
 
@@ -107,7 +109,7 @@ class Seeds:
         where = np.repeat(at, n)
         rows = np.repeat(self.first[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
         item = self.item[rows]
-        length = np.array([len(w) for w in self.items.words])[item]
+        length = self.lengths[item]
         step = length // 2 + 1
         k = (where - self.at[rows]) // step
         pad = length // 2 + 4
@@ -228,7 +230,11 @@ def alignments(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, seed_words: int = SEED_WORDS) -> DataFrame:
-    """The rows of df whose text holds no copy of an item, with all their columns; nothing is shuffled but counts."""
+    """The rows of df whose text holds no copy of an item, with all their columns; nothing is shuffled but counts.
+
+    Null and empty texts stay, as do all rows where there is no item; ids and other columns are not read, so they may be
+    null, repeat or have any name; no rows give no rows.
+    """
     names, at = df.columns, df.columns.index(text_col)
     docs = df.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     for part in item_parts(benchmark, item_col, item_text_col):
@@ -249,11 +255,15 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, *, text_col: str = "t
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, contaminated, n_items, best_item, best_similarity) of every distinct id of df, best_item being the smallest of the best."""
+    """(doc_id, contaminated, n_items, best_item, best_similarity) of every distinct id of df, best_item being the smallest of the best.
+
+    Rows that repeat an id, or have none, count as one document each: contaminated if one of them is. Null and empty texts
+    are clean; no items leave all clean; no rows give no rows.
+    """
     pairs = checkpointed(alignments(df, benchmark, id_col=id_col, text_col=text_col, threshold=threshold))
     best = pairs.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n"), F.min(F.struct((-F.col("similarity")).alias("s"), F.col("item_id").alias("i"))).alias("b"))
     ids = df.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
-    return ids.join(best, "doc_id", "left").select("doc_id", F.col("n").isNotNull().alias("contaminated"), F.coalesce("n", F.lit(0)).cast("long").alias("n_items"), F.col("b.i").alias("best_item"), F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("best_similarity"))
+    return ids.alias("d").join(best.alias("b"), F.expr("d.doc_id <=> b.doc_id"), "left").select("d.doc_id", F.col("n").isNotNull().alias("contaminated"), F.coalesce("n", F.lit(0)).cast("long").alias("n_items"), F.col("b.b.i").alias("best_item"), F.coalesce(-F.col("b.b.s"), F.lit(0.0)).alias("best_similarity"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
