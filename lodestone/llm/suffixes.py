@@ -7,8 +7,8 @@ are a stretch: at most ANCHORS windows, and the bytes they cover.
 1. Documents are dealt into blocks of bounded size. Every block tells which anchors it has, as 32-bit hashes; a bucket
    of anchors answers which of them more than one document has. False matches only cost work.
 2. A block sends its stretches with such anchors, equal ones once, with the smallest and the largest document id.
-3. A bucket finds for each window the smallest id among the equal windows. An anchor with one stretch is done; else the
-   suffixes at its windows are bucketed by anchor, place and outer bytes and merge-sorted. Two suffixes are compared by
+3. A bucket finds for each window the smallest id among the equal windows. Its suffixes are merge-sorted among those that
+   have the same anchor at the same place; a stretch that is alone under its anchor has nothing to be sorted with. Two suffixes are compared by
    the length of their common extension, found by binary search over prefix polynomial hashes; neighbours that the
    hashes call equal are compared byte by byte before they count as equal.
 4. A block marks the windows whose smallest id is smaller than their own document's, and cuts out what they cover.
@@ -192,12 +192,9 @@ class SuffixSorter:
 
 def smallest_of_windows(sorter: SuffixSorter, suffix: np.ndarray, group: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For each suffix, the smallest `least` among those with an equal window in its group."""
-    data = sorter.data
-    eight = lambda p: np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))[p]
-    head, tail = eight(suffix), eight(suffix + WINDOW - 8)
-    order = np.lexsort((tail, head, group))
-    s, g, h, t = suffix[order], group[order], head[order], tail[order]
-    new = np.append(True, (g[1:] != g[:-1]) | (h[1:] != h[:-1]) | (t[1:] != t[:-1]))
+    order = np.argsort(group, kind="stable")
+    s, g = suffix[order], group[order]
+    new = np.append(True, g[1:] != g[:-1])
     number = np.cumsum(new) - 1
     starts = np.flatnonzero(new)
     length = np.diff(np.append(starts, len(s)))
