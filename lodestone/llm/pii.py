@@ -11,10 +11,11 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed, table
+from lodestone.llm.common import checkpointed, table, unused
 
 KINDS = ("email", "ip", "card", "phone")
 DIGITS = re.compile(r"[0-9]+")
@@ -26,7 +27,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 
 #: Distinct seeds that a pattern must have met; rounds; scores from which a pattern and an instance count.
 SUPPORT, ROUNDS, CONFIDENT, ACCEPTED = 5, 3, 0.9, 0.8
-#: Characters of a longer token that tell instances apart; words further away than REACH characters are no context.
+#: Characters of a token above which its hash stands for it; words further away than REACH characters are no context.
 INSTANCE, REACH = 80, 60
 
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
@@ -90,9 +91,17 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     return ([f"{before[0]} {before[1]} _"] if len(before) == 2 else []) + ([f"{before[-1]} _ {after[0]}"] if before and after else [])
 
 
+def instance_of(token: str) -> str:
+    """A token's name in the graph; a long one's is a hash of all of it, with its @ and as many of its digits as are asked for."""
+    if len(token) <= INSTANCE:
+        return token
+    digest = xxhash.xxh3_128_hexdigest(token.encode("utf-8", "surrogatepass")).translate({ord(c): chr(ord("g") + k) for k, c in enumerate("0123456789")})
+    return digest + "@" * ("@" in token) + "".join(DIGITS.findall(token))[:4]
+
+
 def occurrences(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, str, str | None, int, int]]:
     """(pattern, instance, kind or None, start, end) of the seeds and of all other tokens with a digit or an @."""
-    out = [(p, text[a:b][:INSTANCE], kind, a, b) for kind, a, b in found for p in patterns(text, a, b)]
+    out = [(p, instance_of(text[a:b]), kind, a, b) for kind, a, b in found for p in patterns(text, a, b)]
     taken = sorted((a, b) for _, a, b in found)
     k = end = 0
     for at in sorted([*(m.start() for m in DIGITS.finditer(text)), *(m.start() for m in re.finditer("@", text))]):
@@ -112,7 +121,7 @@ def occurrences(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str,
         core = text[a:b]
         a, b = a + len(core) - len(core.lstrip("([{\"'")), b - len(core) + len(core.rstrip(".,;:!?)]}\"'"))
         if a < b:
-            out += [(p, text[a:b][:INSTANCE], None, a, b) for p in patterns(text, a, b)]
+            out += [(p, instance_of(text[a:b]), None, a, b) for p in patterns(text, a, b)]
     return out
 
 
@@ -120,10 +129,16 @@ SPAN = "array<struct<kind:string,start:long,end:long>>"
 SEEN = "array<struct<pattern:string,instance:string,kind:string,start:long,end:long>>"
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A key that is the same for the same id and text."""
+    doc_id, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.xxhash64(text).cast("string"), F.length(text).cast("string"))
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, and a key that is the same for the same id and text."""
+    """doc_id, text and key."""
     doc_id, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return df.select(doc_id.alias("doc_id"), text.alias("text"), F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.xxhash64(text).cast("string"), F.length(text).cast("string")).alias("key"))
+    return df.select(doc_id.alias("doc_id"), text.alias("text"), row_key(id_col, text_col).alias("key"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -188,13 +203,13 @@ def find_pii(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
 def redact(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT) -> DataFrame:
     """df with every span of its text replaced by its kind in brackets; overlapping spans become one, named after the first.
 
-    The other columns stay as they are, and so do rows without a span. Null texts stay null.
+    The other columns stay as they are, whatever their names, and so do rows without a span. Null texts stay null; ids
+    may be null or repeat; no rows give no rows.
     """
     found = discovered(checkpointed(scan(keyed(df, id_col, text_col))), support=support).groupBy("key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
     names, text_at = df.columns, df.columns.index(text_col)
-    key = F.concat_ws(":", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("string"), F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("string"))
-    tag, extra = "__pii_key", "__pii_added"
-    joined = df.withColumn(tag, key).join(found.select(F.col("key").alias(tag), F.col("added").alias(extra)), tag, "left").select(*[f"`{n}`" for n in names], extra)
+    tag, extra = unused(df, "pii_key"), unused(df, "pii_added")
+    joined = df.withColumn(tag, row_key(id_col, text_col)).join(found.select(F.col("key").alias(tag), F.col("added").alias(extra)), tag, "left").select(*[f"`{n}`" for n in names], extra)
 
     def run(parts):
         for part in parts:
