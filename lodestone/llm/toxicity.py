@@ -1,16 +1,16 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over windows of words, in numpy.
 
 A word's input is an embedding of the word plus the mean embedding of its character n-grams, so that a word never seen
-in training is judged by its spelling. The network reads windows of words that overlap and cover the whole text; the
-document's score comes from its strongest window. Words repeat, so a worker remembers the input gates of each.
+in training is judged by its spelling. The network reads windows of words that overlap and cover the whole text. It
+starts from chance and learns from all windows of the labelled texts, each with its text's label. A text's score weighs
+its windows by attention: their strongest, their soft maximum and how many are suspicious. Words repeat, so a worker
+remembers the input gates of each.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from array import array
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -22,39 +22,75 @@ from lodestone.llm.labelled import PER_CLASS, labelled_sample, remainder
 
 WORD = re.compile(r"\w+")
 LENGTH, STRIDE = 32, 24
-SIZE, HIDDEN = 8, 8
+SIZE, HIDDEN = 24, 12
 WORD_ROWS, GRAM_ROWS = 1 << 17, 1 << 16
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 CACHE_WORDS = 120_000
-#: Words of a text whose ids are made at once; a multiple of STRIDE, so that windows run on over the seams.
-PIECE = 1024 * STRIDE
+#: Words of texts that are scored at once.
+PIECE = 1 << 17
 #: Characters of the longest word that is read in one piece.
 LONG = 48
+#: Texts of the sample in which a word, or an n-gram, must occur to be told apart from others.
+WORD_TEXTS, GRAM_TEXTS = 8, 4
 #: Every so many texts of the sample only calibrate the score.
 CALIBRATE = 5
+#: Windows of a training step, fewer of a small sample; rounds over all windows, more of them where that makes fewer steps;
+#: step lengths of the embeddings and of the other parameters.
+BATCH, EPOCHS, LEAST_STEPS, EMBEDDING_STEP, STEP = 512, 5, 400, 0.1, 0.01
+
+#: Share of words whose own embedding, and of those whose n-grams, a step hides, so that the network learns to read unknown ones.
+HIDE = 0.3
+#: Share of the rounds without attention, and the least weight of a window that is worth a step.
+WARM, LEAST = 0.25, 0.01
+
+_ODD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
 
 
 def words_of(text: str) -> list[str]:
     """The words of a text; one longer than LONG comes as pieces of LONG characters at most that overlap by half."""
     words = WORD.findall(text.lower())
-    if all(len(w) <= LONG for w in words):
+    if not words or len(max(words, key=len)) <= LONG:
         return words
     return [p for w in words for p in ([w] if len(w) <= LONG else [w[i : i + LONG] for i in range(0, len(w) - LONG // 2, LONG // 2)])]
 
 
-def word_row(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) % WORD_ROWS
-
-
-def gram_rows(word: str) -> list[int]:
-    """Rows of the character n-grams, 3 to 5 long, of a word in angle brackets."""
-    w = f"<{word}>"
-    return [zlib.crc32(w[i : i + n].encode("utf-8", "replace")) % GRAM_ROWS for n in (3, 4, 5) for i in range(max(1, len(w) - n + 1))]
-
-
-def windows_of(n: int) -> list[int]:
-    """Starts of the windows over n words: every STRIDE words, as far as there are words not yet covered."""
-    return [0] if n <= LENGTH else list(range(0, n - LENGTH + STRIDE, STRIDE))
+def word_rows(words: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) % WORD_ROWS for w in words), np.int64, len(words))
+
+
+def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the character n-grams, 3 to 5 long, of words in angle brackets, and where each word's end; every word has one."""
+    text = "<" + "><".join(words) + ">"
+    code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    end = np.repeat(np.cumsum(size), size)
+    owner = np.repeat(np.arange(len(words)), size)
+    at = np.arange(len(code))
+    key = code * _ODD[0] + np.uint32(1)
+    rows, owners = [], []
+    for n in range(2, 6):
+        key = key[: len(code) - n + 1]
+        key = (key ^ (key >> np.uint32(15))) * _ODD[1] + code[n - 1 :] * _ODD[n - 1]
+        if n > 2:
+            whole = np.flatnonzero(at[: len(key)] + n <= end[: len(key)])
+            rows.append((key[whole] ^ (key[whole] >> np.uint32(13))) * _ODD[2] >> np.uint32(16))
+            owners.append(owner[whole])
+    owners = np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(words)))])
+    return np.concatenate(rows)[order].astype(np.int64), cuts
+
+
+def window_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, words) of every window of texts with so many words, which stand in one row of words.
+
+    A text's windows start every STRIDE words, as far as there are words not yet covered; a text without words has none.
+    """
+    n = np.where(counts > LENGTH, -(-(counts - LENGTH) // STRIDE) + 1, np.minimum(counts, 1))
+    text = np.repeat(np.arange(len(counts)), n)
+    begin = np.cumsum(counts) - counts
+    start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
+    return text, begin[text] + start, np.minimum(LENGTH, counts[text] - start)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -71,14 +107,21 @@ class Network:
         for d in "fb":
             self.p |= {f"W{d}": f(SIZE, 3 * HIDDEN), f"B{d}": np.zeros(3 * HIDDEN, np.float32), f"U{d}": f(HIDDEN, 3 * HIDDEN)}
         self.p |= {"A": f(2 * HIDDEN, 1)[:, 0], "O": f(2 * HIDDEN, 1)[:, 0], "C": np.zeros(1, np.float32)}
-        self.words = np.zeros((WORD_ROWS, SIZE), np.float32)
+        self.words = (0.1 * r.standard_normal((WORD_ROWS, SIZE))).astype(np.float32)
         self.grams = (0.1 * r.standard_normal((GRAM_ROWS, SIZE))).astype(np.float32)
-        self.slope, self.shift, self.empty = 1.0, 0.0, 0.0
+        self.words[0] = self.grams[0] = 0
+        # words and n-grams that fewer texts have are all read as one
+        self.known_words, self.known_grams = np.zeros(WORD_ROWS, bool), np.zeros(GRAM_ROWS, bool)
+        self.weights, self.shift, self.empty = np.zeros(FEATURES), 0.0, 0.0
 
     def vectors(self, rows: np.ndarray, grams: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """Word inputs; grams[cuts[i]:cuts[i + 1]] belong to word i."""
+        rows, grams = self.familiar(rows, grams)
         return self.words[rows] + np.add.reduceat(self.grams[grams], cuts[:-1], axis=0) / np.diff(cuts)[:, None].astype(np.float32)
 
+    def familiar(self, rows: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.where(self.known_words[rows], rows, 0), np.where(self.known_grams[grams], grams, 0)
+
     def gates(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x @ self.p[f"W{d}"] + self.p[f"B{d}"] for d in "fb"], axis=1)
 
@@ -89,7 +132,7 @@ class Network:
         kept = {}
         for d, steps, at in (("f", range(t_max), 0), ("b", range(t_max - 1, -1, -1), 3 * HIDDEN)):
             u, h, trace = self.p[f"U{d}"], np.zeros((n, HIDDEN), np.float32), []
-            own = np.ascontiguousarray(gates[:, at : at + 3 * HIDDEN])
+            own = gates[:, at : at + 3 * HIDDEN]
             for t in steps:
                 g, m = own[index[:, t]], h @ u
                 rz = g[:, : 2 * HIDDEN] + m[:, : 2 * HIDDEN]
@@ -122,7 +165,7 @@ class Network:
         d_score = weight * (d_weight - (weight * d_weight).sum(0))
         g["A"] = np.einsum("tn,tnd->d", d_score, states)
         d_states = weight[:, :, None] * d_pooled + d_score[:, :, None] * self.p["A"]
-        d_x = np.zeros_like(x)
+        d_in = np.zeros((*index.shape, SIZE), np.float32)
         for d in "fb":
             u, w = self.p[f"U{d}"], self.p[f"W{d}"]
             d_u, d_w, d_b, d_h = np.zeros_like(u), np.zeros_like(w), np.zeros(3 * HIDDEN, np.float32), 0.0
@@ -137,133 +180,177 @@ class Network:
                 pre[:, 2 * HIDDEN :] = d_c
                 d_w += x[index[:, t]].T @ pre
                 d_b += pre.sum(0)
-                np.add.at(d_x, index[:, t], pre @ w.T)
+                d_in[:, t] += pre @ w.T
             g |= {f"U{d}": d_u, f"W{d}": d_w, f"B{d}": d_b}
-        return g, d_x
+        return g, sums_by(index.ravel(), d_in.reshape(-1, SIZE), len(x))
 
 
-class Lexicon:
-    """Rows of distinct words, in the order in which they came, in flat arrays."""
+def sums_by(number: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of values that have each of n numbers."""
+    return np.stack([np.bincount(number, values[:, k], n) for k in range(values.shape[1])], axis=1).astype(np.float32)
 
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.rows, self.grams, self.cuts = array("I"), array("H"), array("q", [0])
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        for w in words:
-            if w not in self.number:
-                self.number[w] = len(self.rows)
-                self.rows.append(word_row(w))
-                self.grams.extend(gram_rows(w))
-                self.cuts.append(len(self.grams))
-        return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+class Lexicon:
+    """Rows of the distinct words of some texts, and every text's words as numbers in one row."""
+
+    def __init__(self, texts: list[str]):
+        number: dict[str, int] = {}
+        counts, ids = [], []
+        for text in texts:
+            words = words_of(text)
+            counts.append(len(words))
+            ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+        self.counts, self.ids = np.array(counts, np.int64), np.concatenate(ids or [np.zeros(0, np.int32)])
+        words = list(number)
+        self.rows = word_rows(words).astype(np.int32)
+        grams, self.cuts = gram_rows(words) if words else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+        self.grams = grams.astype(np.uint16)
+
+    def familiar(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows of words and of n-grams WORD_TEXTS and GRAM_TEXTS of the texts have."""
+        words, grams = np.zeros(WORD_ROWS, np.int64), np.zeros(GRAM_ROWS, np.int64)
+        ends = np.cumsum(self.counts)
+        for a, b in zip((ends - self.counts).tolist(), ends.tolist()):
+            rows, own, _ = self.flat(np.unique(self.ids[a:b]))
+            words[np.unique(rows)] += 1
+            grams[np.unique(own)] += 1
+        return words >= WORD_TEXTS, grams >= GRAM_TEXTS
 
     def flat(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word rows, n-gram rows, and where each word's n-grams end, of some words."""
-        cuts, grams = np.frombuffer(self.cuts, np.int64), np.frombuffer(self.grams, np.uint16)
-        start, n = cuts[some], cuts[some + 1] - cuts[some]
+        start, n = self.cuts[some], self.cuts[some + 1] - self.cuts[some]
         place = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.frombuffer(self.rows, np.uint32)[some].astype(np.int64), grams[place], np.append(0, np.cumsum(n))
-
+        return self.rows[some].astype(np.int64), self.grams[place].astype(np.int64), np.append(0, np.cumsum(n))
 
-def evidence(rows: Iterable[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
-    """Shrunken log odds of the label, given that a row number occurs in a document."""
-    count = np.zeros((2, size))
-    for r, y in zip(rows, labels):
-        count[y, r] += 1
-    total = np.bincount(labels, minlength=2) + 1.0
-    odds = np.log((count[1] + 0.5) / total[1]) - np.log((count[0] + 0.5) / total[0])
-    seen = count.sum(0)
-    return (odds * seen / (seen + 3)).astype(np.float32)
 
+def windows(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows' words, and which places of a window have one."""
+    mask = np.arange(LENGTH) < size[:, None]
+    return np.where(mask, ids[np.minimum(first[:, None] + np.arange(LENGTH), len(ids) - 1)], 0).astype(np.int64), mask
 
-def pad_windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    index, mask = np.zeros((len(ids), LENGTH), np.int64), np.zeros((len(ids), LENGTH), bool)
-    for k, x in enumerate(ids):
-        index[k, : len(x)], mask[k, : len(x)] = x, True
-    return index, mask
 
+def fit(texts: list[str], labels: list[int], *, share: float | None = None, epochs: int = EPOCHS, seed: int = 0) -> Network:
+    """A network for the labels, whose score is THRESHOLD where either label is as likely.
 
-def fit(texts: list[str], labels: list[int], *, share: float | None = None, steps: int = 600, seed: int = 0) -> Network:
-    """A network for the labels. share: of ones among all labelled rows, where the sample has another. Fewer than one text of either class gives a network that scores every text alike."""
+    share: of ones among all labelled rows, where the sample has another. Fewer than one text of either class gives a
+    network that scores every text alike.
+    """
     net, y = Network(seed), np.array(labels, np.int64)
     here = float(y.mean()) if len(y) else 0.0
     share = here if share is None else share
-    net.empty = min(share, 0.5)
+    net.empty, net.shift = min(share, 0.5), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     if not 0 < here < 1:
-        net.slope, net.shift = 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3)))
         return net
     apart = np.zeros(len(y), bool)
     for k in (0, 1):
         apart[np.flatnonzero(y == k)[CALIBRATE - 1 :: CALIBRATE]] = True
-    lexicon = Lexicon()
-    docs = [lexicon.ids(words_of(t)) for t, a in zip(texts, apart) if not a]
-    known, y = y, y[~apart]
-    net.grams[:, 0] = evidence((np.unique(lexicon.flat(np.unique(d))[1]) for d in docs), y, GRAM_ROWS)
-    net.words[:, 0] = evidence((np.unique(lexicon.flat(np.unique(d))[0]) for d in docs), y, WORD_ROWS)
-    parts = np.array_split(np.arange(len(lexicon.rows)), len(lexicon.rows) // 8192 + 1)
-    strength = np.concatenate([net.vectors(*lexicon.flat(p))[:, 0] for p in parts if len(p)] or [np.zeros(0, np.float32)])
-    rng = np.random.default_rng(seed)
-    shown, target = [], []
-    for d, label in zip(docs, y):
-        if not len(d):
-            continue
-        starts = windows_of(len(d))
-        force = np.array([np.sort(strength[d[s : s + LENGTH]])[-2:].sum() for s in starts])
-        chosen = {int(force.argmax())} | ({int(rng.integers(len(starts))), int(force.argsort()[-2:][0])} if label == 0 else set())
-        for k in sorted(chosen):
-            shown.append(d[starts[k] : starts[k] + LENGTH])
-            target.append(label)
-    if len(set(target)) < 2:
-        net.slope, net.shift = 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3)))
+    lexicon = Lexicon([t for t, a in zip(texts, apart) if not a])
+    net.known_words, net.known_grams = lexicon.familiar()
+    text, first, size = window_table(lexicon.counts)
+    target = y[~apart][text].astype(np.float32)
+    if len(set(target.tolist())) < 2:
         return net
-    index, mask = pad_windows(shown)
-    target = np.array(target, np.float32)
-    weight = np.where(target > 0, 0.5 / max(target.mean(), 1e-6), 0.5 / max(1 - target.mean(), 1e-6)).astype(np.float32)
-    first = {k: np.zeros_like(v) for k, v in net.p.items()}
-    second = {k: np.zeros_like(v) for k, v in net.p.items()}
-    seen_words, seen_grams, step = np.full(WORD_ROWS, 1e-3, np.float32), np.full(GRAM_ROWS, 1e-3, np.float32), 0
-    for _ in range(max(6, steps // -(-len(target) // 128))):
-        order = rng.permutation(len(target))
-        for a in range(0, len(order), 128):
-            some = order[a : a + 128]
-            used, inverse = np.unique(index[some], return_inverse=True)
-            own_rows, own_grams, own_cuts = lexicon.flat(used)
-            x = net.vectors(own_rows, own_grams, own_cuts)
-            at = inverse.reshape(len(some), LENGTH)
-            logit, cache = net.forward(net.gates(x), at, mask[some], keep=True)
-            gradient = ((sigmoid(logit) - target[some]) * weight[some] / len(some)).astype(np.float32)
-            g, d_x = net.backward(gradient, at, mask[some], x, cache)
-            step += 1
-            for k, v in net.p.items():
-                first[k] = 0.9 * first[k] + 0.1 * g[k]
-                second[k] = 0.99 * second[k] + 0.01 * g[k] ** 2
-                net.p[k] = (v - 0.01 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-            power = (d_x**2).sum(1)
-            np.add.at(seen_words, own_rows, power)
-            np.add.at(net.words, own_rows, -0.02 * d_x / np.sqrt(seen_words[own_rows])[:, None])
-            owner = np.repeat(np.arange(len(used)), np.diff(own_cuts))
-            d_g = d_x[owner] / np.diff(own_cuts)[owner][:, None].astype(np.float32)
-            np.add.at(seen_grams, own_grams, (d_g**2).sum(1))
-            np.add.at(net.grams, own_grams, -0.02 * d_g / np.sqrt(seen_grams[own_grams])[:, None])
-    top, y = Scorer(net).logits(texts), known
-    some = np.isfinite(top) & (apart if len(set(y[apart & np.isfinite(top)].tolist())) == 2 else True)
+    train(net, lexicon, (text, first, size), target, epochs, seed)
+    found = Scorer(net).features(texts)
+    known = np.isfinite(found[:, 0])
+    some = known & (apart if len(set(y[apart & known].tolist())) == 2 else True)
     prior = np.where(y == 1, share / here, (1 - share) / (1 - here))
-    net.slope, net.shift = platt(top[some], y[some], prior[some])
-    clean = np.isfinite(top) & (y == 0)
+    net.weights, net.shift = logistic(found[some], y[some], prior[some])
+    net.shift += float(np.log(THRESHOLD / (1 - THRESHOLD)))
+    clean = known & (y == 0)
     if clean.any():
-        net.empty = min(float(sigmoid(np.array(net.slope * np.median(top[clean]) + net.shift))), 0.5)
+        net.empty = min(float(sigmoid(np.median(found[clean] @ net.weights) + net.shift)), 0.5)
     return net
 
 
-def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 2000) -> tuple[float, float]:
-    """Slope, over 0, and shift of a logistic curve through the documents' strongest logits."""
-    scale, weight = float(np.std(x)) or 1.0, weight / weight.mean()
-    a, b, u = 1.0, 0.0, (x - x.mean()) / scale
+def train(net: Network, lexicon: Lexicon, table: tuple[np.ndarray, ...], target: np.ndarray, epochs: int, seed: int) -> None:
+    """Steps over all windows in a new order each round; Adam for the parameters, one adaptive step length for each embedding.
+
+    In the first WARM share of the rounds a text's windows count alike, then by the attention that the network so far
+    pays to them, so that a toxic text teaches by its toxic windows and a clean one by those most like toxic ones. Both
+    classes count as much. What comes out is the mean of the networks after each round of the second half.
+    """
+    mean, square = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in "ms")
+    seen_words, seen_grams, step = np.full(WORD_ROWS, 1e-6, np.float32), np.full(GRAM_ROWS, 1e-6, np.float32), 0
+    rng = np.random.default_rng(seed)
+    text, first, size = table
+    starts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+    n = np.diff(np.append(starts, len(text)))
+    batch = min(BATCH, max(32, len(target) // 40))
+    epochs = max(epochs, LEAST_STEPS * batch // len(target))
+    total, late, kept = epochs * -(-len(target) // batch), epochs // 2, 0
+    sums = {k: np.zeros_like(v) for k, v in (net.p | {"words": net.words, "grams": net.grams}).items()}
+    for epoch in range(epochs):
+        if epoch < WARM * epochs:
+            weight = np.repeat(1 / np.sqrt(n), n)
+        else:
+            used = np.arange(len(lexicon.rows))
+            gates = np.concatenate([net.gates(net.vectors(*lexicon.flat(used[a : a + 8192]))) for a in range(0, len(used), 8192)])
+            z = np.concatenate([net.forward(gates, *windows(lexicon.ids, first[a : a + 2048], size[a : a + 2048])) for a in range(0, len(text), 2048)])
+            attention = np.exp(z - np.repeat(np.maximum.reduceat(z, starts), n))
+            weight = attention / np.repeat(np.add.reduceat(attention, starts), n)
+        weight *= len(target) / 2 / np.where(target > 0, weight[target > 0].sum(), weight[target == 0].sum())
+        weight = weight.astype(np.float32)
+        order = rng.permutation(np.flatnonzero(weight > LEAST))
+        for a in range(0, len(order), batch):
+            some = order[a : a + batch]
+            index, mask = windows(lexicon.ids, first[some], size[some])
+            used, inverse = np.unique(index, return_inverse=True)
+            rows, grams, cuts = lexicon.flat(used)
+            rows, grams = net.familiar(rows, grams)
+            hidden = rng.random((2, len(used))) < HIDE
+            rows, grams = np.where(hidden[0], 0, rows), np.where(np.repeat(hidden[1], np.diff(cuts)), 0, grams)
+            x, at = net.vectors(rows, grams, cuts), inverse.reshape(index.shape)
+            logit, cache = net.forward(net.gates(x), at, mask, keep=True)
+            gradient = ((sigmoid(logit) - target[some]) * weight[some] / len(some)).astype(np.float32)
+            g, d_x = net.backward(gradient, at, mask, x, cache)
+            pace = 1 - step / (total + 1)
+            step += 1
+            for k, v in net.p.items():
+                mean[k] = 0.9 * mean[k] + 0.1 * g[k]
+                square[k] = 0.99 * square[k] + 0.01 * g[k] ** 2
+                net.p[k] = (v - STEP * pace * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            adapt(net.words, seen_words, rows, d_x, pace)
+            grams_of = np.diff(cuts)
+            adapt(net.grams, seen_grams, grams, np.repeat(d_x / grams_of[:, None].astype(np.float32), grams_of, axis=0), pace)
+        if epoch >= late:
+            kept += 1
+            for k, v in (net.p | {"words": net.words, "grams": net.grams}).items():
+                sums[k] += v
+    net.p = {k: sums[k] / np.float32(kept) for k in net.p}
+    net.words, net.grams = sums["words"] / np.float32(kept), sums["grams"] / np.float32(kept)
+
+
+def adapt(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.ndarray, pace: float) -> None:
+    """A step of the rows against their summed gradients, shorter the larger those were so far."""
+    used, inverse = np.unique(rows, return_inverse=True)
+    g = sums_by(inverse, gradient, len(used))
+    seen[used] += (g**2).mean(1)
+    table[used] -= EMBEDDING_STEP * pace * g / np.sqrt(seen[used])[:, None]
+
+
+#: What a text's score is made of: the strongest logit, the soft maximum, and how many windows are suspicious.
+FEATURES = 3
+
+
+def pooled(logits: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The features of texts whose windows' logits begin at starts."""
+    z = np.clip(logits, -30, 30)
+    most = np.maximum.reduceat(z, starts)
+    n = np.diff(np.append(starts, len(z)))
+    attention = np.exp(z - np.repeat(most, n))
+    soft = np.add.reduceat(attention * z, starts) / np.add.reduceat(attention, starts)
+    return np.stack([most, soft, np.log(np.add.reduceat(sigmoid(z), starts))], axis=1)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 3000) -> tuple[np.ndarray, float]:
+    """Weights, none below 0, and shift of a logistic curve through the texts' features."""
+    scale, weight = np.where(x.std(0) > 0, x.std(0), 1.0), weight / weight.mean()
+    a, b, u = np.full(x.shape[1], 1 / x.shape[1]), 0.0, (x - x.mean(0)) / scale
     for _ in range(rounds):
-        e = (sigmoid(a * u + b) - y) * weight
-        a, b = max(a - 0.7 * float((e * u).mean() + 1e-3 * a), 1e-3), b - 0.7 * float(e.mean())
-    return a / scale, b - a * float(x.mean()) / scale
+        e = (sigmoid(u @ a + b) - y) * weight
+        a, b = np.maximum(a - 0.5 * (u.T @ e / len(e) + 1e-3 * a), 0), b - 0.5 * float(e.mean())
+    return a / scale, b - float(x.mean(0) @ (a / scale))
 
 
 class Scorer:
@@ -277,55 +364,48 @@ class Scorer:
         self.number: dict[str, int] = {}
         self.gates = np.zeros((1 << 12, 6 * HIDDEN), np.float32)
 
-    def learn(self, fresh: list[str]) -> None:
-        lists = [gram_rows(w) for w in fresh]
-        cuts = np.concatenate([[0], np.cumsum(list(map(len, lists)))]).astype(np.int64)
-        flat = np.fromiter((g for x in lists for g in x), np.int64, int(cuts[-1]))
-        gates = self.net.gates(self.net.vectors(np.fromiter(map(word_row, fresh), np.int64, len(fresh)), flat, cuts))
-        n = len(self.number)
-        if n + len(fresh) > len(self.gates):
-            self.gates = np.concatenate([self.gates, np.zeros((max(len(fresh), len(self.gates) // 2), 6 * HIDDEN), np.float32)])
-        self.gates[n : n + len(fresh)] = gates
-        self.number.update(zip(fresh, range(n, n + len(fresh))))
-
     def ids(self, words: list[str]) -> np.ndarray:
-        fresh = list(dict.fromkeys(w for w in words if w not in self.number))
+        """Numbers of words; the gates of new ones are made at once."""
+        if len(self.number) > CACHE_WORDS:
+            self.reset()
+        fresh = [w for w in dict.fromkeys(words) if w not in self.number]
         if fresh:
-            self.learn(fresh)
+            n = len(self.number)
+            if n + len(fresh) > len(self.gates):
+                self.gates = np.concatenate([self.gates, np.zeros((max(n + len(fresh) - len(self.gates), len(self.gates) // 2), 6 * HIDDEN), np.float32)])
+            for a in range(0, len(fresh), 1 << 14):
+                some = fresh[a : a + (1 << 14)]
+                self.gates[n + a : n + a + len(some)] = self.net.gates(self.net.vectors(word_rows(some), *gram_rows(some)))
+            self.number.update(zip(fresh, range(n, n + len(fresh))))
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
-    def logits(self, texts: list[str]) -> np.ndarray:
-        """Each text's largest window logit; minus infinity without words."""
-        out = np.full(len(texts), -np.inf)
-        held: list[np.ndarray] = []
-        owner: list[int] = []
-
-        def score() -> None:
-            for a in range(0, len(held), 2048):
-                index, mask = pad_windows(held[a : a + 2048])
-                np.maximum.at(out, np.array(owner[a : a + 2048]), self.net.forward(self.gates, index, mask))
-            held.clear()
-            owner.clear()
-
+    def logits(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every window's logit, and its text, of texts with so many words."""
+        text, first, size = window_table(counts)
+        out = np.zeros(len(text))
+        for a in range(0, len(text), 2048):
+            out[a : a + 2048] = self.net.forward(self.gates, *windows(ids, first[a : a + 2048], size[a : a + 2048]))
+        return out, text
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """Each text's features; minus infinity without words."""
+        out = np.full((len(texts), FEATURES), -np.inf)
+        held: list[list[str]] = []
         for k, text in enumerate(texts):
-            words = words_of(text)
-            for part in range(0, len(words), PIECE):
-                piece = words[part : part + PIECE + LENGTH - STRIDE]
-                if len(self.number) > CACHE_WORDS:
-                    score()
-                    self.reset()
-                ids = self.ids(piece)
-                for s in windows_of(len(ids)):
-                    held.append(ids[s : s + LENGTH])
-                    owner.append(k)
-            if len(held) >= 8192:
-                score()
-        score()
+            held.append(words_of(text))
+            if sum(map(len, held[-64:])) >= PIECE or len(held) == 64 or k + 1 == len(texts):
+                counts = np.array(list(map(len, held)), np.int64)
+                logit, owner = self.logits(self.ids([w for words in held for w in words]), counts)
+                if len(logit):
+                    starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                    out[k + 1 - len(held) + owner[starts]] = pooled(logit, starts)
+                held = []
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        top = self.logits(texts)
-        return np.where(np.isfinite(top), sigmoid(self.net.slope * np.where(np.isfinite(top), top, 0) + self.net.shift), self.net.empty)
+        found = self.features(texts)
+        known = np.isfinite(found[:, 0])
+        return np.where(known, sigmoid(np.where(known[:, None], found, 0) @ self.net.weights + self.net.shift), self.net.empty)
 
 
 def score_toxicity(df: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

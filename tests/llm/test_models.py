@@ -42,7 +42,8 @@ def test_gradients():
     """Backpropagation through the gates and the attention against differences."""
     net, r = toxicity.Network(1), np.random.default_rng(0)
     x = r.standard_normal((5, toxicity.SIZE)).astype(np.float32)
-    index, mask = toxicity.pad_windows([np.array([0, 1, 2, 3]), np.array([4, 1])])
+    net.known_words[:] = net.known_grams[:] = True
+    index, mask = toxicity.windows(np.array([0, 1, 2, 3, 4, 1]), np.array([0, 4]), np.array([4, 2]))
     target = np.array([1.0, 0.0])
     loss = lambda: float(np.sum(np.logaddexp(0, z := net.forward(net.gates(x), index, mask).astype(np.float64)) - target * z))
     logit, cache = net.forward(net.gates(x), index, mask, keep=True)
@@ -56,28 +57,77 @@ def test_gradients():
         down = loss()
         p[at] = old
         assert (up - down) / 2e-2 == pytest.approx(float(np.asarray(g[name])[at]), abs=2e-3)
+    for at in ((0, 0), (1, 3), (4, 5)):
+        old = x[at]
+        x[at] = old + 1e-2
+        up = loss()
+        x[at] = old - 1e-2
+        down = loss()
+        x[at] = old
+        assert (up - down) / 2e-2 == pytest.approx(float(d_x[at]), abs=2e-3)
 
 
 def test_windows_cover():
     for n in (1, 31, 32, 33, 56, 57, 200):
-        covered = set()
-        for s in toxicity.windows_of(n):
-            assert s < n
-            covered.update(range(s, min(n, s + toxicity.LENGTH)))
-        assert covered == set(range(n))
+        text, first, size = toxicity.window_table(np.array([3, 0, n, 1]))
+        own = [(a - 3, b) for t, a, b in zip(text.tolist(), first.tolist(), size.tolist()) if t == 2]
+        assert all(0 < b <= toxicity.LENGTH for _, b in own) and text.tolist().count(0) == text.tolist().count(3) == 1 and 1 not in text
+        assert sorted({w for a, b in own for w in range(a, a + b)}) == list(range(n))
+        assert all(c[0] < a + b for (a, b), c in zip(own, own[1:]))
     for n in (0, 1, 512, 513, 897, 5000):
         covered = {b for s in quality.chunk_starts(n) for b in range(s, min(n, s + quality.CHUNK))}
         assert covered == set(range(n))
 
 
-def test_long_text_in_pieces():
-    """Windows run on over the seams of the pieces that a long text is read in."""
-    net = toxicity.fit([r[1] for r in corpus(60)], [r[3] for r in corpus(60)])
+def test_texts_score_alike_in_any_company():
+    """A text's features do not hang on the texts that are scored with it, nor on what the scorer remembers; a long text's come from all its windows."""
+    rows = corpus(200)
+    net = toxicity.fit([r[1] for r in rows], [r[3] for r in rows])
     words = [f"w{i % 97}" for i in range(toxicity.PIECE + 500)]
     words[toxicity.PIECE - 3] = "lowxyz"
+    texts = [rows[1][1], "", " ".join(words), rows[4][1], "!!!"] + [r[1] for r in rows[5:80]]
+    together = toxicity.Scorer(net).features(texts)
+    alone = np.concatenate([toxicity.Scorer(net).features([t]) for t in texts])
+    assert np.allclose(together, alone, atol=1e-3) or np.allclose(together[np.isfinite(alone)], alone[np.isfinite(alone)], atol=1e-3)
+    assert np.array_equal(np.isfinite(together), np.isfinite(alone)) and not np.isfinite(together[[1, 4]]).any()
     s = toxicity.Scorer(net)
-    whole = max(float(net.forward(s.gates, *toxicity.pad_windows([ids[a : a + toxicity.LENGTH]]))[0]) for ids in [s.ids(words)] for a in toxicity.windows_of(len(words)))
-    assert toxicity.Scorer(net).logits([" ".join(words)])[0] == pytest.approx(whole, abs=1e-4)
+    ids = s.ids(words)
+    one = [float(net.forward(s.gates, *toxicity.windows(ids, np.array([a]), np.array([min(32, len(words) - a)])))[0]) for a in range(0, len(words) - 32 + 24, 24)]
+    assert together[2, 0] == pytest.approx(max(one), abs=1e-3)
+    old, toxicity.CACHE_WORDS = toxicity.CACHE_WORDS, 20
+    try:
+        assert np.allclose(toxicity.Scorer(net).features(texts[3:4] * 3), alone[[3, 3, 3]], atol=1e-3)
+    finally:
+        toxicity.CACHE_WORDS = old
+
+
+def test_gram_rows_of_words_alone():
+    """A word has the same n-grams whatever words stand beside it, as many as its length gives."""
+    words = ["a", "of", "word", "überaus", "pneumonoultramicroscopic", "日本"]
+    rows, cuts = toxicity.gram_rows(words)
+    for k, w in enumerate(words):
+        own, n = toxicity.gram_rows([w])
+        assert sorted(rows[cuts[k] : cuts[k + 1]].tolist()) == sorted(own.tolist())
+        assert n[1] == sum(max(0, len(w) + 2 - size + 1) for size in (3, 4, 5)) >= 1
+    assert len(set(toxicity.gram_rows(["abcdefghij"])[0].tolist())) == 10 + 9 + 8
+
+
+def test_toxic_texts_are_told_by_few_words_of_many():
+    """Held-out texts with two toxic words among clean ones, from labels of whole texts only; no words' odds are given."""
+    r = random.Random(11)
+    clean = ["".join(r.choice("aeioulmnrst") for _ in range(r.randrange(2, 8))) for _ in range(400)]
+    bad = ["zwack", "quorb", "drixel", "vompal"]
+    rows = []
+    for d in range(900):
+        words = [r.choice(clean) for _ in range(r.randrange(30, 300))]
+        if d % 3 == 0:
+            for _ in range(max(2, len(words) // 40)):
+                words[r.randrange(len(words))] = r.choice(bad) + r.choice(["", "s", "er"])
+        rows.append((" ".join(words), int(d % 3 == 0)))
+    net = toxicity.fit([t for t, _ in rows[:600]], [y for _, y in rows[:600]])
+    predicted = toxicity.Scorer(net).scores([t for t, _ in rows[600:]]) >= toxicity.THRESHOLD
+    truth = np.array([y for _, y in rows[600:]]) == 1
+    assert predicted[truth].mean() >= 0.9 and predicted[~truth].mean() <= 0.03
 
 
 def test_quality():
