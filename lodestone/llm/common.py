@@ -31,6 +31,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column's name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def batches(schema: pa.Schema, rows, size: int = 4096):
     """Arrow batches of at most `size` rows each from an iterator of tuples."""
     held = []

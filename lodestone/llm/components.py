@@ -11,8 +11,10 @@ from lodestone.llm.common import checkpointed
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (u, v longs), root being the smallest node reachable.
 
-    Each step aggregates a minimum per node and joins it back, so that a hub's edges are never gathered in one place;
-    each round is cut with a checkpoint. Null ends, loops and repeated edges are ignored; no edges give no rows.
+    Each step aggregates a minimum per node, with partial minima, and joins it back to the edges. A hub's edges go to one
+    partition of that join, whose other side has a row for a node, so that adaptive execution can split it where it is
+    large; each round is cut with a checkpoint. Null ends, loops and repeated edges are ignored; no edges give no rows.
+    An error is raised where the rounds don't suffice; the rounds needed grow with the logarithm of the longest way.
     """
     now = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = checkpointed(now)
@@ -25,8 +27,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = checkpointed(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+    else:
+        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+

@@ -19,12 +19,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batches, checkpointed, documents_of, table
+from lodestone.llm.common import batches, checkpointed, documents_of, table, to_batch, unused
 from lodestone.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Near copies: a Jaccard similarity of shingles of five words. Candidate width and radius are those of similar_links.
-CANDIDATE_WIDTH, CANDIDATE_RADIUS, SIMILAR_WIDTH, SIMILARITY = 2, 7, 5, 0.8
+#: Near copies: a Jaccard similarity of sets of five-word shingles. Their fingerprints meet within NEAR_RADIUS.
+SIMILAR_WIDTH, SIMILARITY, NEAR_RADIUS = 5, 0.8, 3
 
 
 def shingles(text: str, width: int) -> list[bytes]:
@@ -43,9 +43,8 @@ def shingle_hashes(text: str, width: int, seed: int = SEED) -> np.ndarray:
     return np.frombuffer(b"".join([digest(g, seed) for g in shingles(text, width)]), ">u8")
 
 
-def fingerprint(text: str, width: int = SHINGLE) -> int:
-    """Signed 64-bit fingerprint: a bit is 1 if it is set in over half of the shingles' hashes; 0 without words."""
-    hashes = shingle_hashes(text, width)
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Signed 64-bit fingerprint of big-endian hashes: a bit is 1 if it is set in over half of them; 0 without any."""
     if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)
@@ -54,22 +53,9 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
 
 
-def wide_fingerprint(text: str, width: int = SIMILAR_WIDTH) -> bytes:
-    """A SimHash of 256 bits, of two 128-bit hashes of each shingle."""
-    grams = shingles(text, width)
-    counts = np.zeros(256, np.int64)
-    for at in range(0, len(grams), 1 << 14):
-        some = grams[at : at + (1 << 14)]
-        for k in (0, 1):
-            bits = np.unpackbits(np.frombuffer(b"".join([xxhash.xxh3_128_digest(g, SEED + k) for g in some]), np.uint8))
-            counts[128 * k : 128 * k + 128] += bits.reshape(-1, 128).sum(0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(grams)).tobytes()
-
-
-def wide_limit(similarity: float) -> int:
-    """Bits of 256 in which wide fingerprints of shingle sets of a similarity differ on average, and half a deviation more."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(256 * share + 0.5 * math.sqrt(256 * share * (1 - share)))
+def fingerprint(text: str, width: int = SHINGLE) -> int:
+    """The fingerprint of a text's shingles, repeats included."""
+    return fingerprint_of(shingle_hashes(text, width))
 
 
 def distance(a: int, b: int) -> int:
@@ -130,29 +116,20 @@ def linked(keys: list[int], radius: int) -> list[tuple[int, int]]:
     return [(tree.keys[i], tree.keys[r]) for i in range(len(parent)) if (r := root(i)) != i]
 
 
-def linked_if_similar(keys: list[int], nodes: list[int], wide: np.ndarray, radius: int, limit: int) -> list[tuple[int, int]]:
-    """As linked, for nodes that have a key and a wide fingerprint each: both must be near. Nodes of one key share its place in the tree."""
-    tree, members, parent = BKTree(radius), [], list(range(len(keys)))
+def near_pairs(keys: list[int], nodes: list[int], radius: int) -> list[tuple[int, int]]:
+    """For every node of a shard that comes after another within the radius, an edge to one such, the nearest that the search met."""
+    tree, first, out = BKTree(radius), [], []
     at: dict[int, int] = {}
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for n, key in enumerate(keys):
+    for key, node in zip(keys, nodes):
+        if key in at:
+            out.append((node, first[at[key]]))
+            continue
         near = tree.add(key)
-        if key not in at:
-            at[key] = len(members)
-            members.append([])
-        others = np.array([m for i in {*near, at[key]} if i < len(members) for m in members[i]], np.int64)
-        if len(others):
-            for m in others[np.bitwise_count(wide[others] ^ wide[n]).sum(1) <= limit].tolist():
-                a, b = root(m), root(n)
-                parent[max(a, b)] = min(a, b)
-        members[at[key]].append(n)
-    return [(nodes[i], nodes[r]) for i in range(len(keys)) if (r := root(i)) != i]
+        if near:
+            out.append((node, first[min(near, key=lambda i: distance(tree.keys[i], key))]))
+        at[key] = len(first)
+        first.append(node)
+    return out
 
 
 def shard_keys(fp: Column, radius: int) -> Column:
@@ -196,19 +173,18 @@ def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFram
     return shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "u long, v long")
 
 
-def similar_links(nodes: DataFrame, radius: int = CANDIDATE_RADIUS, limit: int | None = None) -> DataFrame:
-    """Edges (u, v) between nodes(node, fp, wide) whose keys and wide fingerprints are near."""
-    most = wide_limit(SIMILARITY) if limit is None else limit
+def fingerprint_pairs(nodes: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
+    """Pairs (u, v) of nodes(node, fp) within the radius, one at least for each node that has such a partner in a shard before it."""
 
     def run(parts):
-        def edges():
+        def pairs():
             for held in runs_of_shards(parts):
-                column = lambda i, held=held: [x for p in held for x in p.column(i).to_pylist()]
-                yield from linked_if_similar(column(1), column(2), np.frombuffer(b"".join(column(3)), np.uint64).reshape(-1, 4), radius, most)
+                fps, own = ([x for p in held for x in p.column(i).to_pylist()] for i in (1, 2))
+                yield from ((min(e), max(e)) for e in near_pairs(fps, own, radius))
 
-        yield from batches(EDGE, edges())
+        yield from batches(EDGE, pairs())
 
-    shards = nodes.select(F.explode(shard_keys(F.col("fp"), radius)).alias("shard"), "fp", "node", "wide")
+    shards = nodes.select(F.explode(shard_keys(F.col("fp"), radius)).alias("shard"), "fp", "node")
     return shards.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(run, "u long, v long")
 
 
@@ -239,9 +215,9 @@ def simhash_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return docs.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def gram_set(text: str, width: int = SIMILAR_WIDTH) -> np.ndarray:
+def gram_set(hashes: np.ndarray) -> np.ndarray:
     """The distinct hashes of a text's shingles, sorted."""
-    return np.unique(shingle_hashes(text, width).astype(np.uint64).view(np.int64))
+    return np.unique(hashes.astype(np.uint64).view(np.int64))
 
 
 def prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
@@ -261,6 +237,24 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
+def histogram(grams: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each of a power of two of bins, at least half as many as shingles; 255 stands for 255 or more."""
+    bins = 64
+    while 2 * bins < len(grams):
+        bins *= 2
+    return np.bincount(grams & (bins - 1), minlength=bins).clip(max=255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, similarity: float) -> bool:
+    """False only where the histograms rule the similarity out: sets share at most the lesser count of each bin."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    if x.max() == 255 or y.max() == 255:
+        return True
+    y = y.reshape(-1, len(x)).sum(0, dtype=np.int64)
+    x = x.astype(np.int64)
+    return np.minimum(x, y).sum() >= similarity / (1 + similarity) * (x.sum() + y.sum()) - 1e-9
+
+
 def possible(i: np.ndarray, n: np.ndarray, j: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sets of n and m shingles whose first common one is at places i and j can have the similarity."""
     return np.minimum(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - 1e-9
@@ -289,6 +283,8 @@ def run_starts(key: np.ndarray) -> np.ndarray:
 PLACE = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("pos", pa.int64()), ("size", pa.int64())])
 #: Texts of the sample that says which shingles are common; it steers the order only, not which links are found.
 ORDER_SAMPLE = 4000
+#: Partners by chance of a set under each shingle of its prefix, before all pairs that are left are compared.
+DRAWS = 8
 #: Bits of the map that tells most texts of no pair before they are shingled again.
 MAP_BITS = 1 << 25
 
@@ -301,7 +297,7 @@ def common_grams(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(parts):
         for part in parts:
             for t in part.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(gram_set(t.as_py()))], names=["g"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram_set(shingle_hashes(t.as_py(), SIMILAR_WIDTH)))], names=["g"])
 
     found = sample.mapInArrow(run, "g long").groupBy("g").agg(F.count("*").alias("n")).where("n > 2").orderBy("g").toArrow()
     return found["g"].to_numpy(), found["n"].to_numpy()
@@ -348,13 +344,37 @@ def first_pairs(columns: list[np.ndarray], similarity: float):
     yield node[ok], node[lead[ok]]
 
 
+def mixed(x: np.ndarray, k: int) -> np.ndarray:
+    """Bits of x well mixed, as unsigned numbers."""
+    x = (x.astype(np.int64).view(np.uint64) + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def chance_pairs(columns: list[np.ndarray], similarity: float, draws: int = DRAWS):
+    """In each run each set against some others of the run, drawn by hash."""
+    key, node, pos, size = columns[:4]
+    starts = run_starts(key)
+    n = np.diff(np.append(starts, len(key)))
+    for draw in range(draws):
+        drawn = np.repeat(starts, n) + (mixed(node ^ key, draw) % np.repeat(n, n).astype(np.uint64)).astype(np.int64)
+        ok = (node != node[drawn]) & possible(pos, size, pos[drawn], size[drawn], similarity)
+        yield node[ok], node[drawn[ok]]
+
+
+def some_pairs(columns: list[np.ndarray], similarity: float):
+    yield from first_pairs(columns, similarity)
+    yield from chance_pairs(columns, similarity)
+
+
 def other_pairs(columns: list[np.ndarray], similarity: float):
     """In each run all pairs of sets that have different roots."""
     key, node, pos, size, root = columns
     starts = run_starts(key)
-    mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+    several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
     ends = np.append(starts[1:], len(key))
-    for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist()):
+    for a, b in zip(starts[several].tolist(), ends[several].tolist()):
         values, counts = np.unique(root[a:b], return_counts=True)
         for i in (a + np.flatnonzero(root[a:b] != values[counts.argmax()])).tolist():
             ok = (root[a:b] != root[i]) & possible(pos[a:b], size[a:b], pos[i], size[i], similarity)
@@ -362,13 +382,14 @@ def other_pairs(columns: list[np.ndarray], similarity: float):
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, grams) of the texts(h, text) whose hash is in wanted(h), and of a few others."""
+    """(node, other, grams) of the texts(h, text) whose hash is in wanted(h), and of a few others."""
     place = F.pmod("h", F.lit(MAP_BITS))
     parts_of_map = wanted.groupBy(F.floor(place / 32768).cast("int").alias("b")).agg(F.bitmap_construct_agg(place % 32768).alias("bits")).collect()  # 1024 rows of 4 KB at most
     bits = np.zeros((MAP_BITS // 32768, 4096), np.uint8)
     for r in parts_of_map:
         bits[r["b"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     shared = wanted.sparkSession.sparkContext.broadcast(bits.ravel())
+    schema = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("grams", pa.binary())])
 
     def run(parts):
         seen = set()
@@ -379,85 +400,119 @@ def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             for i in np.flatnonzero(shared.value[p >> 3] >> (p & 7) & 1).tolist():
                 if int(h[i]) not in seen:
                     seen.add(int(h[i]))
-                    grams = gram_set(part.column(1)[i].as_py()).tobytes()
-                    out.append((node_of(grams), grams))
+                    grams = gram_set(shingle_hashes(part.column(1)[i].as_py(), SIMILAR_WIDTH)).tobytes()
+                    out.append((*node_of(grams), grams))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], schema=pa.schema([("node", pa.int64()), ("grams", pa.binary())]))
+                yield to_batch(schema, out)
 
-    return texts.mapInArrow(run, "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
+    return texts.mapInArrow(run, "node long, other long, grams binary")
 
 
-def node_of(grams: bytes) -> int:
-    return int.from_bytes(xxhash.xxh64_digest(grams, SEED), "big", signed=True)
+def node_of(grams: bytes) -> tuple[int, int]:
+    """Two hashes of a set: its node, and another that tells apart different sets of one node."""
+    both = xxhash.xxh3_128_digest(grams, SEED)
+    return int.from_bytes(both[:8], "big", signed=True), int.from_bytes(both[8:], "big", signed=True)
 
 
-def verified(places: DataFrame, pairs_of, texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) of those pairs whose sets have the Jaccard similarity."""
+def told_apart(df: DataFrame, clashes: DataFrame) -> DataFrame:
+    """df(node, other, ...) with a node of its own for each set whose node another set has too: clashes(node, least other), a handful of rows."""
+    found = df.join(F.broadcast(clashes), "node", "left")
+    return found.withColumn("node", F.when(F.col("other") != F.col("least_other"), F.xxhash64("node", "other")).otherwise(F.col("node"))).drop("least_other", "other")
+
+
+def only_possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs that the histograms in nodes(node, bins) leave open."""
 
     def run(parts):
-        for columns in whole_runs(parts):
-            for u, v in pairs_of(columns, similarity):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], schema=EDGE)
+        for part in parts:
+            a, b = part.column(2).to_pylist(), part.column(3).to_pylist()
+            yield part.select([0, 1]).filter(pa.array([may_be_similar(x, y, similarity) for x, y in zip(a, b)], pa.bool_()))
+
+    side = lambda node, bins: nodes.select(F.col("node").alias(node), F.col("bins").alias(bins))
+    return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
 
-    def verify(parts):
+def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, clashes: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs whose sets have the Jaccard similarity; the sets are made again, of texts that the pairs need only."""
+
+    def run(parts):
         for part in parts:
-            u, v, a, b = (part.column(i).to_pylist() for i in range(4))
-            ok = [jaccard(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) >= similarity - 1e-12 for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(c, ok) if k], pa.int64()) for c in (u, v)], schema=EDGE)
+            a, b = part.column(2).to_pylist(), part.column(3).to_pylist()
+            yield part.select([0, 1]).filter(pa.array([jaccard(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) >= similarity - 1e-12 for x, y in zip(a, b)], pa.bool_()))
 
-    pairs = checkpointed(places.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct())
+    pairs = checkpointed(only_possible(pairs.distinct(), nodes, similarity))
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = sets_of(texts, nodes.join(ends, "node", "left_semi").select("h"))
+    sets = told_apart(sets_of(texts, nodes.join(ends, "node", "left_semi").select("h")), clashes)
+    sets = sets.groupBy("node").agg(F.first("grams").alias("grams"))
     side = lambda node, grams: sets.select(F.col("node").alias(node), F.col("grams").alias(grams))
     both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
-    return checkpointed(both.mapInArrow(verify, "u long, v long"))
+    return checkpointed(both.mapInArrow(run, "u long, v long"))
 
 
-def jaccard_roots(rows: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) over all links of at least that Jaccard similarity; nodes(node, h) has a text's hash for each set.
+def pairs_in_runs(places: DataFrame, pairs_of, similarity: float) -> DataFrame:
+    """Pairs (u, v) that pairs_of finds in the runs of places with one key."""
 
-    Sets that can link meet under a shingle of their prefixes. There one is compared with all others; then all pairs are
-    that these links leave in different components, so that a large group of near copies costs no square of its size.
+    def run(parts):
+        for columns in whole_runs(parts):
+            for u, v in pairs_of(columns, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], schema=EDGE)
+
+    return places.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+
+
+def similar_roots(rows: DataFrame, texts: DataFrame, nodes: DataFrame, clashes: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) over all links of at least that Jaccard similarity; nodes(node, h, fp, bins) has a text's hash for each set.
+
+    Candidates come from the BK-trees over the sets' fingerprints. No radius that prunes reaches every pair of that
+    similarity, so sets also meet under a shingle of their prefixes, which loses none: there one is compared with all
+    others, and each with DRAWS drawn by chance, and then all pairs that the links so far leave in different components.
+    So a large group of near copies costs no square of its size, as nearly all of it is connected before the second step.
+    Every pair is verified on the sets themselves.
     """
     places = checkpointed(shared_places(rows))
-    first = verified(places, first_pairs, texts, nodes, similarity)
-    roots = components(first)
+    links = verified(fingerprint_pairs(nodes).union(pairs_in_runs(places, some_pairs, similarity)), texts, nodes, clashes, similarity)
+    roots = components(links)
     rooted = places.join(roots, "node", "left").select("key", "node", "pos", "size", F.coalesce("root", "node").alias("root"))
-    rest = verified(rooted, other_pairs, texts, nodes, similarity)
-    return roots if rest.isEmpty() else components(first.union(rest))
+    rest = verified(pairs_in_runs(rooted, other_pairs, similarity), texts, nodes, clashes, similarity)
+    return roots if rest.isEmpty() else components(links.union(rest))
 
 
 def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of df without those that a row with a smaller id reaches over links; all columns.
+    """The rows of df without those that a row with a smaller id reaches over links; all columns, whatever their names.
 
-    Rows link if their sets of five-word shingles have a Jaccard similarity of at least `similarity`; texts without words
-    link with each other. Of rows that repeat an id, one for each component stays. Rows with a null id stay only where
-    their component has no other. The texts move once, to meet the keys of the rows that stay.
+    Rows link if their sets of five-word shingles have a Jaccard similarity of at least `similarity`; null, empty and
+    blank texts have an empty set and link with each other; a text of fewer than five words is one shingle. Of rows that
+    repeat an id, one for each component stays. Rows with a null id stay only where their component has no other. No
+    rows give no rows. The texts move once, to meet the keys of the rows that stay.
     """
-    names = [f"`{n}`" for n in df.columns]
     hashed = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("keys", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("bins", pa.binary()), ("keys", pa.binary())])
     docs = documents_of(df, id_col, text_col).withColumn("h", F.xxhash64("text"))
     texts = docs.select("h", "text")
     common = df.sparkSession.sparkContext.broadcast(common_grams(texts))
 
+    def described(doc_id: int | None, text: str, h: int) -> tuple:
+        hashes = shingle_hashes(text, SIMILAR_WIDTH)
+        grams = gram_set(hashes)
+        return doc_id, h, *node_of(grams.tobytes()), len(grams), fingerprint_of(hashes), histogram(grams), prefix(grams, *common.value, similarity).tobytes()
+
     def run(parts):
         for part in parts:
-            sets = [gram_set(t.as_py()) for t in part.column(1)]
-            node, size = [node_of(g.tobytes()) for g in sets], [len(g) for g in sets]
-            keys = [prefix(g, *common.value, similarity).tobytes() for g in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *map(pa.array, (node, size)), pa.array(keys, pa.binary())], schema=schema)
+            yield from batches(schema, (described(*r) for r in zip(*(c.to_pylist() for c in part.columns))), 1024)
 
-    rows = checkpointed(docs.mapInArrow(run, "doc_id long, h long, node long, size long, keys binary"))
+    rows = checkpointed(docs.mapInArrow(run, "doc_id long, h long, node long, other long, size long, fp long, bins binary, keys binary"))
+    clashes = rows.groupBy("node").agg(F.min("other").alias("least_other"), F.max("other").alias("last")).where("least_other < last").select("node", "least_other")
+    rows = told_apart(rows, clashes)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
-    nodes = rows.groupBy("node").agg(least.alias("least"))
-    roots = jaccard_roots(rows, texts, nodes.select("node", F.col("least.h").alias("h")), similarity)
+    nodes = checkpointed(rows.groupBy("node").agg(least.alias("least"), F.min("fp").alias("fp"), F.first("bins").alias("bins")))
+    roots = similar_roots(rows, texts, nodes.select("node", F.col("least.h").alias("h"), "fp", "bins"), clashes, similarity)
     rooted = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
-    stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("__id"), F.col("least.h").alias("__h"))
-    kept = df.join(stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (hashed == F.col("__h")), "left_semi")
+    own_id, own_h = unused(df, "own_id"), unused(df, "own_h")
+    stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias(own_id), F.col("least.h").alias(own_h))
+    kept = df.join(stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own_id)) & (hashed == F.col(own_h)), "left_semi")
     if rows.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return kept.select(*names)
-    return kept.withColumn("__h", hashed).dropDuplicates([id_col, "__h"]).select(*names)
+        return kept
+    return kept.withColumn(own_h, hashed).dropDuplicates([id_col, own_h]).drop(own_h)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

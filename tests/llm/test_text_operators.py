@@ -416,6 +416,9 @@ def test_simhash_edges(spark):
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] == 4) == [(4, "another text"), (4, "the same")]
     assert {r["doc_id"] for r in kept.collect()} == {None, 1, 4, 5, 6, 7}
     assert simhash.simhash_components(empty(spark)).count() == 0 and simhash.drop_near_duplicates(empty(spark)).count() == 0
+    clashing = odd(spark).withColumns({n: F.lit("mine") for n in ("own_id", "own_h", "node", "root", "least")})
+    kept = simhash.drop_near_duplicates(clashing)
+    assert kept.columns == clashing.columns and {(r["own_id"], r["own_h"], r["node"]) for r in kept.collect()} == {("mine", "mine", "mine")}
 
 
 def test_digests(spark):
@@ -428,21 +431,39 @@ def test_digests(spark):
     assert base == "email:5:11,ip:15:22" and len(hashlib.sha256(base.encode()).hexdigest()) == 64
 
 
-def test_similar_links(spark):
+def test_fingerprint_pairs(spark):
+    """Every pair is near, and every node that has a near one before it is in a pair."""
     r = np.random.default_rng(9)
-    base = [(int(r.integers(-(1 << 63), 1 << 63)), r.bytes(32)) for _ in range(12)]
     nodes = []
-    for fp, wide in base:
-        for _ in range(10):
-            bits = np.unpackbits(np.frombuffer(wide, np.uint8))
-            bits[r.choice(256, r.integers(0, 30), replace=False)] ^= 1
-            nodes.append((len(nodes), fp ^ int(sum(1 << int(k) for k in r.choice(63, r.integers(0, 5), replace=False))), bytearray(np.packbits(bits).tobytes())))
-    ham = lambda a, b: int(np.unpackbits(np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)).sum())
-    df = spark.createDataFrame(nodes, "node long, fp long, wide binary")
-    for limit in (20, 41):
-        want = [(a[0], b[0]) for a in nodes for b in nodes if a[0] < b[0] and simhash.distance(a[1], b[1]) <= 7 and ham(a[2], b[2]) <= limit]
-        got = [tuple(e) for e in simhash.similar_links(df, 7, limit).collect()]
-        assert classes(got, range(len(nodes))) == classes(want, range(len(nodes)))
+    for base in r.integers(-(1 << 63), 1 << 63, 12).tolist():
+        nodes += [(len(nodes) + k, base ^ int(sum(1 << int(b) for b in r.choice(63, r.integers(0, 4), replace=False)))) for k in range(10)]
+    fp = dict(nodes)
+    got = [tuple(e) for e in simhash.fingerprint_pairs(spark.createDataFrame(nodes, "node long, fp long"), 3).collect()]
+    assert got and all(a < b and simhash.distance(fp[a], fp[b]) <= 3 for a, b in got)
+    assert {n for e in got for n in e} >= {b for a in fp for b in fp if a < b and simhash.distance(fp[a], fp[b]) <= 3}
+
+
+def test_histograms_rule_out_no_similar_pair():
+    r = np.random.default_rng(4)
+    ruled_out = 0
+    for n in (0, 1, 3, 50, 400, 3000):
+        for share in (0.0, 0.5, 0.7, 0.8, 0.9, 1.0):
+            common = r.integers(-(1 << 62), 1 << 62, int(n * share))
+            a, b = (np.unique(np.concatenate([common, r.integers(-(1 << 62), 1 << 62, n - len(common))])) for _ in "ab")
+            open_, similar = simhash.may_be_similar(simhash.histogram(a), simhash.histogram(b), 0.8), simhash.jaccard(a, b) >= 0.8
+            assert open_ or not similar
+            ruled_out += not open_
+    assert ruled_out >= 8
+    crowded = np.arange(0, 64 * 600, 64)
+    assert simhash.may_be_similar(simhash.histogram(np.concatenate([crowded, crowded + 1])), simhash.histogram(crowded), 0.8) in (True, False)
+    assert max(simhash.histogram(np.arange(0, 1 << 20, 1 << 10))) == 255
+
+
+def test_sets_with_one_node_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (1, 5, "c"), (2, 9, "d")], "node long, other long, x string")
+    clashes = spark.createDataFrame([(1, 5)], "node long, least_other long")
+    got = {r["x"]: r["node"] for r in simhash.told_apart(rows, clashes).collect()}
+    assert got["a"] == got["c"] == 1 and got["d"] == 2 and got["b"] not in (1, 2)
 
 
 def test_near_copies_go(spark):
@@ -493,3 +514,61 @@ def test_near_copies_are_those_of_jaccard_similarity(spark):
                 root = [x if z == y else z for z in root]
     kept = {x["doc_id"] for x in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
     assert kept == set(root)
+
+
+def test_contaminated_rows_without_an_id(spark):
+    item = " ".join(f"rare{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, f"so {item} it is"), (None, "clean"), (5, None), (5, item), (6, "clean words only")], "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("b", F.lit("b"))
+    got = {r["doc_id"]: (r["contaminated"], r["n_items"], r["best_item"]) for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == {None: (True, 1, 1), 5: (True, 1, 1), 6: (False, 0, None)}
+    assert sorted(r["text"] or "" for r in decontamination.drop_contaminated(docs, bench).collect()) == ["", "clean", "clean words only"]
+    assert decontamination.drop_contaminated(docs, bench.limit(0)).count() == 5 and decontamination.drop_contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_seeds_are_rare_or_of_the_rarer_half():
+    r = random.Random(2)
+    items = decontamination.Items([(k, " ".join(f"w{r.randrange(40)}" for _ in range(r.randrange(3, 30)))) for k in range(50)], 3)
+    frequency = np.array([r.randrange(1000) for _ in items.distinct])
+    often = frequency[np.searchsorted(items.distinct, items.gram)]
+    keep = often <= 100
+    for k in range(50):
+        own = [i for i in range(len(often)) if items.item[i] == k]
+        keep[sorted(own, key=lambda i: often[i])[: (len(own) + 1) // 2]] = True
+    got = items.seeds(frequency, 100)
+    assert got.item.tolist() == items.item[keep].tolist() and got.at.tolist() == items.at[keep].tolist()
+
+
+def planted_contexts(n=120, seed=4):
+    """Texts in which numbers follow the same few words; a third of the numbers has a form that no base pattern knows."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(6))
+    phone = lambda: f"+49 {r.randrange(100, 999)} {r.randrange(10**6, 10**7)}"
+    hidden = lambda: f"{r.randrange(100, 999)}/{r.randrange(10**6, 10**7)}"
+    rows = []
+    for d in range(n):
+        for lead in ("please call", "phone number"):
+            rows.append((len(rows), f"{word()} {word()} {lead} {hidden() if d % 3 == 0 else phone()} today {word()}"))
+    return rows + [(10_000 + k, f"{word()} in year {1900 + k} {word()} {word()}") for k in range(50)]
+
+
+def test_hidden_identifiers_are_found_by_their_contexts(spark):
+    """Numbers in no base form are found where known ones stand in the same contexts; other numbers are left alone."""
+    rows = planted_contexts()
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hidden = {d for d, t in rows if "/" in t}
+    found = {d for d, r in got.items() if len(r["spans"]) > len(r["base"])}
+    assert len(found & hidden) >= 0.9 * len(hidden) and not found - hidden
+    assert all(t[s["start"] : s["end"]].replace("/", "").isdigit() for d, t in rows if d in found for s in got[d]["spans"])
+
+
+def test_redact_edges(spark):
+    """Ids that are text, null or repeated, null texts and clashing names; what the contexts tell goes too."""
+    rows = [(f"{d:05d}", t) for d, t in planted_contexts()] + [(None, None), (None, "mail a@b.cd"), ("00001", "")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumns({n: F.lit("mine") for n in ("pii_key", "pii_added", "key", "kind")})
+    out = pii.redact(docs)
+    assert out.columns == docs.columns and pii.redact(docs.limit(0)).count() == 0
+    got = out.collect()
+    assert len(got) == len(rows) and {r["pii_key"] for r in got} == {"mine"} and sum(r["text"] is None for r in got) == 1
+    assert sum("/" in (r["text"] or "") for r in got) <= 8 and "mail [EMAIL]" in {r["text"] for r in got}
+    assert pii.instance_of("x" * 90 + "1") != pii.instance_of("x" * 90 + "2") and "@" in pii.instance_of("y" * 100 + "@")
