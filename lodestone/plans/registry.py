@@ -412,7 +412,7 @@ def vec_similarity_topk_4x(s, d):
     return dense.knn(labelled(s, d), vector_queries(s, d), 16).select("query_id", "id", r6(1 - F.col("distance")).alias("similarity"))
 
 
-@query("vec_pairwise_cosine", "with v as (select vec_id as id, embedding::double[] as e from embeddings order by vec_id limit 2000), p as (select list_cosine_distance(a.e, b.e) as d from v a, v b where a.id < b.id) select count(*) as pairs, round(avg(d), 6) as mean, round(quantile_cont(d, 0.5), 6) as median, round(stddev_pop(d), 6) as std, round(min(d), 6) as least, round(max(d), 6) as most from p")
+@query("vec_pairwise_cosine", "with v as (select vec_id as id, embedding::double[] as e from embeddings), p as (select list_cosine_distance(a.e, b.e) as d from v a, v b where a.id < b.id) select count(*) as pairs, round(avg(d), 6) as mean, round(quantile_cont(d, 0.5), 6) as median, round(stddev_pop(d), 6) as std, round(min(d), 6) as least, round(max(d), 6) as most from p")
 def vec_pairwise_cosine(s, d):
     r = dense.pair_statistics(labelled(s, d))
     return r.select("pairs", *[r6(c).alias(c) for c in r.columns[1:]])

@@ -112,12 +112,15 @@ class Services:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def exists(self, name: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/documents")
+    def exists(self, name: str, part: str = "documents") -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{part}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def index(self, name: str, documents: DataFrame, vectors: DataFrame | None = None, override: Retrieval | None = None) -> None:
-        """Build the tables, or add the sources that aren't there yet; a protected index isn't built anew."""
+        """Build the tables, or add the sources that aren't there yet; a protected index isn't built anew.
+
+        An update adds the vectors of fresh sources, or, of vectors that name no source, those with an id that isn't there yet.
+        """
         how = merged(self._of(name), override)
         if self._state.get(name) in ("queued", "running"):
             raise ServiceError(Code.BAD_REQUEST, f"{name} is being indexed")
@@ -130,7 +133,10 @@ class Services:
                     raise ServiceError(Code.INPUT_BAD, f"the index of {name} is protected")
                 if there and how.update_index:
                     old = LexicalIndex.read(self.spark, self.path(name))
-                    fresh = documents.join(old.documents.select("source").distinct(), "source", "left_anti").select(*old.documents.columns)
+                    known = old.documents.select("source").distinct()
+                    fresh = documents.join(known, "source", "left_anti").select(*old.documents.columns)
+                    if vectors is not None:
+                        self._append_vectors(name, vectors, known)
                     fresh.write.mode("append").parquet(f"{self.path(name)}/documents")
                     self._rest(name)
                 elif not there or how.reindex:
@@ -144,6 +150,15 @@ class Services:
                 self._state[name] = "error"
                 raise
 
+    def _append_vectors(self, name: str, vectors: DataFrame, known: DataFrame) -> None:
+        """Before the documents are added, as `known` is what stands there."""
+        path = f"{self.path(name)}/vectors"
+        if "source" in vectors.columns:
+            vectors = vectors.join(known, "source", "left_anti").select(*vectors.columns)
+        elif self.exists(name, "vectors"):
+            vectors = vectors.join(self.spark.read.parquet(path).select("id"), "id", "left_anti").select(*vectors.columns)
+        vectors.write.mode("append").parquet(path)
+
     def _rest(self, name: str) -> None:
         built = build_index(self.spark.read.parquet(f"{self.path(name)}/documents"))
         for part in ("postings", "terms", "fields"):
@@ -161,12 +176,15 @@ class Services:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def predict(self, name: str, questions: DataFrame, override: Retrieval | None = None, generate: Callable[[DataFrame], DataFrame] | None = None) -> Answer | DataFrame:
-        """What is retrieved for the questions, or what a generator makes of (query_id, text, context)."""
+        """What is retrieved for the questions, or what a generator makes of (query_id, text, context).
+
+        A service without vectors finds nothing by embedding.
+        """
         how = merged(self._of(name), override)
         there = self.exists(name)
         index = LexicalIndex.read(self.spark, self.path(name)) if there else None
         vectors = None
-        if there and uses_embeddings(how.retrieval_mode) and "vec" in questions.columns:
+        if self.exists(name, "vectors") and uses_embeddings(how.retrieval_mode) and "vec" in questions.columns:
             vectors = self.spark.read.parquet(f"{self.path(name)}/vectors")
         answer = retrieve(how, questions, vectors, index)
         if generate is None:

@@ -127,9 +127,9 @@ def pages_of(texts: DataFrame, separator: str = "\f") -> DataFrame:
 
 
 def tsv_collection(spark: SparkSession, path: str) -> DataFrame:
-    """(pid, passage) of pid, passage and optional title; a title goes in front. A pid other than the line's number is an error."""
+    """(pid, passage) of pid, passage and optional title; a title goes in front. Numbers that aren't those of the lines, 0 to n - 1, are an error."""
     rows = spark.read.option("sep", "\t").option("quote", "").schema("pid long, passage string, title string").csv(path)
-    return rows.select("pid", F.concat_ws(" | ", "title", "passage").alias("passage"))
+    return checked_collection(rows.select("pid", F.concat_ws(" | ", "title", "passage").alias("passage")))
 
 
 def checked_collection(rows: DataFrame) -> DataFrame:

@@ -274,3 +274,33 @@ def test_kmeans_select_goes_to_ten_clusters(spark):
     from lodestone.plans import registry
 
     assert sorted(r["k"] for r in registry.an_kmeans_select(spark, "/root/testdata/sf0.001").collect()) == list(range(2, 11))
+
+
+def test_updates_add_the_vectors_of_fresh_sources(spark, tmp_path):
+    from lodestone.plans import config, retrieval
+
+    services = retrieval.Services(spark, str(tmp_path))
+    services.create("v")
+    rows = [("d1", "a.pdf", 1, None, None, "fuel pump"), ("d2", "b.pdf", 1, None, None, "relay box")]
+    library = spark.createDataFrame(rows, "doc_id string, source string, page_number int, crop_label string, label string, content string")
+    vectors = spark.createDataFrame([("d1", "a.pdf", [1.0, 0.0]), ("d2", "b.pdf", [0.0, 1.0])], "id string, source string, embedding array<double>")
+    services.index("v", library.where("source = 'a.pdf'"), vectors.where("source = 'a.pdf'"))
+    services.index("v", library, vectors, override=config.Retrieval.of(update_index=True))
+    assert services.count("v") == 2
+    assert sorted(r["id"] for r in spark.read.parquet(services.path("v") + "/vectors").collect()) == ["d1", "d2"]
+    services.create("w")
+    services.index("w", library)
+    assert not services.exists("w", "vectors")
+    questions = spark.createDataFrame([(1, "fuel pump", [1.0, 0.0])], "query_id long, text string, vec array<double>")
+    services.predict("w", questions)
+
+
+def test_collections_number_their_lines(spark, tmp_path):
+    from lodestone.sources import files
+
+    (tmp_path / "good.tsv").write_text("0\tfirst passage\tTitle\n1\tsecond passage\n")
+    (tmp_path / "bad.tsv").write_text("5\tfirst passage\n9\tsecond passage\n")
+    got = {r["pid"]: r["passage"] for r in files.tsv_collection(spark, str(tmp_path / "good.tsv")).collect()}
+    assert got == {0: "Title | first passage", 1: "second passage"}
+    with pytest.raises(ValueError):
+        files.tsv_collection(spark, str(tmp_path / "bad.tsv"))
