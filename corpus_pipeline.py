@@ -14,23 +14,29 @@ from lodestone.llm.toxicity import drop_toxic, fit_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more go; the network learns from the labelled ones among docs, outside its held-out fold."""
+    """Documents that score 0.7 or more go; the network learns from the labelled ones among docs, outside its held-out fold.
+
+    Null, empty and wordless texts score as ordinary clean ones and stay; repeated rows stay or go alike; without labels
+    all stay. As in all stages but the last, ids may be null and the columns of docs come out as they are, and an
+    empty table gives an empty one.
+    """
     return drop_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
+    """One document of each group of near copies stays, that with the smallest id; texts without words are copies of each other."""
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a whole or edited copy of a benchmark item go."""
+    """Documents with a whole or edited copy of a benchmark item go; null and empty texts stay, and all without items."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets, and n_chars follows the text."""
-    return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Personal data is replaced by its kind in brackets, and n_chars, where docs have it, follows the text; null texts stay null."""
+    out = redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
