@@ -12,9 +12,11 @@ def rouge_n(pairs: DataFrame, n: int, *, id_col: str = "id") -> DataFrame:
     """(id, rouge) F-measure of shared n-grams for pairs(id, reference, answer): the smaller count of each counts. Without stemming."""
 
     def grams(c: str) -> DataFrame:
-        w = tokens(F.coalesce(F.col(c), F.lit("")))
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return pairs.select(id_col, F.explode(F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))).alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias(c))
+        # the words stand in a column of their own, so that no window makes them again
+        words = pairs.select(id_col, tokens(F.coalesce(F.col(c), F.lit(""))).alias("w"))
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        found = F.col("w") if n == 1 else F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
+        return words.select(id_col, F.explode(found).alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias(c))
 
     both = grams("reference").join(grams("answer"), [id_col, "gram"], "full_outer")
     sums = both.groupBy(id_col).agg(F.sum(F.coalesce(F.least("reference", "answer"), F.lit(0)) * (F.col("reference").isNotNull() & F.col("answer").isNotNull()).cast("int")).alias("m"), F.coalesce(F.sum("reference"), F.lit(0)).alias("r"), F.coalesce(F.sum("answer"), F.lit(0)).alias("a"))
