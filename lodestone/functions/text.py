@@ -77,8 +77,7 @@ def ascii_tokens(c: Column | str) -> Column:
 
 def keyword_tokens(c: Column | str) -> Column:
     """Tokens of more than one character that are no stop words, case kept."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(ascii_tokens(c), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, F.lower(t)))
+    return F.filter(ascii_tokens(c), lambda t: (F.length(t) > 1) & ~F.lower(t).isin(*STOP_WORDS))
 
 
 def keywords(c: Column | str) -> Column:
