@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.decontamination import op9_decontamination
+from lodestone.llm.merkle import OP11_SQL, op11_merkle
 from lodestone.llm.neighbours import op7_neighbours
 from lodestone.llm.packing import op1_packing
 from lodestone.llm.pii import op8_pii
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
+    "op11_merkle": op11_merkle,
 }
 
-ORACLES: dict[str, str] = {"op6_spans": OP6_SQL}
+ORACLES: dict[str, str] = {"op6_spans": OP6_SQL, "op11_merkle": OP11_SQL}
