@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm.chat import OP12_SQL, op12_chat
 from lodestone.llm.decontamination import op9_decontamination
 from lodestone.llm.merkle import OP11_SQL, op11_merkle
 from lodestone.llm.neighbours import op7_neighbours
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
     "op11_merkle": op11_merkle,
+    "op12_chat": op12_chat,
 }
 
-ORACLES: dict[str, str] = {"op6_spans": OP6_SQL, "op11_merkle": OP11_SQL}
+ORACLES: dict[str, str] = {"op6_spans": OP6_SQL, "op11_merkle": OP11_SQL, "op12_chat": OP12_SQL}
