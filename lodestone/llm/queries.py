@@ -18,6 +18,7 @@ from lodestone.llm.spans import OP6_SQL, op6_spans
 from lodestone.llm.suffixes import op2_suffixes
 from lodestone.llm.token_counts import op3_token_counts
 from lodestone.llm.toxicity import op4_toxicity
+from lodestone.llm.trie import OP13_SQL, op13_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_merkle": op11_merkle,
     "op12_chat": op12_chat,
+    "op13_trie": op13_trie,
 }
 
-ORACLES: dict[str, str] = {"op6_spans": OP6_SQL, "op11_merkle": OP11_SQL, "op12_chat": OP12_SQL}
+ORACLES: dict[str, str] = {"op6_spans": OP6_SQL, "op11_merkle": OP11_SQL, "op12_chat": OP12_SQL, "op13_trie": OP13_SQL}

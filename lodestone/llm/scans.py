@@ -54,7 +54,7 @@ class Pass:
         return self._powers[:n]
 
     def step(self, group: pa.Array, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Places in their group of a batch's rows, and running sums, then chains, up to and with each row."""
+        """Places in their group of a batch's rows; running sums, then chains, up to and with each row, and chains before it."""
         n = len(group)
         change = pc.not_equal(group[1:], group[:-1]).to_numpy(zero_copy_only=False).astype(bool)
         if not self.seen:
@@ -67,7 +67,7 @@ class Pass:
         local = np.arange(n) - begin
         carried = begin == 0
         place = local + np.where(carried, self.now.n, 0)
-        outs = []
+        outs, befores = [], []
         weight = pow(BASE, self.now.n, 1 << 64)
         for k, values in enumerate(columns):
             chain = k >= self.sums
@@ -77,16 +77,18 @@ class Pass:
             run = total[1:] - total[begin]
             before = self.now.chains[k - self.sums] if chain else self.now.sums[k]
             outs.append(np.where(carried, run * np.uint64(weight if chain else 1) + np.uint64(before), run))
+            if chain:
+                befores.append(outs[-1] - values * np.where(carried, np.uint64(weight), np.uint64(1)))
         self.last = group[n - 1].as_py()
         ends = [int(o[-1]) for o in outs]
         self.now = Totals(int(place[-1]) + 1, tuple(ends[: self.sums]), tuple(ends[self.sums :]))
-        return place, [o.view(np.int64) for o in outs]
+        return place, [o.view(np.int64) for o in (*outs, *befores)]
 
 
 def running(df: DataFrame, group: str, by: list[str], sums: tuple[str, ...] = (), chains: tuple[str, ...] = ()) -> DataFrame:
-    """df with `place`, the number of rows of its group before a row, and for each c of sums and chains `c_run`.
+    """df with `place`, the number of rows of its group before a row, for each c of sums and chains `c_run`, and for chains `c_before`.
 
-    Sums run up to and with a row, modulo 2^64; a chain weighs a row's value by a power of its place, so that chains tell
+    Both run up to and with a row, modulo 2^64, or end before it; a chain weighs a row's value by a power of its place, so that chains tell
     sequences apart. group: a column of texts or whole numbers without nulls; the order is by group, then by `by`, nulls
     first, and among rows equal in all of these any. The values are longs without nulls. No rows give no rows.
     """
@@ -121,7 +123,7 @@ def running(df: DataFrame, group: str, by: list[str], sums: tuple[str, ...] = ()
         starts[row["part"]] = before
         now, last = before.then(own) if row["whole"] else own, row["last"]
     shared = spark.sparkContext.broadcast({p: (t.n, t.sums, t.chains) for p, t in starts.items()})
-    kept = list(df.columns)
+    kept, added = list(df.columns), [*[f"{x}_run" for x in names], *[f"{x}_before" for x in chains]]
 
     def summed(parts):
         it = None
@@ -129,7 +131,7 @@ def running(df: DataFrame, group: str, by: list[str], sums: tuple[str, ...] = ()
             if part.num_rows:
                 it = it or Pass(s, c, Totals(*shared.value[part.column(part.schema.get_field_index("_part"))[0].as_py()]))
                 place, outs = it.step(part.column(part.schema.get_field_index(group)), columns(part))
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(kept))], pa.array(place, pa.int64()), *[pa.array(o, pa.int64()) for o in outs]], names=[*kept, "place", *[f"{x}_run" for x in names]])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(kept))], pa.array(place, pa.int64()), *[pa.array(o, pa.int64()) for o in outs]], names=[*kept, "place", *added])
 
-    schema = StructType([*df.schema.fields, StructField("place", LongType()), *[StructField(f"{x}_run", LongType()) for x in names]])
+    schema = StructType([*df.schema.fields, StructField("place", LongType()), *[StructField(x, LongType()) for x in added]])
     return laid.mapInArrow(summed, schema)
