@@ -19,7 +19,6 @@ ARITY = 2
 #: A level of at most so many nodes is one partition, so that the levels above cost no shuffles.
 SMALL = 20_000
 STEP = "struct<before: binary, after: binary>"
-_NONE = F.lit(b"")
 
 
 def text_of(digest: Column) -> Column:
@@ -89,9 +88,10 @@ def pushed(levels: list[DataFrame], seeds: DataFrame, arity: int) -> DataFrame:
         parents = seeds.where(F.col("level") == k).select("g", F.lit(0).cast("long").alias("up"), F.array("digest").alias("run"), F.col("proof").alias("inherited"), F.col("digest").alias("subroot"), F.lit(True).alias("seed"))
         if above is not None:
             parents = parents.unionByName(above.select("g", F.col("idx").alias("up"), F.col("children").alias("run"), F.col("proof").alias("inherited"), "subroot", F.lit(False).alias("seed")))
-        at = F.col("idx") % arity
-        before = F.concat(*[F.when(at > i, F.coalesce(F.get("run", F.lit(i)), _NONE)).otherwise(_NONE) for i in range(arity)])
-        after = F.concat(*[F.when(at < i, F.coalesce(F.get("run", F.lit(i)), _NONE)).otherwise(_NONE) for i in range(arity)])
+        at, none = F.col("idx") % arity, F.lit(b"")
+        member = [F.coalesce(F.get("run", F.lit(i)), none) for i in range(arity)]
+        before = F.concat(*[F.when(at > i, m).otherwise(none) for i, m in enumerate(member)])
+        after = F.concat(*[F.when(at < i, m).otherwise(none) for i, m in enumerate(member)])
         own = F.array(F.struct(before.alias("before"), after.alias("after")))
         joined = here.withColumn("up", F.expr(f"idx div {arity}")).join(parents, ["g", "up"])
         above = joined.select(*[here[c] for c in here.columns], F.when(F.col("seed"), F.col("inherited")).otherwise(F.concat(own, F.col("inherited"))).alias("proof"), "subroot")
