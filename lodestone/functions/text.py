@@ -70,6 +70,11 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(c)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def token_count(c: Column | str) -> Column:
+    """How many `tokens` a text has."""
+    return F.regexp_count(F.lower(col(c)), F.lit(r"[\p{L}\p{N}]+"))
+
+
 def ascii_tokens(c: Column | str) -> Column:
     """Runs of ASCII letters and digits, case kept; hyphens part tokens."""
     return F.regexp_extract_all(col(c), F.lit("([A-Za-z0-9]+)"), F.lit(1))

@@ -1,7 +1,7 @@
 """Lexical retrieval: an inverted index in tables, and BM25 over many questions at once.
 
-Tables: documents(doc_id, source, page_number, crop_label, label, content), postings(term, field, doc_id, tf, length),
-terms(term, field, df) and fields(field, n, average). A search joins the questions' few terms with the postings, so
+Tables: documents(doc_id, source, page_number, crop_label, label, content), postings(term, field, doc_id, tf, length,
+crop_label), terms(term, field, df), of which a term may have several rows that add up, and fields(field, n, average). A search joins the questions' few terms with the postings, so
 that only postings of asked terms move, sums the scores, and ranks with a group limit per question.
 """
 
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import ascii_tokens, bm25_clean, keyword_tokens, strip, tokens
+from lodestone.functions.text import ascii_tokens, bm25_clean, keyword_tokens, strip, token_count, tokens
 
 FIELDS = ("content", "source")
 K1, B = 1.2, 0.75
@@ -27,6 +27,13 @@ class LexicalIndex:
     postings: DataFrame
     terms: DataFrame
     fields: DataFrame
+    #: (segment, doc_id) of postings that don't count any more.
+    dead: DataFrame | None = None
+
+    def postings_of(self, terms: DataFrame) -> DataFrame:
+        """The postings of terms(term), dead ones left out after the terms are chosen."""
+        chosen = self.postings.join(terms, "term", "left_semi")
+        return chosen if self.dead is None else chosen.join(self.dead, ["segment", "doc_id"], "left_anti")
 
     def write(self, path: str, mode: str = "overwrite") -> None:
         for name in TABLES:
@@ -52,12 +59,12 @@ def chunk_id(source, page, start, number):
 
 def build_index(documents: DataFrame, fields: tuple[str, ...] = FIELDS) -> LexicalIndex:
     """The index of rows with the columns of COLUMNS; ids must be distinct."""
-    long = documents.select("doc_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[F.coalesce(F.col(f), F.lit("")) for f in fields]))).alias("field", "text"))
-    words = long.select("doc_id", "field", tokens("text").alias("words"))
-    lengths = words.select("doc_id", "field", F.size("words").alias("length"))
-    postings = words.select("doc_id", "field", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("term", "field", "doc_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    texts = F.explode(F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[F.coalesce(F.col(f), F.lit("")) for f in fields]))).alias("field", "text")
+    words = documents.select("doc_id", "crop_label", texts).select("doc_id", "crop_label", "field", tokens("text").alias("words"))
+    each = words.select("doc_id", "crop_label", "field", F.size("words").alias("length"), F.explode("words").alias("term"))
+    postings = each.groupBy("term", "field", "doc_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.first("crop_label").alias("crop_label"))
     terms = postings.groupBy("term", "field").agg(F.count("*").alias("df"))
-    per_field = lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("average"))
+    per_field = documents.select(texts).groupBy("field").agg(F.count("*").alias("n"), F.avg(token_count("text")).alias("average"))
     return LexicalIndex(documents, postings, terms, per_field)
 
 
@@ -71,7 +78,11 @@ def search(index: LexicalIndex, questions: DataFrame, *, limit: int, fields: tup
     wanted = questions if "labels" in questions.columns else questions.withColumn("labels", F.lit(None).cast("array<string>"))
     asked = wanted.select("query_id", "labels", F.transform(keyword_tokens(strip("text")), lambda t: F.lower(t)).alias("words"))
     asked_terms = asked.select("query_id", "labels", F.explode(F.array_distinct("words")).alias("term"))
-    stats = index.terms.join(F.broadcast(index.fields), "field").where(F.col("field").isin(*fields))
+    fits = F.col("labels").isNull() | (F.size("labels") == 0) | F.coalesce(F.array_contains("labels", F.col("crop_label")), F.lit(False)) if "labels" in questions.columns else F.lit(True)
+    few = asked_terms.select("term").distinct()
+    terms = index.terms.where(F.col("field").isin(*fields))
+    terms = (terms if okapi else terms.join(few, "term", "left_semi")).groupBy("term", "field").agg(F.sum("df").alias("df")).where("df > 0")
+    stats = terms.join(F.broadcast(index.fields), "field")
     if okapi:
         raw = stats.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         mean = raw.groupBy("field").agg(F.avg("idf").alias("mean"))
@@ -80,15 +91,12 @@ def search(index: LexicalIndex, questions: DataFrame, *, limit: int, fields: tup
         stats, k1 = stats.withColumn("idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))), K1
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - B + B * F.col("length") / F.col("average")))
-    scored = asked_terms.join(stats, "term").join(index.postings, ["term", "field"]).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    scored = asked_terms.join(stats, "term").join(index.postings_of(few), ["term", "field"]).where(fits).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
     # without a keyword all documents tie: the first ones of each label are all that a ranking of `limit` can show
     first = F.row_number().over(Window.partitionBy("crop_label").orderBy("doc_id"))
-    leading = index.documents.select("doc_id", first.alias("n")).where(F.col("n") <= limit).select("doc_id")
-    everything = asked.where(F.size("words") == 0).select("query_id").crossJoin(leading).withColumn("score", F.lit(1.0))
+    leading = index.documents.select("doc_id", first.alias("n"), "crop_label").where(F.col("n") <= limit).select("doc_id", "crop_label")
+    everything = asked.where(F.size("words") == 0).crossJoin(leading).where(fits).select("query_id", "doc_id", F.lit(1.0).alias("score"))
     hits = scored.unionByName(everything)
-    allowed = asked.select("query_id", "labels").where(F.size("labels") > 0)
-    labelled = hits.join(allowed, "query_id", "left").join(index.documents.select("doc_id", "crop_label"), "doc_id")
-    hits = labelled.where(F.col("labels").isNull() | F.coalesce(F.array_contains("labels", F.col("crop_label")), F.lit(False))).select("query_id", "doc_id", "score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "score")
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from lodestone.functions import geometry as geo
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
-from lodestone.operators import analytics, context, dense, evaluation, fusion, late, lexical, training
+from lodestone.operators import analytics, context, dense, evaluation, fusion, late, lexical, segments, training
 from lodestone.plans import retrieval
 from lodestone.sources import files, keyvalue
+from lodestone.sources.scratch import scratch
 from lodestone.streaming import indexing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -465,6 +466,22 @@ def lex_search(s, d):
     return hits.select("query_id", "rank", "doc_id", r6("score").alias("score"))
 
 
+@query("lex_segments", "with " + HITS + " select query_id, cast(rank as int) as rank, doc_id, round(score, 6) as score from hits where rank <= 10")
+def lex_segments(s, d):
+    """The same search over an index that came about by updates: first texts replaced, strangers deleted, segments merged."""
+    docs, index = lexical_documents(s, d), segments.SegmentedIndex(s, scratch(s, "segments"))
+    third = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    early = F.when(F.pmod(F.xxhash64("source"), F.lit(2)) == 0, F.reverse("content")).otherwise(F.col("content"))
+    stranger = docs.where(third == 1).withColumn("doc_id", F.concat(F.lit("gone:"), "doc_id"))
+    index.create(docs.where(third == 0).withColumn("content", early))
+    index.add(docs.where(third == 1).unionByName(stranger))
+    index.add(docs.where((third == 2) | ((third == 0) & (F.pmod(F.xxhash64("source"), F.lit(2)) == 0))))
+    index.delete(stranger)
+    index.compact(2)
+    hits = lexical.search(index.index(), questions(s, d), limit=10)
+    return hits.select("query_id", "rank", "doc_id", r6("score").alias("score"))
+
+
 @query("lex_bm25_ensemble", "with " + LEX + """,
 idf as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from df join st using (field) where field = 'content'),
 fl as (select term, case when raw < 0 then 0.25 * (select avg(raw) from idf) else raw end as idf from idf),

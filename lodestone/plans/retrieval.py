@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import col
 from lodestone.operators.context import bounded_hits, context_text
 from lodestone.operators.dense import knn
-from lodestone.operators.lexical import LexicalIndex, build_index, fetched, search
+from lodestone.operators.lexical import LexicalIndex, fetched, search
+from lodestone.operators.segments import SegmentedIndex
 from lodestone.plans.config import Code, Retrieval, ServiceError, merged, uses_embeddings, uses_text
+from lodestone.sources.scratch import names, remove
 
 
 @dataclass
@@ -112,9 +114,11 @@ class Services:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def exists(self, name: str, part: str = "documents") -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{part}")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def lexical(self, name: str) -> SegmentedIndex:
+        return SegmentedIndex(self.spark, f"{self.path(name)}/lexical")
+
+    def exists(self, name: str, part: str = "lexical") -> bool:
+        return self.lexical(name).exists() if part == "lexical" else bool(names(self.spark, f"{self.path(name)}/{part}"))
 
     def index(self, name: str, documents: DataFrame, vectors: DataFrame | None = None, override: Retrieval | None = None) -> None:
         """Build the tables, or add the sources that aren't there yet; a protected index isn't built anew.
@@ -131,17 +135,15 @@ class Services:
                 there = self.exists(name)
                 if there and how.reindex and how.index_protection:
                     raise ServiceError(Code.INPUT_BAD, f"the index of {name} is protected")
+                index = self.lexical(name)
                 if there and how.update_index:
-                    old = LexicalIndex.read(self.spark, self.path(name))
-                    known = old.documents.select("source").distinct()
-                    fresh = documents.join(known, "source", "left_anti").select(*old.documents.columns)
+                    known = index.documents().select("source").distinct()
                     if vectors is not None:
                         self._append_vectors(name, vectors, known)
-                    fresh.write.mode("append").parquet(f"{self.path(name)}/documents")
-                    self._rest(name)
+                    index.add(documents.join(known, "source", "left_anti"))
+                    index.compact()
                 elif not there or how.reindex:
-                    documents.write.mode("overwrite").parquet(f"{self.path(name)}/documents")
-                    self._rest(name)
+                    index.create(documents)
                     if vectors is not None:
                         vectors.write.mode("overwrite").parquet(f"{self.path(name)}/vectors")
                 self._write_mode(name, how.retrieval_mode)
@@ -159,21 +161,15 @@ class Services:
             vectors = vectors.join(self.spark.read.parquet(path).select("id"), "id", "left_anti").select(*vectors.columns)
         vectors.write.mode("append").parquet(path)
 
-    def _rest(self, name: str) -> None:
-        built = build_index(self.spark.read.parquet(f"{self.path(name)}/documents"))
-        for part in ("postings", "terms", "fields"):
-            getattr(built, part).write.mode("overwrite").parquet(f"{self.path(name)}/{part}")
-
     def _write_mode(self, name: str, mode: str) -> None:
         self.spark.createDataFrame([(json.dumps({"retrieval_mode": mode}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path(name)}/settings")
 
     def count(self, name: str) -> int:
         self._of(name)
-        return self.spark.read.parquet(f"{self.path(name)}/documents").count() if self.exists(name) else 0
+        return self.lexical(name).count()
 
     def reset(self, name: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        remove(self.spark, self.path(name))
 
     def predict(self, name: str, questions: DataFrame, override: Retrieval | None = None, generate: Callable[[DataFrame], DataFrame] | None = None) -> Answer | DataFrame:
         """What is retrieved for the questions, or what a generator makes of (query_id, text, context).
@@ -181,8 +177,7 @@ class Services:
         A service without vectors finds nothing by embedding.
         """
         how = merged(self._of(name), override)
-        there = self.exists(name)
-        index = LexicalIndex.read(self.spark, self.path(name)) if there else None
+        index = self.lexical(name).index() if self.exists(name) else None
         vectors = None
         if self.exists(name, "vectors") and uses_embeddings(how.retrieval_mode) and "vec" in questions.columns:
             vectors = self.spark.read.parquet(f"{self.path(name)}/vectors")
