@@ -75,6 +75,25 @@ def token_count(c: Column | str) -> Column:
     return F.regexp_count(F.lower(col(c)), F.lit(r"[\p{L}\p{N}]+"))
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that gives an array, where the value is computed once: a lambda over an array of one binds it."""
+    return F.flatten(F.transform(F.array(value), f))
+
+
+def counted(words: Column | str) -> Column:
+    """Array of (term, tf): the distinct members of an array of texts and how often each is there, by one sort."""
+
+    def of(w: Column, starts: Column) -> Column:
+        return F.transform(starts, lambda s, i: F.struct(F.get(w, s).alias("term"), (F.coalesce(F.get(starts, i + 1), F.size(w)) - s).cast("long").alias("tf")))
+
+    def first(w: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+
+    words = col(words)
+    some = bound(F.array_sort(words), lambda w: bound(first(w), lambda starts: of(w, starts)))
+    return F.when(F.size(words) > 0, some).otherwise(F.array().cast("array<struct<term: string, tf: bigint>>"))
+
+
 def ascii_tokens(c: Column | str) -> Column:
     """Runs of ASCII letters and digits, case kept; hyphens part tokens."""
     return F.regexp_extract_all(col(c), F.lit("([A-Za-z0-9]+)"), F.lit(1))
@@ -247,6 +266,4 @@ def token_windows(c: Column | str, size: int, overlap: int = 0) -> Column:
         bare = F.regexp_replace(raw, r"^\s+", "")
         return F.struct(i.alias("number"), (F.get(at, i) + F.length(raw) - F.length(bare)).alias("start"), bare.alias("text"))
 
-    # a lambda over an array of one binds what would else be computed again for every window
-    bound = lambda value, f: F.flatten(F.transform(F.array(value), f))
     return bound(pieces, lambda p: bound(before(p), lambda at: F.transform(starts(p), lambda s, i: window(p, at, s, i))))

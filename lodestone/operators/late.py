@@ -1,7 +1,7 @@
 """Late interaction: centroids, quantised residuals and inverted lists as tables, and search by the sum of best matches.
 
-Token vectors are rows (pid, pos, v). Centroids are a small table of a size that the plan fixes, so that assignment is a
-scan with a broadcast; everything that grows with the collection is joined on centroid or passage.
+Token vectors are rows (pid, pos, v). Centroids are a table of a size that the plan fixes; everything that grows with the
+collection is joined on centroid or passage.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from lodestone.operators import centroids
+from lodestone.sources.scratch import checkpointed
 from lodestone.functions.vectors import bucket_numbers, dot, norm, normalized, packed_bits, squared_distance, unpacked_bits
 
-#: Centroid numbers, times components, that a broadcast may hold.
-MOST_CENTROID_VALUES = 1 << 25
 UNSEEN = -9999.0
 #: Token vectors of a shard and of a block of queries, on average, where all are compared.
 EXACT_SHARD, EXACT_BLOCK = 8192, 1024
@@ -61,60 +61,18 @@ def held_out(tokens: DataFrame, share: float = 0.05, most: int = 50_000) -> tupl
     return tokens.join(chosen, ["pid", "pos"], "left_anti"), tokens.join(chosen, ["pid", "pos"], "left_semi")
 
 
-def train_centroids(tokens: DataFrame, k: int, iterations: int = 4, seed: int = 123) -> DataFrame:
-    """(cid, c): unit centroids by Lloyd's iterations, which Spark runs as sums per centroid; starts at k vectors by hash.
+def train_centroids(tokens: DataFrame, k: int, iterations: int = 4, seed: int = 123, first: DataFrame | None = None) -> DataFrame:
+    """(cid, c): unit centroids by Lloyd's iterations; starts at k vectors by hash, or at the centroids `first`.
 
-    A centroid that loses all its vectors stays where it is.
+    A centroid that loses all its vectors stays where it is. Each iteration is written out, so that none is repeated.
     """
-    spark = tokens.sparkSession
-    start = tokens.orderBy(F.xxhash64("pid", "pos", F.lit(seed)), "pid", "pos").limit(k).select(normalized("v").alias("c")).collect()
-    c = np.array([r["c"] for r in start], np.float64)
-    if c.size > MOST_CENTROID_VALUES:
-        raise ValueError("too many centroids for a broadcast; train fewer")
+    c = checkpointed(first.select("cid", "c") if first is not None else centroids.start(tokens, k, seed))
     for _ in range(iterations):
-        shared = spark.sparkContext.broadcast(c)
-
-        def sums(parts, shared=shared):
-            c = shared.value
-            total, n = np.zeros_like(c), np.zeros(len(c), np.int64)
-            for part in parts:
-                if part.num_rows:
-                    v = part.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                    code = (v @ c.T).argmax(1)
-                    np.add.at(total, code, v)
-                    n += np.bincount(code, minlength=len(c))
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n[some], pa.int64()), pa.array(list(total[some]), pa.list_(pa.float64()))], names=["cid", "n", "s"])
-
-        pieces = tokens.select(F.col("v").cast("array<double>").alias("v")).mapInArrow(sums, "cid long, n long, s array<double>")
-        flat = pieces.select("cid", F.posexplode("s").alias("d", "x")).groupBy("cid", "d").agg(F.sum("x").alias("x"))
-        for row in flat.groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("s")).collect():  # k rows at most
-            length = float(np.linalg.norm(row["s"]))
-            if length:
-                c[row["cid"]] = np.asarray(row["s"]) / length
-    return spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(c)], "cid long, c array<double>")
-
-
-def assign(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
-    """tokens with code: the centroid with the largest inner product, the first of equals."""
-    rows = centroids.orderBy("cid").collect()
-    c = np.array([r["c"] for r in rows], np.float64)
-    if c.size > MOST_CENTROID_VALUES:
-        raise ValueError("too many centroids for a broadcast")
-    shared = tokens.sparkSession.sparkContext.broadcast((np.array([r["cid"] for r in rows]), c))
-    names, at = tokens.columns, tokens.columns.index("v")
-
-    def run(parts):
-        ids, c = shared.value
-        for part in parts:
-            if part.num_rows:
-                v = part.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                code = ids[np.round(v @ c.T, 12).argmax(1)]
-            else:
-                code = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(code, pa.int64())], names=[*names, "code"])
-
-    return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField("code", LongType())]))
+        c = checkpointed(centroids.step(tokens, c).select("cid", "c"))
+    return c
+
+
+assign = centroids.assign
 
 
 def residuals(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -164,9 +122,11 @@ def metadata(tokens: DataFrame, chunk: int, partitions: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class SearchSettings:
+    """Cells that a query token asks; how much a centroid must score to count at first; passages kept then, None for all."""
+
     ncells: int
     threshold: float
-    ndocs: int
+    ndocs: int | None
 
 
 def settings(k: int, ncells: int | None = None, threshold: float | None = None, ndocs: int | None = None) -> SearchSettings:
@@ -175,9 +135,9 @@ def settings(k: int, ncells: int | None = None, threshold: float | None = None,
     return SearchSettings(ncells if ncells is not None else cells, threshold if threshold is not None else least, ndocs if ndocs is not None else docs)
 
 
-def centroid_scores(queries: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(query_id, qpos, cid, s) for query tokens(query_id, qpos, q); the centroids are the small side."""
-    return queries.crossJoin(centroids).select("query_id", "qpos", "cid", dot("q", "c").alias("s"))
+def centroid_scores(queries: DataFrame, table: DataFrame) -> DataFrame:
+    """(query_id, qpos, cid, s) of all pairs of query tokens(query_id, qpos, q) and centroids, for a few of each."""
+    return queries.crossJoin(table).select("query_id", "qpos", "cid", dot("q", "c").alias("s"))
 
 
 def probe(scores: DataFrame, ncells: int) -> DataFrame:
@@ -276,21 +236,26 @@ def scored_exactly(queries: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
     return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meet, "query_id long, pid long, score double")
 
 
-def search(queries: DataFrame, tokens: DataFrame, centroids: DataFrame, codes: DataFrame, lists: DataFrame, k: int, *, allowed: DataFrame | None = None, exact: bool = False) -> DataFrame:
-    """The whole search: probe, look up, prune, score, rank. tokens: exact or decompressed; allowed(pid): the passages that count.
+def search(queries: DataFrame, tokens: DataFrame, table: DataFrame, codes: DataFrame, lists: DataFrame, k: int, *, allowed: DataFrame | None = None, how: SearchSettings | None = None, exact: bool = False) -> DataFrame:
+    """The whole search: probe, look up, prune, score, rank. tokens: exact or decompressed; table: the centroids; allowed(pid): the passages that count.
 
     exact: every passage that counts is scored by all its tokens; cells and pruning, which lose passages, take no part.
     """
     if exact:
         return top_k(scored_exactly(queries, tokens.join(allowed, "pid", "left_semi") if allowed is not None else tokens, k), k)
-    how = settings(k)
-    scores = centroid_scores(queries, centroids)
-    found = candidates(probe(scores, how.ncells), lists)
-    found = found.join(allowed, "pid", "left_semi") if allowed is not None else found
-    kept = prune(scores, found, codes, how.ndocs, how.threshold)
+    how = how or settings(k)
+    found = candidates(centroids.nearest(queries, table, how.ncells).select("query_id", "cid").distinct(), lists)
+    found = checkpointed(found.join(allowed, "pid", "left_semi") if allowed is not None else found)
+    kept = found if how.ndocs is None else prune(needed_scores(queries, table, found, codes), found, codes, how.ndocs, how.threshold)
     return top_k(maxsim(queries, kept, tokens, floor_at_zero=True), k)
 
 
+def needed_scores(queries: DataFrame, table: DataFrame, found: DataFrame, codes: DataFrame) -> DataFrame:
+    """(query_id, qpos, cid, s) of the centroids that candidates of a query have, and of no others."""
+    pairs = found.join(codes.select("pid", F.col("code").alias("cid")).distinct(), "pid").select("query_id", "cid").distinct()
+    return pairs.join(table, "cid").join(queries, "query_id").select("query_id", "qpos", "cid", dot("q", "c").alias("s"))
+
+
 def fetched(ranked: DataFrame, passages: DataFrame) -> DataFrame:
     """Ranked passages with their rows, joined by number."""
     return ranked.join(passages, "pid")

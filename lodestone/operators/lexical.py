@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import ascii_tokens, bm25_clean, keyword_tokens, strip, token_count, tokens
+from lodestone.functions.text import ascii_tokens, bm25_clean, counted, keyword_tokens, strip, token_count, tokens
 
 FIELDS = ("content", "source")
 K1, B = 1.2, 0.75
@@ -58,11 +58,14 @@ def chunk_id(source, page, start, number):
 
 
 def build_index(documents: DataFrame, fields: tuple[str, ...] = FIELDS) -> LexicalIndex:
-    """The index of rows with the columns of COLUMNS; ids must be distinct."""
+    """The index of rows with the columns of COLUMNS; ids must be distinct.
+
+    A document's terms are counted where the document is, so that postings are made without a shuffle.
+    """
     texts = F.explode(F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[F.coalesce(F.col(f), F.lit("")) for f in fields]))).alias("field", "text")
     words = documents.select("doc_id", "crop_label", texts).select("doc_id", "crop_label", "field", tokens("text").alias("words"))
-    each = words.select("doc_id", "crop_label", "field", F.size("words").alias("length"), F.explode("words").alias("term"))
-    postings = each.groupBy("term", "field", "doc_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.first("crop_label").alias("crop_label"))
+    each = words.select("doc_id", "crop_label", "field", F.size("words").alias("length"), F.explode(counted("words")).alias("p"))
+    postings = each.select(F.col("p.term").alias("term"), "field", "doc_id", F.col("p.tf").alias("tf"), "length", "crop_label")
     terms = postings.groupBy("term", "field").agg(F.count("*").alias("df"))
     per_field = documents.select(texts).groupBy("field").agg(F.count("*").alias("n"), F.avg(token_count("text")).alias("average"))
     return LexicalIndex(documents, postings, terms, per_field)

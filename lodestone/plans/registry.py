@@ -39,8 +39,11 @@ def r6(c):
 
 
 def corpus(s: SparkSession, d: str) -> DataFrame:
+    """Documents with their number within the source; only ids are put in order, texts meet the numbers by id."""
     page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return t(s, d, "documents").select("doc_id", "source", page.alias("page_number"), F.concat(F.lit("/data/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.upper("lang")).alias("path"), F.col("text").alias("content"), "lang")
+    docs = t(s, d, "documents")
+    numbers = docs.select("doc_id", page.alias("page_number")).hint("shuffle_hash")
+    return docs.join(numbers, "doc_id").select("doc_id", "source", "page_number", F.concat(F.lit("/data/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.upper("lang")).alias("path"), F.col("text").alias("content"), "lang")
 
 
 CORPUS = "corpus as (select doc_id, source, row_number() over (partition by source order by doc_id) as page_number, '/data/' || source || '/' || doc_id || '.' || upper(lang) as path, text as content, lang from documents)"
@@ -587,7 +590,7 @@ def fus_offsets(s, d):
 
 # --- late interaction --------------------------------------------------------------------------------------------
 
-CENTROIDS, BITS = 16, 2
+CENTROIDS, BITS = 20, 2
 
 
 def tokens_of(s, d):
@@ -595,8 +598,11 @@ def tokens_of(s, d):
 
 
 def centroids_of(s, d):
-    """The first vectors by id, so that SQL has the same ones."""
-    return t(s, d, "embeddings").orderBy("vec_id").limit(CENTROIDS).select(F.col("vec_id").cast("long").alias("cid"), vx.normalized("embedding").alias("c"))
+    """The means of all vectors of each label, of even and of odd numbers, so that SQL has the same ones."""
+    e = t(s, d, "embeddings")
+    dim = e.select(F.size("embedding").alias("n")).first()["n"]
+    part = e.groupBy((F.col("label") * 2 + F.pmod("vec_id", F.lit(2))).cast("long").alias("cid"))
+    return late.checkpointed(part.agg(F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(dim)]).alias("m"))).select("cid", vx.normalized("m").alias("c"))
 
 
 def token_queries(s, d):
@@ -604,7 +610,8 @@ def token_queries(s, d):
 
 
 LATE = f"""tok as (select vec_id // 8 as pid, vec_id % 8 as pos, embedding::double[] as v from embeddings),
-cen as (select vec_id as cid, [x / sqrt(list_dot_product(embedding::double[], embedding::double[])) for x in embedding::double[]] as c from embeddings order by vec_id limit {CENTROIDS}),
+mean as (select cast(label * 2 + vec_id % 2 as bigint) as cid, i, avg(embedding[i]::double) as x from embeddings, range(1, 65) r(i) group by 1, 2),
+cen as (select cid, [y / sqrt(list_dot_product(m, m)) for y in m] as c from (select cid, list(x order by i) as m from mean group by cid)),
 asg as (select pid, pos, v, cid as code from (select *, row_number() over (partition by pid, pos order by round(list_dot_product(v, c), 12) desc, cid) as rn from tok, cen) where rn = 1),
 qs as (select pid as query_id, pos as qpos, v as q from tok where pid % 50 = 0),
 cs as (select query_id, qpos, cid, list_dot_product(q, c) as s from qs, cen)"""
@@ -760,16 +767,37 @@ def li_topk(s, d):
     return late.fetched(r, passages).select("query_id", "rank", "pid", r6("score").alias("score"), "text")
 
 
+def planned(tokens):
+    """How many centroids the plan gives these tokens."""
+    m = tokens.agg(F.countDistinct("pid").alias("n"), F.count("*").alias("e")).first()
+    return late.plan(m["n"], m["e"] / max(1, m["n"])).centroids
+
+
 @query("li_search")
 def li_search(s, d):
-    c = centroids_of(s, d)
-    codes = late.assign(tokens_of(s, d), c)
-    return late.search(token_queries(s, d), tokens_of(s, d), c, codes, late.inverted_lists(codes), 10, exact=True)
+    """Through as many trained centroids as planned; each query token asks a fortieth of the cells, and all that is found there is scored."""
+    tokens = tokens_of(s, d)
+    k = planned(tokens)
+    c = late.train_centroids(tokens, k)
+    codes = late.checkpointed(late.assign(tokens.select("pid", "pos", "v"), c)).select("pid", "code")
+    return late.search(token_queries(s, d), tokens, c, codes, late.inverted_lists(codes), 10, how=late.SearchSettings(max(24, k // 40), 0.0, None))
+
+
+STEP = """with tok as (select vec_id, embedding::double[] as v from embeddings),
+size as (select cast(pow(2, floor(log2(16 * sqrt(count(*))))) as bigint) as k from tok),
+first as (select vec_id as cid, [x / sqrt(list_dot_product(v, v)) for x in v] as c from tok, size where vec_id < k),
+asg as (select vec_id, v, cid from (select *, row_number() over (partition by vec_id order by round(list_dot_product(v, c), 12) desc, cid) as rn from tok, first) where rn = 1),
+sums as (select cid, i, sum(v[i]) as x, count(*) as n from asg, range(1, 65) r(i) group by 1, 2),
+len as (select cid, sqrt(sum(x * x)) as size from sums group by 1)
+select cid, cast(i - 1 as int) as dim, round(coalesce(x / size, c[i]), 6) as value, coalesce(n, 0) as n from first cross join range(1, 65) r(i) left join sums using (cid, i) left join len using (cid)"""
 
 
-@query("li_kmeans")
+@query("li_kmeans", STEP)
 def li_kmeans(s, d):
-    return late.train_centroids(tokens_of(s, d), CENTROIDS).select("cid", r6(vx.norm("c")).alias("norm"))
+    """One of Lloyd's steps, from the first vectors, with as many centroids as planned: their components and how many tokens each has."""
+    tokens = tokens_of(s, d)
+    first = tokens.select((F.col("pid") * 8 + F.col("pos")).alias("cid"), vx.normalized("v").alias("c")).where(F.col("cid") < planned(tokens))
+    return late.centroids.step(tokens, first).select("cid", F.posexplode("c").alias("dim", "value"), "n").withColumn("value", r6("value"))
 
 
 @query("emb_pool_hier")

@@ -147,6 +147,23 @@ def test_late_interaction(spark):
     assert pooled.groupBy("pid").count().where("count <> 3").count() == 0
 
 
+def test_assignment_by_cells_equals_that_by_broadcast(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    v = np.concatenate([r.standard_normal((300, 5)), np.zeros((2, 5)), np.repeat(r.standard_normal((1, 5)), 400, 0)])
+    tokens = spark.createDataFrame([(i // 3, i % 3, x.tolist(), "e") for i, x in enumerate(v)], "pid long, pos long, v array<double>, code_name string").repartition(3)
+    c = late.train_centroids(tokens, 50, 1)
+    whole = sorted((x["pid"], x["pos"], x["code"]) for x in late.assign(tokens, c).collect())
+    step = {x["cid"]: x for x in late.centroids.step(tokens, c).collect()}
+    near = sorted(map(tuple, late.centroids.nearest(tokens.where("pid < 9").select(F.col("pid").alias("query_id"), F.col("pos").alias("qpos"), F.col("v").alias("q")), c, 3).select("query_id", "qpos", "cid", "rn").collect()))
+    monkeypatch.setattr(late.centroids, "BLOCK_VALUES", 60)
+    monkeypatch.setattr(late.centroids, "BLOCK_VECTORS", 100)
+    assert sorted((x["pid"], x["pos"], x["code"]) for x in late.assign(tokens, c).collect()) == whole
+    for x in late.centroids.step(tokens, c).collect():
+        assert x["n"] == step[x["cid"]]["n"] and x["c"] == pytest.approx(step[x["cid"]]["c"], abs=1e-9)
+    assert sorted(map(tuple, late.centroids.nearest(tokens.where("pid < 9").select(F.col("pid").alias("query_id"), F.col("pos").alias("qpos"), F.col("v").alias("q")), c, 3).select("query_id", "qpos", "cid", "rn").collect())) == near
+    assert late.assign(tokens, c.where("false")).count() == 0 and late.assign(tokens.where("false"), c).count() == 0
+
+
 def test_plan():
     p = late.plan(1000, 150)
     assert p.chunks == 1 and p.centroids == 2 ** math.floor(math.log2(16 * math.sqrt(150_000)))
