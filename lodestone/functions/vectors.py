@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import col
+from lodestone.functions.text import bound, col
 
 
 def dot(a: Column | str, b: Column | str, size: int | None = None) -> Column:
@@ -27,8 +27,8 @@ def norm(a: Column | str) -> Column:
 
 def normalized(a: Column | str) -> Column:
     """The vector at length 1; a zero vector stays as it is."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(col(a), lambda x: x.cast("double") / n)).otherwise(F.transform(col(a), lambda x: x.cast("double")))
+    scaled = lambda v, n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return bound(col(a), lambda v: bound(norm(v), lambda n: scaled(v, n)))
 
 
 def cosine_distance(a: Column | str, b: Column | str) -> Column:
@@ -55,14 +55,15 @@ def bucket_numbers(v: Column | str, cutoffs: Column | str) -> Column:
 def packed_bits(numbers: Column | str, bits: int) -> Column:
     """Numbers of so many bits each, lowest bit first, packed eight to a byte with the first bit highest, as hexadecimal text."""
     flat = F.flatten(F.transform(col(numbers), lambda n: F.array(*[F.pmod(F.shiftright(n.cast("int"), i), F.lit(2)) for i in range(bits)])))
-    starts = F.sequence(F.lit(0), F.size(flat).cast("int") - 8, F.lit(8))
-    byte = lambda s: sum((F.element_at(flat, s + 1 + i) * (1 << (7 - i)) for i in range(1, 8)), F.element_at(flat, s + 1) * 128)
-    return F.array_join(F.transform(starts, lambda s: F.lpad(F.lower(F.hex(byte(s))), 2, "0")), "")
+    starts = lambda f: F.sequence(F.lit(0), F.size(f).cast("int") - 8, F.lit(8))
+    byte = lambda f, s: sum((F.element_at(f, s + 1 + i) * (1 << (7 - i)) for i in range(1, 8)), F.element_at(f, s + 1) * 128)
+    return F.array_join(bound(flat, lambda f: F.transform(starts(f), lambda s: F.lpad(F.lower(F.hex(byte(f, s))), 2, "0"))), "")
 
 
 def unpacked_bits(text: Column | str, bits: int) -> Column:
     """The numbers that packed_bits packed."""
-    values = F.transform(F.sequence(F.lit(1), F.length(col(text)) - 1, F.lit(2)), lambda i: F.conv(F.substr(col(text), i, F.lit(2)), 16, 10).cast("int"))
-    flat = F.flatten(F.transform(values, lambda b: F.array(*[F.pmod(F.shiftright(b, 7 - i), F.lit(2)) for i in range(8)])))
-    starts = F.sequence(F.lit(1), F.size(flat).cast("int") - bits + 1, F.lit(bits))
-    return F.transform(starts, lambda s: sum((F.element_at(flat, s + i) * (1 << i) for i in range(1, bits)), F.element_at(flat, s)))
+    values = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 1, F.lit(2)), lambda i: F.conv(F.substr(x, i, F.lit(2)), 16, 10).cast("int"))
+    flat = F.flatten(F.transform(bound(col(text), values), lambda b: F.array(*[F.pmod(F.shiftright(b, 7 - i), F.lit(2)) for i in range(8)])))
+    starts = lambda f: F.sequence(F.lit(1), F.size(f).cast("int") - bits + 1, F.lit(bits))
+    number = lambda f, s: sum((F.element_at(f, s + i) * (1 << i) for i in range(1, bits)), F.element_at(f, s))
+    return bound(flat, lambda f: F.transform(starts(f), lambda s: number(f, s)))

@@ -602,7 +602,8 @@ def centroids_of(s, d):
     e = t(s, d, "embeddings")
     dim = e.select(F.size("embedding").alias("n")).first()["n"]
     part = e.groupBy((F.col("label") * 2 + F.pmod("vec_id", F.lit(2))).cast("long").alias("cid"))
-    return late.checkpointed(part.agg(F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(dim)]).alias("m"))).select("cid", vx.normalized("m").alias("c"))
+    means = part.agg(F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(dim)]).alias("m"))
+    return late.checkpointed(means.select("cid", vx.normalized("m").alias("c")))
 
 
 def token_queries(s, d):
