@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import geometry as geo
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
-from lodestone.operators import analytics, context, dense, evaluation, fusion, late, lexical, segments, training
+from lodestone.operators import analytics, building, chunking, context, dense, embedding, evaluation, fusion, late, lexical, segments, training
 from lodestone.plans import retrieval
 from lodestone.sources import files, keyvalue
 from lodestone.sources.scratch import scratch
@@ -812,6 +812,67 @@ def flt_mask_punct(s, d):
     return late.kept_tokens(words)
 
 
+@query("sink_codec_chunks", f"with {RES} select pid // 25 as chunk, pid, pos, code, array_to_string([printf('%02x', list_sum([(b[j + i // 2] // (1 + i % 2)) % 2 * (128 >> i) for i in range(8)])) for j in range(1, 65, 4)], '') as residual from (select pid, pos, code, [cast(r[i] > -0.1 as int) + cast(r[i] > 0.0 as int) + cast(r[i] > 0.1 as int) for i in range(1, 65)] as b from res)")
+def sink_codec_chunks(s, d):
+    """Codes and residuals of chunks of 25 passages, by a build that is stopped and goes on; what is returned is read back."""
+    build = building.ChunkedBuild(s, scratch(s, "codec"), group=4)
+    rows = tokens_of(s, d).withColumn("chunk", F.floor(F.col("pid") / 25).cast("long"))
+    c, codec = centroids_of(s, d), fixed_codec(s)
+
+    def make(part):
+        chunk = part.select("pid", "pos", "chunk")
+        return late.compress(late.residuals(late.assign(part.select("pid", "pos", "v"), c), c), codec, BITS).join(chunk, ["pid", "pos"])
+
+    build.run(rows.where(F.pmod("chunk", F.lit(2)) == 0), make)
+    build.run(rows, make)
+    return build.table().select("chunk", "pid", "pos", "code", "residual")
+
+
+# --- splitting and embedding -------------------------------------------------------------------------------------
+
+
+@query("txt_split", r"select doc_id, 0::bigint as over, cast(len(regexp_extract_all(text, '\S+')) as bigint) as tokens, md5(regexp_replace(text, '\s', '', 'g')) as rest_md5 from documents")
+def txt_split(s, d):
+    """What recursive splitting keeps: chunks over the budget, tokens in all, and the texts put together again without white space."""
+    chunks = chunking.chunked(t(s, d, "documents").select("doc_id", "text"), "text", 250)
+    over = F.filter("chunks", lambda c: c["tokens"] > 250)
+    rest = F.regexp_replace(F.array_join(F.transform("chunks", lambda c: c["text"]), ""), r"\s", "")
+    return chunks.select("doc_id", F.size(over).cast("long").alias("over"), F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + c["tokens"]).alias("tokens"), F.md5(rest.cast("binary")).alias("rest_md5"))
+
+
+LETTERS = "eaionrstlu"
+
+
+def letter_model():
+    """A model that needs no weights: how often each of some letters is there."""
+    return lambda texts: [[x.count(c) for c in LETTERS] for x in texts]
+
+
+def word_model():
+    """For each word its length and two counts of letters; words that are no letters at all are masked."""
+
+    def embed(texts):
+        for x in texts:
+            words = x.split(" ")
+            yield [[len(w), w.count("e"), w.count("a")] for w in words], [w.isascii() and w.isalpha() for w in words]
+
+    return embed
+
+
+@query("emb_dense", f"with v as (select doc_id, [length(x) - length(replace(x, c, '')) for c in string_split('{','.join(LETTERS)}', ',')] as v from (select doc_id, 'This image has a ' || lang || '. ' || text as x from documents)) " + "select doc_id, round(coalesce(v[1] / nullif(sqrt(list_dot_product(v::double[], v::double[])), 0), 0), 6) as first, round(coalesce(v[10] / nullif(sqrt(list_dot_product(v::double[], v::double[])), 0), 0), 6) as last from v")
+def emb_dense(s, d):
+    docs = t(s, d, "documents").select("doc_id", embedding.prompted(F.col("text"), F.col("lang")).alias("text"))
+    out = embedding.embed_dense(docs, "text", "letters", letter_model)
+    return out.select("doc_id", r6(F.get("embedding", F.lit(0))).alias("first"), r6(F.element_at("embedding", -1)).alias("last"))
+
+
+@query("emb_multi", "with w as (select item_id, unnest(string_split(text, ' ')) as w from benchmark), v as (select item_id, [length(w), length(w) - length(replace(w, 'e', '')), length(w) - length(replace(w, 'a', ''))]::double[] as v from w where regexp_full_match(w, '[A-Za-z]+')) select item_id, count(v) as n, round(coalesce(sum(v[1] / sqrt(list_dot_product(v, v))), 0), 4) as lengths from (select item_id from benchmark) left join v using (item_id) group by item_id")
+def emb_multi(s, d):
+    out = embedding.embed_tokens(t(s, d, "benchmark"), "text", "words", word_model, size=7)
+    firsts = F.aggregate("vectors", F.lit(0.0), lambda a, v: a + F.get(v, F.lit(0)))
+    return out.select("item_id", F.size("vectors").cast("long").alias("n"), F.round(firsts, 4).alias("lengths"))
+
+
 # --- expansion, sessions, answers --------------------------------------------------------------------------------
 
 
