@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -82,6 +85,88 @@ def binned(points: DataFrame, x: str, y: str, width: float) -> DataFrame:
     return points.groupBy(F.floor(F.col(x) / width).cast("long").alias("bx"), F.floor(F.col(y) / width).cast("long").alias("by")).agg(F.count("*").alias("n"))
 
 
+def hexagons(points: DataFrame, x: str, y: str, size: float) -> DataFrame:
+    """(q, r, n, x, y): points per hexagon of a plane, by axial coordinates, with the hexagon's middle.
+
+    size: from the middle to a corner; corners point up. A point goes to the hexagon whose middle is nearest, found by
+    rounding the three cube coordinates and mending the one that rounding moved most.
+    """
+    q0 = (F.col(x) * math.sqrt(3) / 3 - F.col(y) / 3) / size
+    r0 = F.col(y) * 2 / 3 / size
+    cube = points.select(q0.alias("q0"), r0.alias("r0")).select("q0", "r0", F.floor(F.col("q0") + 0.5).alias("q"), F.floor(F.col("r0") + 0.5).alias("r"), F.floor(-F.col("q0") - F.col("r0") + 0.5).alias("s"))
+    dq, dr, ds = F.abs(F.col("q") - F.col("q0")), F.abs(F.col("r") - F.col("r0")), F.abs(F.col("s") + F.col("q0") + F.col("r0"))
+    q = F.when((dq > dr) & (dq > ds), -F.col("r") - F.col("s")).otherwise(F.col("q"))
+    r = F.when(((dq > dr) & (dq > ds)) | (dr <= ds), F.col("r")).otherwise(-F.col("q") - F.col("s"))
+    counts = cube.groupBy(q.cast("long").alias("q"), r.cast("long").alias("r")).agg(F.count("*").alias("n"))
+    return counts.select("q", "r", "n", (size * math.sqrt(3) * (F.col("q") + F.col("r") / 2)).alias("x"), (size * 1.5 * F.col("r")).alias("y"))
+
+
+def density(points: DataFrame, x: str, y: str, width: float, bandwidth: float, reach: float = 4.0) -> DataFrame:
+    """(bx, by, density): a Gaussian kernel density at the middles of squares, where it reaches; points count at their square's middle.
+
+    The kernel is a product, so that one pass spreads counts along x and another along y; it is cut at `reach` bandwidths.
+    """
+    steps = math.ceil(reach * bandwidth / width)
+    weights = [math.exp(-0.5 * (k * width / bandwidth) ** 2) / (bandwidth * math.sqrt(2 * math.pi)) for k in range(-steps, steps + 1)]
+    kernel = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(w).alias("w")) for k, w in zip(range(-steps, steps + 1), weights)])).alias("e")
+    total = points.count()
+    cells = binned(points, x, y, width).select("bx", "by", (F.col("n") / F.lit(float(max(total, 1)))).alias("v"))
+    along_x = cells.select("bx", "by", "v", kernel).groupBy((F.col("bx") + F.col("e.k")).alias("bx"), "by").agg(F.sum(F.col("v") * F.col("e.w")).alias("v"))
+    return along_x.select("bx", "by", "v", kernel).groupBy("bx", (F.col("by") + F.col("e.k")).alias("by")).agg(F.sum(F.col("v") * F.col("e.w")).alias("density"))
+
+
+def ward_merges(means: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, float, int]]:
+    """(first, second, height, size) of Ward's merges of clusters, by height; new ones are numbered on.
+
+    Follows nearest neighbours until two are each other's, which are merged; so no table of all distances is kept.
+    """
+    means, sizes = [np.asarray(m, np.float64) for m in means], [float(s) for s in sizes]
+    alive, chain, found = set(range(len(means))), [], []
+
+    def cost(i: int, j: int) -> float:
+        d = means[i] - means[j]
+        return math.sqrt(2 * sizes[i] * sizes[j] / (sizes[i] + sizes[j]) * float(d @ d))
+
+    while len(alive) > 1:
+        if not chain:
+            chain.append(min(alive))
+        at, before = chain[-1], chain[-2] if len(chain) > 1 else None
+        rest = np.array(sorted(alive - {at}))
+        m, s = np.array([means[k] for k in rest]), np.array([sizes[k] for k in rest])
+        costs = 2 * s * sizes[at] / (s + sizes[at]) * ((m - means[at]) ** 2).sum(1)
+        best = int(rest[costs.argmin()])
+        if before is not None and cost(at, before) <= cost(at, best):
+            chain, height, total = chain[:-2], cost(at, before), sizes[at] + sizes[before]
+            found.append((at, before, height, total))
+            means.append((means[at] * sizes[at] + means[before] * sizes[before]) / total)
+            sizes.append(total)
+            alive -= {at, before}
+            alive.add(len(means) - 1)
+        else:
+            chain.append(best)
+    # in order of height clusters get the numbers that they would have had
+    n, number, out = len(means) - len(found), {}, []
+    for k in sorted(range(len(found)), key=lambda k: (found[k][2], k)):
+        a, b, height, total = found[k]
+        number[n + k] = n + len(out)
+        first, second = sorted((number.get(a, a), number.get(b, b)))
+        out.append((first, second, height, int(total)))
+    return out
+
+
+def ward(points: DataFrame, cluster: str, vector: str) -> DataFrame:
+    """(step, first, second, height, size): the tree that Ward's linkage makes of the clusters of points(cluster, vector, ...).
+
+    Spark sums up each cluster; the tree is made of a mean and a size for each, so that what reaches the driver is as
+    large as the number of clusters. Clusters are numbered in their order, merged ones on from there.
+    """
+    dim = points.select(F.size(vector).alias("n")).first()
+    means = points.groupBy(cluster).agg(F.count("*").alias("n"), F.array(*[F.avg(F.get(vector, F.lit(i)).cast("double")) for i in range(dim["n"] if dim else 0)]).alias("m"))
+    rows = means.orderBy(cluster).collect()
+    merges = ward_merges(np.array([r["m"] for r in rows]), np.array([r["n"] for r in rows])) if rows else []
+    return points.sparkSession.createDataFrame([(i, *m) for i, m in enumerate(merges)], "step int, first int, second int, height double, size long")
+
+
 def distinct_sources(rows: DataFrame) -> DataFrame:
     return rows.select(F.substring_index("source", "/", -1).alias("name")).distinct()
 

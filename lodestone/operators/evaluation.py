@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from lodestone.functions.stem import stem
 from lodestone.functions.text import col, tokens
 
 
-def rouge_n(pairs: DataFrame, n: int, *, id_col: str = "id") -> DataFrame:
-    """(id, rouge) F-measure of shared n-grams for pairs(id, reference, answer): the smaller count of each counts. Without stemming."""
+def rouge_n(pairs: DataFrame, n: int, *, id_col: str = "id", stemmed: bool = False) -> DataFrame:
+    """(id, rouge) F-measure of shared n-grams, of words or of their stems, for pairs(id, reference, answer): the smaller count of each counts."""
 
     def grams(c: str) -> DataFrame:
         # the words stand in a column of their own, so that no window makes them again
         words = pairs.select(id_col, tokens(F.coalesce(F.col(c), F.lit(""))).alias("w"))
+        words = stems(words, "w") if stemmed else words
         starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
         found = F.col("w") if n == 1 else F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
         return words.select(id_col, F.explode(found).alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias(c))
@@ -24,25 +30,46 @@ def rouge_n(pairs: DataFrame, n: int, *, id_col: str = "id") -> DataFrame:
     return pairs.select(id_col).join(scored, id_col, "left").select(id_col, F.coalesce("rouge", F.lit(0.0)).alias("rouge"))
 
 
-def longest_common(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, by a fold over rows of the table."""
+def longest_common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, a row of the table in the bits of one number."""
+    places: dict[str, int] = {}
+    for i, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    row = every
+    for word in b:
+        met = row & places.get(word, 0)
+        row = (row + met | row - met) & every
+    return len(a) - row.bit_count()
+
+
+def rouge_l(pairs: DataFrame, *, id_col: str = "id", stemmed: bool = False) -> DataFrame:
+    """(id, rouge) F-measure of the longest common subsequence of words, or of their stems."""
+    words = pairs.select(id_col, tokens(F.coalesce("reference", F.lit(""))).alias("r"), tokens(F.coalesce("answer", F.lit(""))).alias("a"))
+    words = stems(words, "r", "a") if stemmed else words
+    at, names = words.columns.index, [id_col, "rouge"]
+
+    def run(parts):
+        for part in parts:
+            pairs = zip(part.column(at("r")).to_pylist(), part.column(at("a")).to_pylist())
+            scores = [2.0 * longest_common(r, a) / (len(r) + len(a)) if r or a else 0.0 for r, a in pairs]
+            yield pa.RecordBatch.from_arrays([part.column(at(id_col)), pa.array(scores, pa.float64())], names=names)
+
+    return words.mapInArrow(run, StructType([pairs.schema[id_col], StructField("rouge", DoubleType())]))
+
 
-    def row(state: Column, x: Column) -> Column:
-        # state: the row above, with a 0 in front
-        fresh = F.struct(F.array(F.lit(0)).alias("out"), F.lit(1).alias("j"))
-        folded = F.aggregate(b, fresh, lambda s, y: F.struct(F.concat(s["out"], F.array(F.when(x == y, F.get(state, s["j"] - 1) + 1).otherwise(F.greatest(F.get(state, s["j"]), F.element_at(s["out"], -1))))).alias("out"), (s["j"] + 1).alias("j")))
-        return folded["out"]
+def stems(df: DataFrame, *columns: str) -> DataFrame:
+    """df with each word of more than three letters in these arrays of texts as its stem; words not in a to z stay."""
+    names = list(df.columns)
 
-    zero = F.concat(F.array(F.lit(0)), F.transform(b, lambda _: F.lit(0)))
-    return F.element_at(F.aggregate(a, zero, row), -1)
+    def short(words: list[str] | None) -> list[str] | None:
+        return None if words is None else [stem(w) if len(w) > 3 and w.isascii() and w.isalpha() else w for w in words]
 
+    def run(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([short(w) for w in c.to_pylist()], pa.list_(pa.string())) if n in columns else c for n, c in zip(names, part.columns)], names=names)
 
-def rouge_l(pairs: DataFrame, *, id_col: str = "id") -> DataFrame:
-    """(id, rouge) F-measure of the longest common subsequence of words."""
-    r, a = tokens(F.coalesce("reference", F.lit(""))), tokens(F.coalesce("answer", F.lit("")))
-    lcs = longest_common(r, a)
-    total = F.size(r) + F.size(a)
-    return pairs.select(id_col, F.when(total > 0, 2.0 * lcs / total).otherwise(0.0).alias("rouge"))
+    return df.mapInArrow(run, df.schema)
 
 
 def short_answer(answer: Column | str, accepted: Column | str) -> Column:
@@ -97,3 +124,20 @@ def text_similarity(a: Column | str, b: Column | str) -> Column:
     """1 minus the edit distance over the longer length; 1 for two empty texts."""
     longest = F.greatest(F.length(col(a)), F.length(col(b)))
     return F.when(longest > 0, 1 - F.levenshtein(col(a), col(b)) / longest).otherwise(1.0)
+
+
+def matching_ratio(df: DataFrame, a: str, b: str, name: str = "ratio") -> DataFrame:
+    """df with twice the characters in matching blocks over all characters of two texts: 1 for equal ones, two empty ones too.
+
+    Blocks are the longest common stretch, the first of equals, and then those to its left and to its right. In a second
+    text of 200 characters or more, those that make up over a hundredth of it start no block. Null if a text is null.
+    """
+    names, x, y = list(df.columns), df.columns.index(a), df.columns.index(b)
+
+    def run(parts):
+        for part in parts:
+            pairs = zip(part.column(x).to_pylist(), part.column(y).to_pylist())
+            ratios = [None if p is None or q is None else SequenceMatcher(None, p, q).ratio() for p, q in pairs]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ratios, pa.float64())], names=[*names, name])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, DoubleType())]))

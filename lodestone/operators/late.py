@@ -261,6 +261,45 @@ def fetched(ranked: DataFrame, passages: DataFrame) -> DataFrame:
     return ranked.join(passages, "pid")
 
 
+def padded(tokens: DataFrame) -> DataFrame:
+    """(width, pid, vectors, mask): each passage's vectors in order, filled up to its length class, the next power of two.
+
+    Passages of a class have equal shapes, so that a worker sees any set of them as one array; mask is 1 where a vector
+    is a token's. The table is laid out by class.
+    """
+    row = F.array_sort(F.collect_list(F.struct("pos", F.col("v").cast("array<double>").alias("v"))))
+    per = tokens.groupBy("pid").agg(row.alias("t"))
+    width = F.pow(F.lit(2), F.ceil(F.log2(F.size("t")))).cast("int")
+    zero = F.transform(F.get("t", F.lit(0))["v"], lambda _: F.lit(0.0))
+    return per.select(width.alias("width"), "pid", F.concat(F.transform("t", lambda t: t["v"]), F.array_repeat(zero, width - F.size("t"))).alias("vectors"), F.concat(F.array_repeat(F.lit(1), F.size("t")), F.array_repeat(F.lit(0), width - F.size("t"))).alias("mask"))
+
+
+def packed_lists(tokens: DataFrame, chunk: int) -> DataFrame:
+    """(chunk, pids, lengths, values): the vectors of a chunk's passages one after the other in one list, and how many each has.
+
+    A chunk is `chunk` consecutive passage numbers.
+    """
+    row = F.array_sort(F.collect_list(F.struct("pid", "pos", F.col("v").cast("array<double>").alias("v"))))
+    per = tokens.groupBy(F.expr(f"pid div {chunk}").alias("chunk")).agg(row.alias("t"), F.array_sort(F.collect_set("pid")).alias("pids"))
+    lengths = F.transform("pids", lambda p: F.size(F.filter("t", lambda t: t["pid"] == p)))
+    return per.select("chunk", "pids", lengths.alias("lengths"), F.flatten(F.transform("t", lambda t: t["v"])).alias("values"))
+
+
+def looked_up(wanted: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows of wanted(pid, ...) with pos and v of each token of the passage, from a padded table: one slice a passage, by its class."""
+    found = wanted.join(table, "pid")
+    size = F.aggregate("mask", F.lit(0), lambda n, m: n + m)
+    return found.select(*wanted.columns, "width", F.posexplode(F.slice("vectors", F.lit(1), size)).alias("pos", "v"))
+
+
+def unpacked_lists(table: DataFrame, dim: int) -> DataFrame:
+    """(pid, pos, v) of a packed table: strides of a list whose passages begin where the lengths before them add up."""
+    starts = F.transform("pids", lambda p, i: F.aggregate(F.slice("lengths", F.lit(1), i), F.lit(0), lambda n, x: n + x))
+    each = table.select("values", F.explode(F.arrays_zip("pids", "lengths", starts.alias("starts"))).alias("p"))
+    tokens = each.select("values", F.col("p.pids").alias("pid"), F.col("p.starts").alias("start"), F.explode(F.sequence(F.lit(0), F.col("p.lengths") - 1)).alias("pos"))
+    return tokens.select("pid", F.col("pos").cast("long").alias("pos"), F.slice("values", (F.col("start") + F.col("pos")) * dim + 1, F.lit(dim)).alias("v"))
+
+
 def pool_tokens(tokens: DataFrame, factor: int, protected: int = 0) -> DataFrame:
     """(pid, pos, v): the tokens of a passage in max(1, n // factor) clusters of Ward's linkage over 1 - inner product, each
     its mean at the place of its first token; the first `protected` tokens stay.

@@ -323,6 +323,13 @@ def txt_ratio(s, d):
     return t(s, d, "benchmark").select("item_id", r6(evaluation.text_similarity("text", F.expr("left(text, length(text) - 1)"))).alias("similarity"))
 
 
+@query("txt_matching_ratio")
+def txt_matching_ratio(s, d):
+    """What is recognised of a text without its vowels, and of one with a repeated word."""
+    pairs = t(s, d, "benchmark").select("item_id", "text", F.concat(F.regexp_replace("text", "[aeiou]", ""), F.lit(" the the")).alias("seen"))
+    return evaluation.matching_ratio(pairs, "text", "seen").select("item_id", r6("ratio").alias("ratio"))
+
+
 @query("img_chunk_geometry", "select p_partkey, cast(i as int) as number, cast(y0 as int) as y0, cast(least(h, y0 + ch + oh) as int) as y1 from (select *, greatest(0, i * ch - i * oh) as y0 from (select p_partkey, h, h // 5 as ch, (h // 5) * 20 // 100 as oh, unnest(generate_series(0, 4)) as i from (select p_partkey, p_size * 37 as h from part)))")
 def img_chunk_geometry(s, d):
     strips = t(s, d, "part").select("p_partkey", F.explode(geo.strips(F.col("p_size") * 37, 5, 20)).alias("c"))
@@ -441,6 +448,13 @@ def lexical_documents(s, d):
     return corpus(s, d).select(F.format_string("%s:page:%d", "source", "page_number").alias("doc_id"), "source", "page_number", F.when(F.pmod("doc_id", F.lit(3)) == 0, "text").when(F.pmod("doc_id", F.lit(3)) == 1, "table").alias("crop_label"), F.lit("page_text").alias("label"), tx.strip("content").alias("content")).where("content <> ''")
 
 
+def staged_documents(s, d):
+    """The same, written out once for the passes that index and search them."""
+    path = scratch(s, "documents")
+    lexical_documents(s, d).write.parquet(path)
+    return s.read.parquet(path)
+
+
 def questions(s, d):
     return t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.when(F.pmod("item_id", F.lit(4)) == 0, F.array(F.lit("text"))).alias("labels"))
 
@@ -465,14 +479,14 @@ def lex_index(s, d):
 
 @query("lex_search", "with " + HITS + " select query_id, cast(rank as int) as rank, doc_id, round(score, 6) as score from hits where rank <= 10")
 def lex_search(s, d):
-    hits = lexical.search(lexical.build_index(lexical_documents(s, d)), questions(s, d), limit=10)
+    hits = lexical.search(lexical.build_index(staged_documents(s, d)), questions(s, d), limit=10)
     return hits.select("query_id", "rank", "doc_id", r6("score").alias("score"))
 
 
 @query("lex_segments", "with " + HITS + " select query_id, cast(rank as int) as rank, doc_id, round(score, 6) as score from hits where rank <= 10")
 def lex_segments(s, d):
     """The same search over an index that came about by updates: first texts replaced, strangers deleted, segments merged."""
-    docs, index = lexical_documents(s, d), segments.SegmentedIndex(s, scratch(s, "segments"))
+    docs, index = staged_documents(s, d), segments.SegmentedIndex(s, scratch(s, "segments"))
     third = F.pmod(F.xxhash64("doc_id"), F.lit(3))
     early = F.when(F.pmod(F.xxhash64("source"), F.lit(2)) == 0, F.reverse("content")).otherwise(F.col("content"))
     stranger = docs.where(third == 1).withColumn("doc_id", F.concat(F.lit("gone:"), "doc_id"))
@@ -492,7 +506,7 @@ scored as (select query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.7
 select query_id, doc_id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rn from scored) where rn <= 10""")
 def lex_bm25_ensemble(s, d):
     asked = questions(s, d).drop("labels")
-    hits = lexical.search(lexical.build_index(lexical_documents(s, d)), asked, limit=10, fields=("content",), okapi=True)
+    hits = lexical.search(lexical.build_index(staged_documents(s, d)), asked, limit=10, fields=("content",), okapi=True)
     return hits.select("query_id", "doc_id", r6("score").alias("score"))
 
 
@@ -812,6 +826,19 @@ def flt_mask_punct(s, d):
     return late.kept_tokens(words)
 
 
+LOOKED_UP = "select vec_id // 8 as pid, cast(vec_id % 8 as bigint) as pos, cast(pow(2, ceil(log2(n))) as int) as width, round(embedding[1]::double, 6) as first, round(embedding[64]::double, 6) as last from embeddings join (select vec_id // 8 as p, count(*) as n from embeddings group by 1) on p = vec_id // 8"
+
+
+@query("li_lookup", LOOKED_UP + " where (vec_id // 8) in (select item_id from benchmark)")
+def li_lookup(s, d):
+    """The token vectors of some passages, from lists padded to length classes that were made of packed ones."""
+    dim = t(s, d, "embeddings").select(F.size("embedding").alias("n")).first()["n"]
+    tokens = late.unpacked_lists(late.packed_lists(tokens_of(s, d), 25), dim)
+    wanted = t(s, d, "benchmark").select(F.col("item_id").alias("pid"))
+    found = late.looked_up(wanted, late.padded(tokens))
+    return found.select("pid", F.col("pos").cast("long").alias("pos"), "width", r6(F.get("v", F.lit(0))).alias("first"), r6(F.element_at("v", -1)).alias("last"))
+
+
 @query("sink_codec_chunks", f"with {RES} select pid // 25 as chunk, pid, pos, code, array_to_string([printf('%02x', list_sum([(b[j + i // 2] // (1 + i % 2)) % 2 * (128 >> i) for i in range(8)])) for j in range(1, 65, 4)], '') as residual from (select pid, pos, code, [cast(r[i] > -0.1 as int) + cast(r[i] > 0.0 as int) + cast(r[i] > 0.1 as int) for i in range(1, 65)] as b from res)")
 def sink_codec_chunks(s, d):
     """Codes and residuals of chunks of 25 passages, by a build that is stopped and goes on; what is returned is read back."""
@@ -951,6 +978,13 @@ def ev_rougel(s, d):
     return evaluation.rouge_l(whole_pairs(s, d)).select("id", r6("rouge").alias("rouge"))
 
 
+@query("ev_rouge_stems")
+def ev_rouge_stems(s, d):
+    """ROUGE-1 and ROUGE-L over stems."""
+    one = evaluation.rouge_n(whole_pairs(s, d), 1, stemmed=True)
+    return one.withColumnRenamed("rouge", "rouge1").join(evaluation.rouge_l(whole_pairs(s, d), stemmed=True).withColumnRenamed("rouge", "rougel"), "id").select("id", r6("rouge1").alias("rouge1"), r6("rougel").alias("rougel"))
+
+
 @query("ev_short_answer", "select doc_id, case when doc_id % 3 <> 0 then cast(contains(lower(text), 'the ') or contains(lower(text), 'der ') as double) end as hit from documents")
 def ev_short_answer(s, d):
     accepted = F.when(F.pmod("doc_id", F.lit(3)) != 0, F.array(F.lit("The "), F.lit("der ")))
@@ -1051,6 +1085,30 @@ def an_hexbin(s, d):
     return analytics.binned(points, "x", "y", 0.05)
 
 
+@query("an_hexagons", """with p as (select embedding[1]::double as x, embedding[2]::double as y from embeddings),
+a as (select (x * sqrt(3) / 3 - y / 3) / 0.05 as q0, y * 2 / 3 / 0.05 as r0 from p), c as (select q0, r0, floor(q0 + 0.5) as q, floor(r0 + 0.5) as r, floor(-q0 - r0 + 0.5) as s from a),
+m as (select case when abs(q - q0) > abs(r - r0) and abs(q - q0) > abs(s + q0 + r0) then -r - s else q end as q, case when not (abs(q - q0) > abs(r - r0) and abs(q - q0) > abs(s + q0 + r0)) and abs(r - r0) > abs(s + q0 + r0) then -q - s else r end as r from c)
+select cast(q as bigint) as q, cast(r as bigint) as r, count(*) as n from m group by 1, 2""")
+def an_hexagons(s, d):
+    points = t(s, d, "embeddings").select(F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    return analytics.hexagons(points, "x", "y", 0.05).select("q", "r", "n")
+
+
+@query("an_kde", """with c as (select cast(floor(embedding[1]::double / 0.05) as bigint) as bx, cast(floor(embedding[2]::double / 0.05) as bigint) as by, count(*) / (select count(*) from embeddings) as v from embeddings group by 1, 2),
+k as (select k, exp(-0.5 * (k * 0.05 / 0.1) * (k * 0.05 / 0.1)) / (0.1 * sqrt(2 * pi())) as w from range(-8, 9) t(k))
+select c.bx + a.k as bx, c.by + b.k as by, round(sum(v * a.w * b.w), 6) as density from c, k a, k b group by 1, 2""")
+def an_kde(s, d):
+    points = t(s, d, "embeddings").select(F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    return analytics.density(points, "x", "y", 0.05, 0.1).select("bx", "by", r6("density").alias("density"))
+
+
+@query("an_ward")
+def an_ward(s, d):
+    """The tree of the twenty clusters of label and half."""
+    points = t(s, d, "embeddings").select((F.col("label") * 2 + F.pmod("vec_id", F.lit(2))).alias("cluster"), "embedding")
+    return analytics.ward(points, "cluster", "embedding").withColumn("height", r6("height"))
+
+
 @query("an_distinct_sources", "select distinct source as name from documents")
 def an_distinct_sources(s, d):
     return analytics.distinct_sources(t(s, d, "documents").select(F.concat(F.lit("/data/"), "source").alias("source")))
