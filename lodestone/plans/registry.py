@@ -973,7 +973,15 @@ def ev_rouge2(s, d):
     return evaluation.rouge_n(whole_pairs(s, d), 2).select("id", r6("rouge").alias("rouge"))
 
 
-@query("ev_rougel")
+#: Rows of the table of common subsequences as lists, each the running maximum of what the row above allows.
+ROUGE_L = r"""with p as (select conv_id || '-' || turn as id, regexp_extract_all(lower(coalesce(lag(text) over (partition by conv_id order by turn), '')), '[\p{L}\p{N}]+') as r, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as a from conversations),
+h as (select id, list_transform(r, lambda w: [cast(hash(w) >> 1 as bigint)]) as r, list_transform(a, lambda w: cast(hash(w) >> 1 as bigint)) as a from p),
+z as (select id, a, len(r) as n, list_concat([list_transform(a, lambda w: 0::bigint)], r) as rows from h),
+c as (select id, n, len(a) as m, list_reduce(rows, lambda above, w: list_transform(range(1, len(a) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: case when a[i] = w[1] then coalesce(above[i - 1], 0) + 1 else above[i] end)))) as last from z)
+select id, round(case when n + m > 0 then 2.0 * coalesce(case when m > 0 then last[m] end, 0) / (n + m) else 0 end, 6) as rouge from c"""
+
+
+@query("ev_rougel", ROUGE_L)
 def ev_rougel(s, d):
     return evaluation.rouge_l(whole_pairs(s, d)).select("id", r6("rouge").alias("rouge"))
 
