@@ -11,7 +11,8 @@ from lodestone.functions import geometry as geo
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
 from lodestone.operators import analytics, building, chunking, context, dense, embedding, evaluation, fusion, late, lexical, segments, training
-from lodestone.plans import retrieval
+from lodestone.plans import predict, retrieval
+from lodestone.plans.config import Retrieval
 from lodestone.sources import files, keyvalue
 from lodestone.sources.scratch import scratch
 from lodestone.streaming import indexing
@@ -916,6 +917,37 @@ def qx_rephrase(s, d):
     return retrieval.variants(asked, again).select("query_id", "list_no", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
+FORMS = """with forms as (select item_id * 4 as item_id, case when item_id % 3 = 0 then text else left(text, 80) end as text from benchmark union all
+select item_id * 4 + n, substr(text, cast(10 * n as bigint), 60) from benchmark, (values (1), (2), (3)) v(n)), """
+PLANNED = FORMS + HITS.replace("from benchmark", "from forms").replace("case when item_id % 4 = 0 then ['text'] end as labels", "null::varchar[] as labels") + """,
+own as (select query_id // 4 as query_id, query_id % 4 as list_no, rank, doc_id from hits where rank <= 4),
+kept as (select * from (select *, max(list_no) over (partition by query_id, doc_id) as last from own) where list_no = last)
+select query_id, cast(list_no as int) as list_no, cast(row_number() over (partition by query_id order by list_no, rank) as int) as position, doc_id from kept"""
+
+
+@query("qx_plan", PLANNED)
+def qx_plan(s, d):
+    """Questions replaced by passages, except where these are blank, with three rephrasings each, searched as one batch and merged."""
+    generators = predict.Generators(
+        hyde=lambda q: q.select("query_id", F.when(F.pmod("query_id", F.lit(3)) == 0, " ").otherwise(F.expr("left(text, 80)")).alias("passage")),
+        rephrase=lambda q: q.withColumn("n", F.explode(F.array(*map(F.lit, range(3))))).withColumn("text", F.expr("substring(text, 10 * (n + 1), 60)")),
+    )
+    asked = t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    out = predict.predict(Retrieval.of(retrieval_mode="text_search_retrieval"), asked, lexical.build_index(staged_documents(s, d)), None, generators)
+    return out.text.select("query_id", "list_no", "position", "doc_id")
+
+
+@query("qx_summarise", "select conv_id as query_id, case when n > 1 then 'about ' || firsts || ': ' || text else text end as text from (select conv_id, count(*) as n, max_by(text, turn) as text from conversations group by conv_id) join (select conv_id, string_agg(left(text, 5), ' ' order by turn) as firsts from (select *, row_number() over (partition by conv_id order by turn desc) as k from conversations) where k > 1 group by conv_id union all select conv_id, '' from conversations group by conv_id having count(*) = 1) using (conv_id)")
+def qx_summarise(s, d):
+    """The last message of each conversation as a question, rewritten with what was said before."""
+    said = turns(s, d)
+    last = said.groupBy("session_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("text"))
+    earlier = said.join(last.select("session_id", F.col("turn").alias("_last")), "session_id").where("turn < _last").drop("_last")
+    firsts = lambda h: F.array_join(F.transform(h, lambda m: m["text"].substr(1, 5)), " ")
+    summarise = lambda q: q.select("query_id", F.concat("prompt", firsts(F.col("history")), F.lit(": "), "text").alias("text"))
+    return predict.standalone(last.select(F.col("session_id").alias("query_id"), "session_id", "text"), earlier, summarise, "about ").select("query_id", "text")
+
+
 def turns(s, d):
     return t(s, d, "conversations").withColumnRenamed("conv_id", "session_id")
 

@@ -10,12 +10,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import col
+from lodestone.functions.text import col, extension
 from lodestone.operators.context import bounded_hits, context_text
 from lodestone.operators.dense import knn
-from lodestone.operators.lexical import LexicalIndex, fetched, search
+from lodestone.operators.lexical import LexicalIndex, fetched, page_documents, search
 from lodestone.operators.segments import SegmentedIndex
 from lodestone.plans.config import Code, Retrieval, ServiceError, merged, uses_embeddings, uses_text
+from lodestone.plans.jobs import JobQueue
+from lodestone.sources.files import loaded_text, pages_of
 from lodestone.sources.scratch import names, remove
 
 
@@ -81,13 +83,13 @@ def listed_sources(hits: DataFrame) -> DataFrame:
 class Services:
     """Named services over index tables, and one worker that indexes in turn."""
 
-    LIBRARIES = ("hf", "langchain", "coldb", "diffusr")
+    LIBRARIES = ("dense", "text", "late", "image")
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
         self._lock, self._state, self._settings = threading.Lock(), {}, {}
 
-    def create(self, name: str, library: str = "hf", settings: Retrieval | None = None) -> None:
+    def create(self, name: str, library: str = "dense", settings: Retrieval | None = None) -> None:
         if library not in self.LIBRARIES:
             raise ServiceError(Code.UNKNOWN_LIBRARY, f"unknown library: {library}")
         if name in self._settings:
@@ -104,7 +106,30 @@ class Services:
 
     def status(self, name: str) -> str:
         """queued, running, error, or finished, which also stands for a service that never indexed."""
-        return self._state.get(name, "finished")
+        queued = self.queue.status(name)
+        return queued if queued != "finished" else self._state.get(name, "finished")
+
+    @property
+    def queue(self) -> JobQueue:
+        return JobQueue(self.spark, f"{self.root}/_jobs")
+
+    def upload(self, name: str, paths: list[str]) -> None:
+        """Copy files to the service and queue a job that indexes them; `work` does the jobs."""
+        self._of(name)
+        if self.status(name) == "running":
+            raise ServiceError(Code.LANGUAGE_MODEL, f"{name} is being indexed")
+        self.queue.upload(name, paths)
+        self.queue.watch().awaitTermination()
+
+    def work(self) -> int:
+        """Index what is queued, jobs one after the other; how many there were. A job's files are pages of text."""
+
+        def run(name: str, payload: dict) -> None:
+            found = self.spark.read.format("binaryFile").load(payload["paths"]).select("path", extension("path").alias("ext"), "content")
+            documents = page_documents(pages_of(loaded_text(found).where("error is null").select("source", "content")))
+            self.index(name, documents, override=Retrieval.of(update_index=True))
+
+        return self.queue.drain(run)
 
     def _of(self, name: str) -> Retrieval:
         if name not in self._settings:
@@ -126,7 +151,7 @@ class Services:
         An update adds the vectors of fresh sources, or, of vectors that name no source, those with an id that isn't there yet.
         """
         how = merged(self._of(name), override)
-        if self._state.get(name) in ("queued", "running"):
+        if self._state.get(name) in ("queued", "running"):  # by this session; other sessions' jobs are in the queue
             raise ServiceError(Code.BAD_REQUEST, f"{name} is being indexed")
         self._state[name] = "queued"
         with self._lock:
