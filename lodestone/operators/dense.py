@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import norm
 
-#: Up to so many queries go to the workers in one broadcast; more of them meet shards of the vectors block by block.
-BROADCAST_QUERIES, MAX_SIZE = 4096, 8192
+#: Query vectors of so many numbers in all go to the workers in one broadcast; more of them meet shards of the vectors block by block.
+BROADCAST_VALUES = 1 << 22
+#: Numbers of a shard or a block at most, on average, whatever the length of the vectors.
+BLOCK_VALUES = 1 << 24
 #: Vectors of a shard and queries of a block, on average, where both meet in one task.
 SHARD, BLOCK = 32_768, 4096
 #: Vectors of a block, on average, where all pairs are formed; bins of a histogram of their distances.
@@ -30,9 +32,9 @@ def _nearest(ids: list, q: np.ndarray, labels: list[set] | None, v: np.ndarray,
     """Per query its k nearest rows, and all that tie with the last of them, so that ids can decide later."""
     d = np.maximum(1 - q @ v.T, 0)
     if labels is not None:
-        for i, allowed in enumerate(labels):
-            if allowed:
-                d[i, [x not in allowed for x in own]] = np.inf
+        names, code = np.unique(np.array(["" if x is None else "+" + x for x in own]), return_inverse=True)
+        open_ = np.array([[not allowed or (x != "" and x[1:] in allowed) for x in names] for allowed in labels])
+        d[~open_[:, code]] = np.inf
     last = min(k, d.shape[1]) - 1
     limit = np.partition(d, last, axis=1)[:, last]
     a, b = np.nonzero((d <= limit[:, None] + 1e-12) & np.isfinite(d))
@@ -59,12 +61,12 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, depth: int = 1, label
     rows = vectors.where(F.col("embedding").isNotNull()).select("id", "embedding", F.col(label_col).alias("label") if use_labels else F.lit(None).cast("string").alias("label"))
     ddl = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(vectors.dtypes)['id']}, distance double"
     names = ["query_id", "id", "distance"]
-    some = asked.limit(BROADCAST_QUERIES + 1).collect()
-    if any(len(r["vec"]) > MAX_SIZE for r in some):
-        raise ValueError(f"a query vector has more than {MAX_SIZE} components")
-    if not some:
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(1)).alias("dim")).first()
+    m, dim = size["n"], max(1, size["dim"])
+    if not m:
         found = spark.createDataFrame([], ddl)
-    elif len(some) <= BROADCAST_QUERIES:
+    elif m * dim <= BROADCAST_VALUES:
+        some = asked.collect()  # of a size that has just been checked
         shared = spark.sparkContext.broadcast(([r["query_id"] for r in some], _unit(_matrix([r["vec"] for r in some])), [set(r["labels"] or ()) for r in some] if use_labels else None))
 
         def scan(parts):
@@ -76,8 +78,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, depth: int = 1, label
 
         found = rows.mapInArrow(scan, ddl)
     else:
-        n, m = rows.count(), asked.count()
-        shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
+        n = rows.count()
+        shards, blocks = (max(1, -(-count // max(1, min(most, BLOCK_VALUES // dim)))) for count, most in ((n, SHARD), (m, BLOCK)))
         each = lambda c, size: F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias(c)
         key = lambda c, size: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
         left = rows.select(key("id", shards).alias("shard"), each("block", blocks), "*")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.vectors import dot
+#: Rows of a block, on average, where all queries meet all passages.
+QUERY_BLOCK, PASSAGE_BLOCK = 1024, 8192
 
 
 def grouped_queries(rows: DataFrame) -> DataFrame:
@@ -29,8 +32,28 @@ def sampled_passages(groups: DataFrame, epoch: int, group_size: int, seed: int =
 
 
 def contrastive_loss(queries: DataFrame, passages: DataFrame, group: int, temperature: float = 0.02) -> DataFrame:
-    """(loss): mean cross-entropy of queries(i, q) against all passages(j, p) of a batch, passage i * group being the right one."""
-    scores = queries.crossJoin(passages).select("i", "j", (dot("q", "p") / temperature).alias("s"))
-    top = F.max("s").over(Window.partitionBy("i"))
-    per = scores.withColumn("m", top).groupBy("i").agg((F.log(F.sum(F.exp(F.col("s") - F.col("m")))) + F.first("m") - F.max(F.when(F.col("j") == F.col("i") * group, F.col("s")))).alias("loss"))
-    return per.agg(F.avg("loss").alias("loss"))
+    """(loss): mean cross-entropy of queries(i, q) against all passages(j, p) of a batch, passage i * group being the right one.
+
+    Blocks of queries meet blocks of passages; of each pair of blocks a query keeps its largest score, the sum of the
+    exponentials below it, and the right passage's score if that is there. Those are put together by query.
+    """
+    blocks, shards = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-passages.count() // PASSAGE_BLOCK))
+    each = lambda c, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c)
+    key = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = queries.select(key("i", blocks).alias("b"), each("s", shards), F.col("i").cast("long").alias("i"), F.col("q").cast("array<double>").alias("q"))
+    right = passages.select(each("b", blocks), key("j", shards).alias("s"), F.col("j").cast("long").alias("j"), F.col("p").cast("array<double>").alias("p"))
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        names = ["i", "top", "below", "right"]
+        if not x.num_rows or not y.num_rows:
+            return pa.table([pa.array([], pa.int64())] + [pa.array([], pa.float64())] * 3, names=names)
+        i, j = x["i"].to_numpy(), y["j"].to_numpy()
+        score = np.array(x["q"].to_pylist()) @ np.array(y["p"].to_pylist()).T / temperature
+        top = score.max(1)
+        own = np.where(j[None] == i[:, None] * group, score, -np.inf).max(1)
+        return pa.table([pa.array(i), pa.array(top), pa.array(np.exp(score - top[:, None]).sum(1)), pa.array([None if v == -np.inf else float(v) for v in own], pa.float64())], names=names)
+
+    parts = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInArrow(meet, "i long, top double, below double, right double")
+    most = parts.groupBy("i").agg(F.max("top").alias("most"), F.max("right").alias("right"), F.collect_list(F.struct("top", "below")).alias("parts"))
+    total = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["below"] * F.exp(p["top"] - F.col("most")))
+    return most.select((F.log(total) + F.col("most") - F.col("right")).alias("loss")).agg(F.avg("loss").alias("loss"))

@@ -97,7 +97,7 @@ def test_many_queries_meet_shards(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, [float(x) for x in a], "t" if i % 2 else "f") for i, a in enumerate(v)], "id long, embedding array<double>, crop_label string")
     queries = vectors.where("id < 30").select(F.col("id").alias("query_id"), F.col("embedding").alias("vec"), F.when(F.col("id") % 3 == 0, F.array(F.lit("t"))).alias("labels"))
     once = sorted(map(tuple, dense.knn(vectors, queries, 7, label_col="crop_label").select("query_id", "rank", "id").collect()))
-    monkeypatch.setattr(dense, "BROADCAST_QUERIES", 5)
+    monkeypatch.setattr(dense, "BROADCAST_VALUES", 5)
     monkeypatch.setattr(dense, "SHARD", 20)
     monkeypatch.setattr(dense, "BLOCK", 8)
     assert sorted(map(tuple, dense.knn(vectors, queries, 7, label_col="crop_label").select("query_id", "rank", "id").collect())) == once and len(once) == 210
