@@ -17,6 +17,8 @@ from lodestone.functions.text import ascii_tokens, bm25_clean, counted, keyword_
 FIELDS = ("content", "source")
 K1, B = 1.2, 0.75
 OKAPI_K1, OKAPI_FLOOR = 1.5, 0.25
+#: Terms of all questions together that are broadcast.
+BROADCAST_TERMS = 1 << 18
 COLUMNS = ("doc_id", "source", "page_number", "crop_label", "label", "content")
 TABLES = ("documents", "postings", "terms", "fields")
 
@@ -29,6 +31,8 @@ class LexicalIndex:
     fields: DataFrame
     #: (segment, doc_id) of postings that don't count any more.
     dead: DataFrame | None = None
+    #: Whether the tables are read rather than made, so that terms are there for the reading.
+    written: bool = True
 
     def postings_of(self, terms: DataFrame) -> DataFrame:
         """The postings of terms(term), dead ones left out after the terms are chosen."""
@@ -68,7 +72,7 @@ def build_index(documents: DataFrame, fields: tuple[str, ...] = FIELDS) -> Lexic
     postings = each.select(F.col("p.term").alias("term"), "field", "doc_id", F.col("p.tf").alias("tf"), "length", "crop_label")
     terms = postings.groupBy("term", "field").agg(F.count("*").alias("df"))
     per_field = documents.select(texts).groupBy("field").agg(F.count("*").alias("n"), F.avg(token_count("text")).alias("average"))
-    return LexicalIndex(documents, postings, terms, per_field)
+    return LexicalIndex(documents, postings, terms, per_field, written=False)
 
 
 def search(index: LexicalIndex, questions: DataFrame, *, limit: int, fields: tuple[str, ...] = FIELDS, okapi: bool = False) -> DataFrame:
@@ -82,9 +86,18 @@ def search(index: LexicalIndex, questions: DataFrame, *, limit: int, fields: tup
     asked = wanted.select("query_id", "labels", F.transform(keyword_tokens(strip("text")), lambda t: F.lower(t)).alias("words"))
     asked_terms = asked.select("query_id", "labels", F.explode(F.array_distinct("words")).alias("term"))
     fits = F.col("labels").isNull() | (F.size("labels") == 0) | F.coalesce(F.array_contains("labels", F.col("crop_label")), F.lit(False)) if "labels" in questions.columns else F.lit(True)
-    few = asked_terms.select("term").distinct()
-    terms = index.terms.where(F.col("field").isin(*fields))
-    terms = (terms if okapi else terms.join(few, "term", "left_semi")).groupBy("term", "field").agg(F.sum("df").alias("df")).where("df > 0")
+    # a batch of questions is small beside the postings, up to a size that is checked, and goes to them
+    sent = F.broadcast if asked_terms.count() <= BROADCAST_TERMS else lambda df: df
+    few = sent(asked_terms.select("term").distinct())
+    # by document, so that scores add up where the postings are and only the best of each question move again
+    found = index.postings_of(few).where(F.col("field").isin(*fields)).repartition("doc_id")
+    if index.written or okapi:
+        terms = index.terms.where(F.col("field").isin(*fields))
+        terms = (terms if okapi else terms.join(few, "term", "left_semi")).groupBy("term", "field").agg(F.sum("df").alias("df")).where("df > 0")
+    else:
+        # all columns are asked for, so that the counting and the scoring read one exchange
+        there = (F.col("tf") > 0) & (F.col("length") > 0) & (F.coalesce("crop_label", F.lit("")) != "\0")
+        terms = found.groupBy("term", "field").agg(F.count(F.when(there, 1)).alias("df"))
     stats = terms.join(F.broadcast(index.fields), "field")
     if okapi:
         raw = stats.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -94,7 +107,7 @@ def search(index: LexicalIndex, questions: DataFrame, *, limit: int, fields: tup
         stats, k1 = stats.withColumn("idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))), K1
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - B + B * F.col("length") / F.col("average")))
-    scored = asked_terms.join(stats, "term").join(index.postings_of(few), ["term", "field"]).where(fits).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    scored = found.join(sent(asked_terms.join(stats, "term")), ["term", "field"]).where(fits).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
     # without a keyword all documents tie: the first ones of each label are all that a ranking of `limit` can show
     first = F.row_number().over(Window.partitionBy("crop_label").orderBy("doc_id"))
     leading = index.documents.select("doc_id", first.alias("n"), "crop_label").where(F.col("n") <= limit).select("doc_id", "crop_label")
