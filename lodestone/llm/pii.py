@@ -27,8 +27,8 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 
 #: Distinct seeds that a pattern must have met; rounds; scores from which a pattern and an instance count.
 SUPPORT, ROUNDS, CONFIDENT, ACCEPTED = 5, 3, 0.9, 0.8
-#: Characters of a token above which its hash stands for it; words further away than REACH characters are no context.
-INSTANCE, REACH = 80, 60
+#: Characters of a token or of a context word above which its hash stands for it.
+INSTANCE = 80
 
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 
@@ -80,14 +80,36 @@ def seeds(text: str) -> list[tuple[str, int, int]]:
 
 
 def plain(word: str) -> str:
-    """A context word in lower case, without punctuation around it, digits made alike."""
-    return DIGITS.sub("0", word.lower().strip(".,;:!?()[]{}\"'"))
+    """A context word in lower case, without punctuation around it, digits made alike; a long one's hash."""
+    word = DIGITS.sub("0", word.lower().strip(".,;:!?()[]{}\"'"))
+    return word if len(word) <= INSTANCE else xxhash.xxh3_128_hexdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def words_before(text: str, at: int, n: int) -> list[str]:
+    """The last n words before a place, whole ones, however far away; the window grows until it has them."""
+    reach = 64
+    while True:
+        window = text[max(0, at - reach) : at]
+        words = window.split()
+        if reach >= at or len(words) > n or (len(words) == n and window[0].isspace()):
+            return words[-n:]
+        reach *= 4
+
+
+def word_after(text: str, at: int) -> list[str]:
+    """The next word from a place on, as a list of at most one."""
+    reach = 64
+    while True:
+        window = text[at : at + reach]
+        words = window.split()
+        if at + reach >= len(text) or len(words) > 1 or (words and window[-1].isspace()):
+            return words[:1]
+        reach *= 4
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
     """Contexts of a span: the two words before it, and the words on both sides."""
-    left, right = text[max(0, start - REACH) : start].split()[-2:], text[end : end + REACH].split()[:1]
-    before, after = list(map(plain, left)), list(map(plain, right))
+    before, after = list(map(plain, words_before(text, start, 2))), list(map(plain, word_after(text, end)))
     return ([f"{before[0]} {before[1]} _"] if len(before) == 2 else []) + ([f"{before[-1]} _ {after[0]}"] if before and after else [])
 
 

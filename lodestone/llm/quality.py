@@ -23,8 +23,8 @@ CHUNK, APART = 512, 384
 #: The longest way back at which a repetition counts.
 LAG = 20
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
-#: Chunks of a document that a fit learns from at most, spread evenly; scores always read all of them.
-FIT_CHUNKS = 6
+#: A document with more chunks than these counts, in all of them together, as much as one with so many.
+EVEN_CHUNKS = 6
 #: Bytes that are convolved at once.
 BLOCK = 1 << 18
 
@@ -110,7 +110,10 @@ class Network:
 
 
 def fit(texts: list[str], labels: list[int], *, share: float | None = None, steps: int = 700, batch: int = 64, seed: int = 0) -> Network:
-    """A network for the labels. share: of ones among all labelled rows. Fewer than one text of either class gives the share to all texts."""
+    """A network for the labels. share: of ones among all labelled rows. Fewer than one text of either class gives the share to all texts.
+
+    All chunks of the texts are learnt from, each at least once.
+    """
     net, y, rng = Network(seed), np.array(labels, np.float64), np.random.default_rng(seed)
     here = float(y.mean()) if len(y) else 0.5
     share = here if share is None else share
@@ -118,15 +121,17 @@ def fit(texts: list[str], labels: list[int], *, share: float | None = None, step
         net.combine = np.array([np.log((share + 1e-3) / (1 - share + 1e-3)), 0, 0, 0])
         return net
     data = [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
-    shown, target = [], []
+    shown, target, part = [], [], []
     for d, label in zip(data, y):
         starts = chunk_starts(len(d))
-        for k in np.unique(np.linspace(0, len(starts) - 1, min(FIT_CHUNKS, len(starts))).astype(int)).tolist():
-            shown.append(d[starts[k] : starts[k] + CHUNK])
-            target.append(label)
-    target = np.array(target, np.float32)
-    weight = np.where(target > 0, 0.5 / target.mean(), 0.5 / (1 - target.mean())).astype(np.float32)
-    twice = [repeats(d) for d in shown]
+        shown += [d[s : s + CHUNK] for s in starts]
+        target += [label] * len(starts)
+        part += [min(1.0, EVEN_CHUNKS / len(starts))] * len(starts)
+    target, part = np.array(target, np.float32), np.array(part, np.float32)
+    ones = float((target * part).sum() / part.sum())
+    weight = (np.where(target > 0, 0.5 / ones, 0.5 / (1 - ones)) * part).astype(np.float32)
+    weight *= len(weight) / weight.sum()
+    steps = max(steps, -(-len(shown) // batch))
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
     while step < steps:
@@ -134,7 +139,7 @@ def fit(texts: list[str], labels: list[int], *, share: float | None = None, step
         for a in range(0, len(order), batch):
             some = order[a : a + batch]
             step += 1
-            for (k, v), g in zip(net.p.items(), gradients(net, [shown[i] for i in some], [twice[i] for i in some], target[some], weight[some])):
+            for (k, v), g in zip(net.p.items(), gradients(net, [shown[i] for i in some], [repeats(shown[i]) for i in some], target[some], weight[some])):
                 m, s = moments[k]
                 m += 0.1 * (g - m)
                 s += 0.01 * (g * g - s)

@@ -223,7 +223,7 @@ def gram_set(hashes: np.ndarray) -> np.ndarray:
 def prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """The start of a set, in an order that all sets share, that meets the start of every set of that Jaccard similarity.
 
-    The order is by count in the sample and then by hash; any order would be exact, this one keeps common shingles out.
+    The order is by count and then by hash; any order that all sets share is exact, this one keeps common shingles out.
     """
     n = len(grams)
     if len(common) and n:
@@ -283,6 +283,8 @@ def run_starts(key: np.ndarray) -> np.ndarray:
 PLACE = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("pos", pa.int64()), ("size", pa.int64())])
 #: Texts of the sample that says which shingles are common; it steers the order only, not which links are found.
 ORDER_SAMPLE = 4000
+#: Sets under a shingle of their prefixes from which it is put behind all others, and how often the order is mended so.
+CROWD, MENDS = 256, 2
 #: Partners by chance of a set under each shingle of its prefix, before all pairs that are left are compared.
 DRAWS = 8
 #: Bits of the map that tells most texts of no pair before they are shingled again.
@@ -303,6 +305,77 @@ def common_grams(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["g"].to_numpy(), found["n"].to_numpy()
 
 
+def crowded(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts), by shingle, of those that stand in the prefixes of very many sets: more than CROWD, and than a millionth of all places.
+
+    So there are at most 2^20 of them. Equal sets count once in a task.
+    """
+    places = rows.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0)).alias("n")).first()["n"] // 8
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+
+    def count(parts):
+        seen, held, size = set(), [], 0
+
+        def batch():
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], schema=schema)
+
+        for part in parts:
+            for node, keys in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if node not in seen:
+                    seen.add(node)
+                    held.append(np.frombuffer(keys, np.int64))
+                    size += len(held[-1])
+            if size > 1 << 20:
+                yield batch()
+                held, size = [], 0
+        if held:
+            yield batch()
+
+    counts = rows.select("node", "keys").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") > max(CROWD, places >> 20)).orderBy("key").toArrow()
+    return found["key"].to_numpy(), found["n"].to_numpy()
+
+
+def raised(common: tuple[np.ndarray, np.ndarray], hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order with these shingles behind all that aren't among them or were among such before, by their counts."""
+    keys = np.union1d(common[0], hot[0])
+    value = np.zeros(len(keys), np.int64)
+    value[np.searchsorted(keys, common[0])] = common[1]
+    value[np.searchsorted(keys, hot[0])] = hot[1] + (1 << 40)
+    return keys, value
+
+
+def reordered(rows: DataFrame, texts: DataFrame, common, hot: np.ndarray, similarity: float) -> DataFrame:
+    """rows with new prefixes, by the order `common`, where the old ones hold one of the shingles that it puts further back.
+
+    The prefix of any other set is the same under both orders, as putting back what isn't in it changes nothing.
+    """
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast((*common, hot))
+    names, at = list(rows.columns), rows.columns.index("keys")
+
+    def touched(parts):
+        hot = shared.value[2]
+        for part in parts:
+            mark = [bool(np.isin(np.frombuffer(k, np.int64), hot).any()) for k in part.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(mark, pa.bool_())], names=[*names, "touched"])
+
+    marked = rows.mapInArrow(touched, ", ".join(f"{n} {k}" for n, k in rows.dtypes) + ", touched boolean")
+    again = marked.where("touched").drop("touched")
+    wanted = hash_map(again.select("h"))
+    schema = pa.schema([("h", pa.int64()), ("keys", pa.binary())])
+
+    def renewed(parts):
+        keys, counts, _ = shared.value
+        for some in chosen_texts(parts, wanted.value):
+            if some:
+                yield to_batch(schema, [(h, prefix(gram_set(shingle_hashes(text, SIMILAR_WIDTH)), keys, counts, similarity).tobytes()) for h, text in some])
+
+    fresh = texts.mapInArrow(renewed, "h long, keys binary").groupBy("h").agg(F.first("keys").alias("keys"))
+    return checkpointed(marked.where("not touched").drop("touched").unionByName(again.drop("keys").join(fresh, "h")))
+
+
 def shared_places(rows: DataFrame) -> DataFrame:
     """(key, node, pos, size): of rows(node, size, keys), the keys that more than one node has."""
 
@@ -381,29 +454,40 @@ def other_pairs(columns: list[np.ndarray], similarity: float):
             yield node[a:b][ok], np.full(int(ok.sum()), node[i])
 
 
-def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, other, grams) of the texts(h, text) whose hash is in wanted(h), and of a few others."""
+def hash_map(wanted: DataFrame):
+    """A broadcast map of MAP_BITS bits of the hashes in wanted(h): it has all of them, and a few others."""
     place = F.pmod("h", F.lit(MAP_BITS))
     parts_of_map = wanted.groupBy(F.floor(place / 32768).cast("int").alias("b")).agg(F.bitmap_construct_agg(place % 32768).alias("bits")).collect()  # 1024 rows of 4 KB at most
     bits = np.zeros((MAP_BITS // 32768, 4096), np.uint8)
     for r in parts_of_map:
         bits[r["b"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = wanted.sparkSession.sparkContext.broadcast(bits.ravel())
+    return wanted.sparkSession.sparkContext.broadcast(bits.ravel())
+
+
+def chosen_texts(parts, bits: np.ndarray):
+    """For each batch of (h, text) the (h, text) in the map, each hash once in a task."""
+    seen = set()
+    for part in parts:
+        h = part.column(0).to_numpy()
+        p = h % MAP_BITS
+        out = []
+        for i in np.flatnonzero(bits[p >> 3] >> (p & 7) & 1).tolist():
+            if int(h[i]) not in seen:
+                seen.add(int(h[i]))
+                out.append((int(h[i]), part.column(1)[i].as_py()))
+        yield out
+
+
+def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, other, grams) of the texts(h, text) whose hash is in wanted(h), and of a few others."""
+    shared = hash_map(wanted)
     schema = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("grams", pa.binary())])
 
     def run(parts):
-        seen = set()
-        for part in parts:
-            h = part.column(0).to_numpy()
-            p = h % MAP_BITS
-            out = []
-            for i in np.flatnonzero(shared.value[p >> 3] >> (p & 7) & 1).tolist():
-                if int(h[i]) not in seen:
-                    seen.add(int(h[i]))
-                    grams = gram_set(shingle_hashes(part.column(1)[i].as_py(), SIMILAR_WIDTH)).tobytes()
-                    out.append((*node_of(grams), grams))
-            if out:
-                yield to_batch(schema, out)
+        for some in chosen_texts(parts, shared.value):
+            sets = [gram_set(shingle_hashes(text, SIMILAR_WIDTH)).tobytes() for _, text in some]
+            if sets:
+                yield to_batch(schema, [(*node_of(g), g) for g in sets])
 
     return texts.mapInArrow(run, "node long, other long, grams binary")
 
@@ -489,7 +573,8 @@ def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("bins", pa.binary()), ("keys", pa.binary())])
     docs = documents_of(df, id_col, text_col).withColumn("h", F.xxhash64("text"))
     texts = docs.select("h", "text")
-    common = df.sparkSession.sparkContext.broadcast(common_grams(texts))
+    order = common_grams(texts)
+    common = df.sparkSession.sparkContext.broadcast(order)
 
     def described(doc_id: int | None, text: str, h: int) -> tuple:
         hashes = shingle_hashes(text, SIMILAR_WIDTH)
@@ -501,6 +586,12 @@ def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str
             yield from batches(schema, (described(*r) for r in zip(*(c.to_pylist() for c in part.columns))), 1024)
 
     rows = checkpointed(docs.mapInArrow(run, "doc_id long, h long, node long, other long, size long, fp long, bins binary, keys binary"))
+    for _ in range(MENDS):
+        hot = crowded(rows)
+        if not len(hot[0]):
+            break
+        order = raised(order, hot)
+        rows = reordered(rows, texts, order, hot[0], similarity)
     clashes = rows.groupBy("node").agg(F.min("other").alias("least_other"), F.max("other").alias("last")).where("least_other < last").select("node", "least_other")
     rows = told_apart(rows, clashes)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
