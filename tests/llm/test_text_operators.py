@@ -572,3 +572,31 @@ def test_redact_edges(spark):
     assert len(got) == len(rows) and {r["pii_key"] for r in got} == {"mine"} and sum(r["text"] is None for r in got) == 1
     assert sum("/" in (r["text"] or "") for r in got) <= 8 and "mail [EMAIL]" in {r["text"] for r in got}
     assert pii.instance_of("x" * 90 + "1") != pii.instance_of("x" * 90 + "2") and "@" in pii.instance_of("y" * 100 + "@")
+
+
+def test_a_line_of_many_unlike_documents_makes_few_pairs(spark, monkeypatch):
+    """The order is mended: no set meets another only because both have the line."""
+    monkeypatch.setattr(simhash, "CROWD", 20)
+    monkeypatch.setattr(simhash, "common_grams", lambda texts: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    pairs, only_possible = [], simhash.only_possible
+
+    def counted(found, nodes, similarity):
+        pairs.append(found.count())
+        return only_possible(found, nodes, similarity)
+
+    monkeypatch.setattr(simhash, "only_possible", counted)
+    r = random.Random(9)
+    line = " ".join(f"licence{i}" for i in range(25))
+    rows = [(d, " ".join(f"w{r.randrange(10**6)}" for _ in range(30)) + " " + line) for d in range(600)]
+    rows += [(1000 + d, rows[d][1] + " extra") for d in range(10)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(x["doc_id"] for x in kept.collect()) == list(range(600))
+    assert sum(pairs) < 3000  # 360 000 where all that share the line meet
+
+
+def test_context_words_are_whole_however_long_or_far():
+    assert pii.patterns("a" + " " * 5000 + "b" + " " * 5000 + "1234" + "\n" * 5000 + "c", 10_002, 10_006) == ["a b _", "b _ c"]
+    long = "x" * 500
+    first, second = pii.patterns(f"{long} at 1234 {long}y", 504, 508)
+    assert len(first) < 80 and first != pii.patterns(f"{long}x at 1234", 505, 509)[0] and first.endswith(" at _") and second.startswith("at _ ")
+    assert pii.patterns("1234", 0, 4) == []
