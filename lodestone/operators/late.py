@@ -13,11 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
+from lodestone.functions.vectors import bucket_numbers, dot, normalized, packed_bits, squared_distance, unpacked_bits
 from lodestone.operators import centroids
 from lodestone.sources.scratch import checkpointed
-from lodestone.functions.vectors import bucket_numbers, dot, norm, normalized, packed_bits, squared_distance, unpacked_bits
 
 UNSEEN = -9999.0
 #: Token vectors of a shard and of a block of queries, on average, where all are compared.
@@ -353,7 +352,3 @@ def truncated_tokens(words: DataFrame, n: int, special: list[str]) -> DataFrame:
     room = n - F.sum(F.col("special").cast("int")).over(w)
     ordinary = F.sum((~F.col("special")).cast("int")).over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     return marked.withColumn("_keep", F.col("special") | (ordinary <= room)).where("_keep").drop("_keep", "special")
-
-
-def embedding_sizes(vectors: DataFrame) -> DataFrame:
-    return vectors.select(F.size("v").alias("dim"), norm("v").alias("norm")).groupBy("dim").agg(F.count("*").alias("n"), F.avg("norm").alias("norm"))

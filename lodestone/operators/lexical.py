@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import ascii_tokens, bm25_clean, counted, keyword_tokens, strip, token_count, tokens
+from lodestone.functions.text import counted, keyword_tokens, strip, token_count, tokens
 
 FIELDS = ("content", "source")
 K1, B = 1.2, 0.75
@@ -120,8 +120,3 @@ def search(index: LexicalIndex, questions: DataFrame, *, limit: int, fields: tup
 def fetched(index: LexicalIndex, hits: DataFrame) -> DataFrame:
     """Hits with their documents' columns and the name of the retriever."""
     return hits.join(index.documents, "doc_id").select("query_id", "rank", *COLUMNS, "score", F.lit("text_search_engine").alias("retriever"))
-
-
-def ensemble_tokens(c):
-    """Tokens of the second ranking: cleaned text in words, case kept."""
-    return ascii_tokens(bm25_clean(c))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import threading
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -189,6 +189,12 @@ class Services:
     def _write_mode(self, name: str, mode: str) -> None:
         self.spark.createDataFrame([(json.dumps({"retrieval_mode": mode}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path(name)}/settings")
 
+    def mode(self, name: str) -> str | None:
+        """The retrieval mode that the index was last made for; None without an index."""
+        if not self.exists(name, "settings"):
+            return None
+        return json.loads(self.spark.read.text(f"{self.path(name)}/settings").first()["value"])["retrieval_mode"]
+
     def count(self, name: str) -> int:
         self._of(name)
         return self.lexical(name).count()
@@ -199,9 +205,12 @@ class Services:
     def predict(self, name: str, questions: DataFrame, override: Retrieval | None = None, generate: Callable[[DataFrame], DataFrame] | None = None) -> Answer | DataFrame:
         """What is retrieved for the questions, or what a generator makes of (query_id, text, context).
 
-        A service without vectors finds nothing by embedding.
+        A service without vectors finds nothing by embedding. Where neither the service nor the request names a mode, it is
+        the one that the index was made for.
         """
         how = merged(self._of(name), override)
+        if "retrieval_mode" not in how.given and (kept := self.mode(name)):
+            how = replace(how, retrieval_mode=kept)
         index = self.lexical(name).index() if self.exists(name) else None
         vectors = None
         if self.exists(name, "vectors") and uses_embeddings(how.retrieval_mode) and "vec" in questions.columns:

@@ -242,7 +242,10 @@ def test_services(spark, library, tmp_path):
     answer = services.predict("s", asked(spark, "fuel pump relay"))
     assert answer.embedding is None and answer.text.where("rank = 1").first()["doc_id"] == "doc-1"
     assert answer.context.first()["context"].startswith("Text source 1: a.pdf page 1 type full_page")
-    assert services.status("never") == "finished"
+    assert services.status("never") == "finished" and services.mode("s") == "text_search_retrieval"
+    again = retrieval.Services(spark, str(tmp_path))  # a later session knows the mode from the index
+    again.create("s")
+    assert again.predict("s", asked(spark, "fuel pump relay")).text is not None
     services.delete("s")
     assert services.info() == []
 
