@@ -121,7 +121,7 @@ class SegmentedIndex:
         name = f"s{uuid.uuid4().hex}"
         part = lambda table: f"{self.root}/{table}/segment={name}"
         documents.select(*COLUMNS).write.parquet(part("documents"))
-        laid(build_index(self.spark.read.parquet(part("documents")), self.fields).postings).write.parquet(part("postings"))
+        build_index(self.spark.read.parquet(part("documents")), self.fields).postings.write.parquet(part("postings"))
         return name, self._finish(name)
 
     def _tombstones(self, ids: DataFrame, state: State) -> str | None:
@@ -182,8 +182,7 @@ class SegmentedIndex:
     def _merge(self, members: list[str]) -> None:
         state, name = self.state(), f"s{uuid.uuid4().hex}"
         for table in ("documents", "postings"):
-            rows = self._live(table, state, members).drop("segment")
-            (laid(rows) if table == "postings" else rows).write.parquet(f"{self.root}/{table}/segment={name}")
+            self._live(table, state, members).drop("segment").write.parquet(f"{self.root}/{table}/segment={name}")
         left = {n: c for n, c in state.segments.items() if n not in members} | {name: self._finish(name)}
         self._commit(State(0, left, tuple(d for d in state.dead if self._touches(d, left)), state.batches))
 
@@ -203,11 +202,6 @@ class SegmentedIndex:
                 remove(self.spark, f"{self.root}/commits/{v}")
 
 
-def laid(postings: DataFrame) -> DataFrame:
-    """Postings in files of ranges of terms, so that statistics of the files tell which terms they hold."""
-    return postings.repartitionByRange("term", "field", "doc_id").sortWithinPartitions("term", "field", "doc_id")
-
-
 def lengths(postings: DataFrame, documents: DataFrame, fields: tuple[str, ...], *by: str) -> DataFrame:
     """(field, n, total): how many documents there are, and how many words these have in each field; a document without words counts."""
     words = postings.groupBy(*by, "doc_id", "field").agg(F.first("length").alias("length")).groupBy(*by, "field").agg(F.sum("length").alias("total"))
