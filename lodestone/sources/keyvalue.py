@@ -49,10 +49,14 @@ class KeyValueStore:
         self.rows().write.mode("overwrite").parquet(target)
 
 
-def migrated_keys(rows: DataFrame, pattern: str, kind: str = "crop") -> DataFrame:
-    """rows(key) with new_key made of a pattern's groups (document, page, number); a key that doesn't match stays."""
+def migrated_keys(rows: DataFrame, pattern: str, kind: str = "crop", cut: bool = False) -> DataFrame:
+    """rows(key) with new_key made of a pattern's groups (document, page, number); a key that doesn't match stays.
+
+    Numbers get four digits at least. cut: and at most, the first four, as lpad has them in SQL; keys can then collide.
+    """
     part = lambda i: F.regexp_extract("key", pattern, i)
-    new = F.concat(uuid5(part(1)), F.format_string("_%04d", part(2).cast("int")), F.when(part(3) != "", F.format_string(f"_{kind}_%04d", part(3).cast("int"))).otherwise(""))
+    digits = lambda i: F.lpad(part(i), 4, "0") if cut else F.format_string("%04d", part(i).cast("int"))
+    new = F.concat(uuid5(part(1)), F.lit("_"), digits(2), F.when(part(3) != "", F.concat(F.lit(f"_{kind}_"), digits(3))).otherwise(""))
     return rows.withColumn("new_key", F.when(F.col("key").rlike(pattern), new).otherwise(F.col("key")))
 
 
