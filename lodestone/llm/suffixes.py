@@ -51,6 +51,11 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mixed(word[:n] * _ODD[0] + mixed(word[8 : n + 8]) * _ODD[1] + word[12 : n + 12] * _ODD[2])
 
 
+def gram_hashes_at(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """gram_hashes at some places; words: eight bytes from each place, the first one lowest."""
+    return mixed(words[at] * _ODD[0] + mixed(words[at + 8]) * _ODD[1] + words[at + 12] * _ODD[2])
+
+
 def content_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A hash of each stretch's bytes, wherever they stand."""
     return Prefixes(data).of(first, first + size) + size.astype(np.uint64)
@@ -130,28 +135,46 @@ class Prefixes:
 class SuffixSorter:
     """Sorts suffixes of a buffer by their first WINDOW bytes, segment by segment."""
 
-    def __init__(self, data: np.ndarray, prefixes: Prefixes | None = None):
+    def __init__(self, data: np.ndarray):
         self.data = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
-        self.hash = prefixes or Prefixes(self.data)
-
-    def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Length of the common extension of suffixes, WINDOW at most: binary search over equal hashes of prefixes."""
-        low = np.where(self.hash.of(x, x + WINDOW) == self.hash.of(y, y + WINDOW), WINDOW, 0)
-        some = np.flatnonzero(low == 0)
-        a, b = np.zeros(len(some), np.int64), np.full(len(some), WINDOW)
-        x, y = x[some], y[some]
+        self.hash = Prefixes(self.data)
+        #: Eight bytes from each place, the first one highest, so that words are ordered as their bytes are.
+        self.head = np.ndarray((len(self.data) - 7,), ">u8", self.data, strides=(1,)).astype(np.uint64)
+
+    def same_hash(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether windows have equal hashes."""
+        return self.hash.of(x, x + WINDOW) == self.hash.of(y, y + WINDOW)
+
+    def extension(self, x: np.ndarray, y: np.ndarray, least: int = 0) -> np.ndarray:
+        """Length of the common extension of suffixes, WINDOW at most: binary search over equal hashes of prefixes.
+
+        least: so many bytes are known to be equal.
+        """
+        total = self.hash.sum
+        before_x, before_y, scale_x, scale_y = total[x], total[y], self.hash.inverse[x], self.hash.inverse[y]
+        same = lambda n: (total[x + n] - before_x) * scale_x == (total[y + n] - before_y) * scale_y
+        whole = same(WINDOW)
+        low = np.where(whole, WINDOW, least)
+        some = np.flatnonzero(~whole)
+        x, y, before_x, before_y, scale_x, scale_y = (v[some] for v in (x, y, before_x, before_y, scale_x, scale_y))
+        a, b = np.full(len(some), least), np.full(len(some), WINDOW)
         while (b - a > 1).any():
             middle = (a + b) // 2
-            same = self.hash.of(x, x + middle) == self.hash.of(y, y + middle)
-            a, b = np.where(same, middle, a), np.where(same, b, middle)
+            equal = same(middle)
+            a, b = np.where(equal, middle, a), np.where(equal, b, middle)
         low[some] = a
         return low
 
     def before(self, x: np.ndarray, y: np.ndarray, equal: np.ndarray) -> np.ndarray:
-        """Whether suffix x stands before y; `equal` where their windows are equal."""
-        n = self.extension(x, y)
+        """Whether suffix x stands before y; `equal` where their windows are equal. Words that differ decide at once."""
+        first, second = self.head[x], self.head[y]
+        out = first < second
+        tied = np.flatnonzero(first == second)
+        x, y = x[tied], y[tied]
+        n = self.extension(x, y, 8)
         at = np.minimum(n, WINDOW - 1)
-        return np.where(n >= WINDOW, equal, self.data[x + at] < self.data[y + at])
+        out[tied] = np.where(n >= WINDOW, equal[tied], self.data[x + at] < self.data[y + at])
+        return out
 
     def sort(self, suffix: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """suffix with each of its segments (start, length per element) sorted: bottom-up merges of all segments at once.
@@ -185,8 +208,8 @@ class SuffixSorter:
 
     def same_bytes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         out = np.ones(len(x), bool)
-        for k in range(WINDOW):
-            out &= self.data[x + k] == self.data[y + k]
+        for k in (*range(0, WINDOW - 8, 8), WINDOW - 8):
+            out &= self.head[x + k] == self.head[y + k]
         return out
 
 
@@ -203,7 +226,7 @@ def smallest_of_windows(sorter: SuffixSorter, suffix: np.ndarray, group: np.ndar
     moved = order[place[np.searchsorted(s[place], ranked)]]
     equal = np.zeros(len(s), bool)
     inside = np.flatnonzero(~new)
-    close = inside[sorter.extension(ranked[inside - 1], ranked[inside]) >= WINDOW]
+    close = inside[sorter.same_hash(ranked[inside - 1], ranked[inside])]
     equal[close] = sorter.same_bytes(ranked[close - 1], ranked[close])
     run = np.flatnonzero(~equal)
     out = np.empty(len(s), least.dtype)
@@ -344,12 +367,13 @@ def marks_of_bucket(rows: pa.Table) -> pa.Table:
     total = np.bincount(row, size, rows.num_rows).astype(np.int64).tolist()
     data = np.frombuffer(b"".join([pa.decompress(b, n, "zstd", asbytes=True) for b, n in zip(rows["bytes"].to_pylist(), total)]), np.uint8)
     at = np.cumsum(size) - size
-    key, content = gram_hashes(data)[at + offset], content_hashes(data, at, size)
+    sorter = SuffixSorter(data)
+    key, content = gram_hashes_at(sorter.head.byteswap(), at + offset), sorter.hash.of(at, at + size) + size.astype(np.uint64)
     order = np.lexsort((content, key))
     k, c = key[order], content[order]
     new_key = np.append(True, k[1:] != k[:-1])
     new = new_key | np.append(True, c[1:] != c[:-1])
-    check(data, at[order], size[order], new)
+    check(sorter.head, at[order], size[order], new)
     start = np.flatnonzero(new)
     number = np.cumsum(new) - 1  # of the distinct stretch, in the sorted order
     head = order[start]
@@ -364,7 +388,7 @@ def marks_of_bucket(rows: pa.Table) -> pa.Table:
     place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     if len(owner):
         group = anchor[owner] * (WINDOW + 1) + offset[head[owner]] - place
-        value = smallest_of_windows(SuffixSorter(data), at[head[owner]] + place, group, smallest[owner])
+        value = smallest_of_windows(sorter, at[head[owner]] + place, group, smallest[owner])
         cut = np.append(True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1]))
         begin = np.flatnonzero(cut)
         run_owner, run_value, run_first = owner[begin], value[begin], place[begin]
@@ -388,15 +412,19 @@ def marks_of_bucket(rows: pa.Table) -> pa.Table:
     return table_of(out, MARKS)
 
 
-def check(data: np.ndarray, at: np.ndarray, size: np.ndarray, new: np.ndarray) -> None:
-    """Stretches that count as equal must be so byte by byte; a collision of both 64-bit hashes stops the job."""
+def check(words: np.ndarray, at: np.ndarray, size: np.ndarray, new: np.ndarray) -> None:
+    """Stretches that count as equal must be so byte by byte; a collision of both 64-bit hashes stops the job.
+
+    words: eight bytes from each place. A stretch has WINDOW bytes at least, so that its last word is inside it.
+    """
     again = np.flatnonzero(~new)
     if not len(again):
         return
-    padded = np.concatenate([data, np.zeros(256, np.uint8)])
-    same = size[again] == size[again - 1]
-    for k in range(int(size.max())):
-        same &= (padded[at[again] + k] == padded[at[again - 1] + k]) | (k >= size[again])
+    x, y, n = at[again], at[again - 1], size[again]
+    same = (n == size[again - 1]) & (words[x + n - 8] == words[y + n - 8])
+    for k in range(0, int(size.max()) - 7, 8):
+        some = np.flatnonzero(n >= k + 8)
+        same[some] &= words[x[some] + k] == words[np.minimum(y[some] + k, len(words) - 1)]
     if not same.all():
         raise ArithmeticError("two different stretches have equal hashes; choose another multiplier for the prefix hashes")
 
