@@ -15,6 +15,8 @@ BROADCAST_VALUES = 1 << 22
 BLOCK_VALUES = 1 << 24
 #: Vectors of a shard and queries of a block, on average, where both meet in one task.
 SHARD, BLOCK = 32_768, 4096
+#: Distances that a worker holds at once, and rows that it gives back at once.
+TILE, BATCH = 1 << 20, 1 << 16
 #: Vectors of a block, on average, where all pairs are formed; bins of a histogram of their distances.
 PAIR_BLOCK, PAIR_BINS = 8192, 1 << 18
 
@@ -28,17 +30,44 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _nearest(ids: list, q: np.ndarray, labels: list[set] | None, v: np.ndarray, own: list | None, k: int) -> tuple[list, np.ndarray, np.ndarray]:
-    """Per query its k nearest rows, and all that tie with the last of them, so that ids can decide later."""
-    d = np.maximum(1 - q @ v.T, 0)
+def _nearest(q: np.ndarray, labels: list[set] | None, v: np.ndarray, own: list | None, k: int, limits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per query its k nearest rows, and all that tie with the last of them, so that ids can decide later: numbers of queries and rows, distances.
+
+    Queries and rows meet in tiles of TILE distances. limits: a distance per query that k rows seen before don't exceed;
+    farther rows stay out, and it is lowered to what is found.
+    """
     if labels is not None:
         names, code = np.unique(np.array(["" if x is None else "+" + x for x in own]), return_inverse=True)
-        open_ = np.array([[not allowed or (x != "" and x[1:] in allowed) for x in names] for allowed in labels])
-        d[~open_[:, code]] = np.inf
-    last = min(k, d.shape[1]) - 1
-    limit = np.partition(d, last, axis=1)[:, last]
-    a, b = np.nonzero((d <= limit[:, None] + 1e-12) & np.isfinite(d))
-    return [ids[i] for i in a], b, d[a, b]
+        open_ = np.array([[not allowed or (x != "" and x[1:] in allowed) for x in names] for allowed in labels]).reshape(len(labels), len(names))
+    limits = np.full(len(q), np.inf) if limits is None else limits
+    wide = max(1, min(len(v), max(2048, 64 * k)))
+    tall = max(1, TILE // wide)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for i in range(0, len(q), tall):
+        limit = limits[i : i + tall]
+        a, b, d = out[0]
+        for j in range(0, len(v), wide):
+            tile = q[i : i + tall] @ v[j : j + wide].T
+            free = np.flatnonzero(np.isinf(limit))
+            if len(free) and tile.shape[1] >= k:
+                own_d = np.maximum(1 - tile[free], 0)
+                if labels is not None:
+                    own_d[~open_[i + free][:, code[j : j + wide]]] = np.inf
+                limit[free] = np.partition(own_d, k - 1, axis=1)[:, k - 1]
+            x, y = np.nonzero(tile >= 1 - limit[:, None] - 2e-12)
+            if labels is not None:
+                seen = open_[i + x, code[j + y]]
+                x, y = x[seen], y[seen]
+            a, b, d = np.append(a, x), np.append(b, y + j), np.append(d, np.maximum(1 - tile[x, y], 0))
+            order = np.lexsort((d, a))
+            a, b, d = a[order], b[order], d[order]
+            start = np.searchsorted(a, np.arange(len(limit) + 1))
+            full = np.flatnonzero(np.diff(start) >= k)
+            limit[full] = np.minimum(limit[full], d[start[full] + k - 1])
+            keep = (d <= limit[a] + 1e-12) & np.isfinite(d)
+            a, b, d = a[keep], b[keep], d[keep]
+        out.append((a + i, b, d))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _values(column) -> np.ndarray:
@@ -67,14 +96,16 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, depth: int = 1, label
         found = spark.createDataFrame([], ddl)
     elif m * dim <= BROADCAST_VALUES:
         some = asked.collect()  # of a size that has just been checked
-        shared = spark.sparkContext.broadcast(([r["query_id"] for r in some], _unit(_matrix([r["vec"] for r in some])), [set(r["labels"] or ()) for r in some] if use_labels else None))
+        shared = spark.sparkContext.broadcast((pa.array([r["query_id"] for r in some]), _unit(_matrix([r["vec"] for r in some])), [set(r["labels"] or ()) for r in some] if use_labels else None))
 
         def scan(parts):
             ids, q, labels = shared.value
+            limits = np.full(len(q), np.inf)
             for part in parts:
                 if part.num_rows:
-                    a, b, d = _nearest(ids, q, labels, _unit(_values(part.column(1))), part.column(2).to_pylist() if labels is not None else None, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), part.column(0).take(pa.array(b)), pa.array(d)], names=names)
+                    a, b, d = _nearest(q, labels, _unit(_values(part.column(1))), part.column(2).to_pylist() if labels is not None else None, k, limits)
+                    for i in range(0, len(a), BATCH):
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[i : i + BATCH])), part.column(0).take(pa.array(b[i : i + BATCH])), pa.array(d[i : i + BATCH])], names=names)
 
         found = rows.mapInArrow(scan, ddl)
     else:
@@ -89,8 +120,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, depth: int = 1, label
             if not x.num_rows or not y.num_rows:
                 return pa.table([x["id"].slice(0, 0) if n == "id" else y["query_id"].slice(0, 0) if n == "query_id" else pa.array([], pa.float64()) for n in names], names=names)
             labels = [set(r or ()) for r in y["labels"].to_pylist()] if use_labels else None
-            a, b, d = _nearest(list(range(y.num_rows)), _unit(_values(y["vec"])), labels, _unit(_values(x["embedding"])), x["label"].to_pylist() if use_labels else None, k)
-            return pa.table([y["query_id"].take(pa.array(a, pa.int64())), x["id"].take(pa.array(b)), pa.array(d)], names=names)
+            a, b, d = _nearest(_unit(_values(y["vec"])), labels, _unit(_values(x["embedding"])), x["label"].to_pylist() if use_labels else None, k)
+            return pa.table([y["query_id"].take(pa.array(a)), x["id"].take(pa.array(b)), pa.array(d)], names=names)
 
         found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meet, ddl)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 12), "id"))
