@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import dense
+from lodestone.operators import centroids, dense, late
 from lodestone.plans.registry import ORACLES, QUERIES
 
 
@@ -51,3 +51,48 @@ def test_nearest_holds_a_tile_of_distances():
         a, b, d = dense._nearest(q, labels, v[i : i + 3000], own[i : i + 3000], 5, limits)
         seen += zip(a.tolist(), (b + i).tolist())
     assert set(zip(x.tolist(), y.tolist())) <= set(seen)
+
+
+def test_centroids_are_compared_in_tiles():
+    r = np.random.default_rng(8)
+    v, c = r.normal(size=(5000, 8)), r.normal(size=(3000, 8))
+    c[2000:2100] = c[:100]  # ties go to the first
+    tracemalloc.start()
+    score, best = centroids.best_of(v, c)
+    row, at, s = centroids.largest_of(v, c, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20  # all products at once are 120 MB, and were copied
+    whole = np.round(v @ c.T, 12)
+    assert (best == whole.argmax(1)).all() and (score == whole.max(1)).all()
+    assert (at.reshape(-1, 4) == np.argsort(-whole, axis=1, kind="stable")[:, :4]).all() and (row.reshape(-1, 4)[:, 0] == np.arange(5000)).all()
+
+
+def test_pairs_of_tokens_make_no_rows(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    row = lambda i, j: (i, j, r.normal(size=4).tolist())
+    tokens = spark.createDataFrame([row(p, j) for p in range(40) for j in range(1 + p % 3)], "pid long, pos long, v array<double>")
+    asked = spark.createDataFrame([row(p, j) for p in range(9) for j in range(1 + p % 4)], "query_id long, qpos long, q array<double>")
+    found = spark.createDataFrame([(q, p) for q in range(10) for p in range(45) if (q * p) % 5 != 1 or q == 3], "query_id long, pid long")
+    v, q = {}, {}
+    for x in tokens.collect():
+        v.setdefault(x["pid"], []).append(x["v"])
+    for x in asked.collect():
+        q.setdefault(x["query_id"], []).append((x["qpos"], x["q"]))
+    pairs = [(x["query_id"], x["pid"]) for x in found.collect() if x["query_id"] in q and x["pid"] in v]
+    best = {(a, b): [(p >= 2, max(float(np.dot(x, y)) for y in v[b]), -min(float(((np.array(x) - y) ** 2).sum()) for y in np.array(v[b]))) for p, x in q[a]] for a, b in pairs}
+    top = lambda m: sum(sorted((x for late_, x, _ in m if not late_), reverse=True)[:1]) + sum(sorted((x for late_, x, _ in m if late_), reverse=True)[:1])
+    for values in (1 << 22, 24):  # one block of queries, and several
+        monkeypatch.setattr(late, "MATCH_VALUES", values)
+        monkeypatch.setattr(late, "MATCH_SHARD", 16)
+        for got, want in (
+            (late.maxsim(asked, found, tokens), lambda m: sum(x for _, x, _ in m)),
+            (late.maxsim(asked, found, tokens, floor_at_zero=True), lambda m: sum(max(x, 0) for _, x, _ in m)),
+            (late.maxsim(asked, found, tokens, squared=True), lambda m: sum(y for _, _, y in m)),
+            (late.flipr(asked, found, tokens, 2, 1, 1), top),
+        ):
+            scores = {(x["query_id"], x["pid"]): x["score"] for x in got.collect()}
+            assert scores.keys() == best.keys()
+            assert all(abs(scores[p] - want(m)) < 1e-9 for p, m in best.items())
+    assert "Join" not in late.maxsim(asked, found, tokens)._jdf.queryExecution().optimizedPlan().toString()
+    assert late.maxsim(asked.where("false"), found, tokens).count() == 0
