@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from lodestone.sources.scratch import names
 
+#: Jobs of a run at most, unless chunks are fewer than `group` times as many; each reads the input once.
+MOST_JOBS = 16
 MANIFEST = "chunk long, content string, rows long"
 
 
@@ -41,18 +43,20 @@ class ChunkedBuild:
     def run(self, rows: DataFrame, make: Callable[[DataFrame], DataFrame], before: Callable[[list[int]], None] | None = None) -> list[int]:
         """Make what is missing of make(rows), where rows have a column `chunk` and make keeps it; the chunks that were made.
 
-        `group` chunks are a job. before: called with the chunks of a job before it starts.
+        `group` chunks are a job, or more where that makes over MOST_JOBS jobs. before: called with the chunks of a job before it starts.
         """
         wanted, done = self.wanted(rows).alias("w"), self.manifest().alias("d")
         same = F.expr("w.chunk = d.chunk and w.content = d.content and w.rows = d.rows")
         todo = sorted((r["chunk"], r["content"], r["rows"]) for r in wanted.join(done, same, "left_anti").collect())  # a row for each chunk
-        for i in range(0, len(todo), self.group):
-            part = todo[i : i + self.group]
+        group = max(self.group, -(-len(todo) // MOST_JOBS))
+        for i in range(0, len(todo), group):
+            part = todo[i : i + group]
             chunks = [c for c, _, _ in part]
             if before:
                 before(chunks)
             out = make(rows.where(F.col("chunk").isin(chunks)))
-            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(f"{self.root}/data")
+            # a chunk is one file, however many tasks made it
+            out.repartition("chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(f"{self.root}/data")
             steps = [int(n[5:]) for n in names(self.spark, f"{self.root}/manifest") if n.startswith("step=")]
             self.spark.createDataFrame(part, MANIFEST).coalesce(1).write.parquet(f"{self.root}/manifest/step={max(steps, default=-1) + 1}")
         return [c for c, _, _ in todo]

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import centroids, dense, late
+from lodestone.operators import building, centroids, dense, late
 from lodestone.plans.registry import ORACLES, QUERIES
 
 
@@ -96,3 +96,11 @@ def test_pairs_of_tokens_make_no_rows(spark, monkeypatch):
             assert all(abs(scores[p] - want(m)) < 1e-9 for p, m in best.items())
     assert "Join" not in late.maxsim(asked, found, tokens)._jdf.queryExecution().optimizedPlan().toString()
     assert late.maxsim(asked.where("false"), found, tokens).count() == 0
+
+
+def test_jobs_of_a_build_do_not_grow_with_its_chunks(spark, tmp_path):
+    rows = spark.range(600).select((F.col("id") % 200).alias("chunk"), "id")
+    build, jobs = building.ChunkedBuild(spark, str(tmp_path / "b"), group=4), []
+    build.run(rows, lambda part: part, before=jobs.append)
+    assert len(jobs) <= building.MOST_JOBS and sorted(c for j in jobs for c in j) == list(range(200))
+    assert sorted(r["id"] for r in build.table().collect()) == list(range(600)) and not build.run(rows, lambda part: part)
