@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batches, checkpointed, documents_of, table, to_batch, unused
+from lodestone.llm.common import batches, checkpointed, documents_of, shuffles_go, table, to_batch, unused
 from lodestone.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -287,7 +287,7 @@ ORDER_SAMPLE = 4000
 CROWD, MENDS = 256, 2
 #: Partners by chance of a set under each shingle of its prefix, before all pairs that are left are compared.
 DRAWS = 8
-#: Bits of the map that tells most texts of no pair before they are shingled again.
+#: Bits of the maps that tell most texts of no pair before they are shingled again, and most rows that stay before they meet those that go.
 MAP_BITS = 1 << 25
 
 
@@ -567,9 +567,37 @@ def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str
     Rows link if their sets of five-word shingles have a Jaccard similarity of at least `similarity`; null, empty and
     blank texts have an empty set and link with each other; a text of fewer than five words is one shingle. Of rows that
     repeat an id, one for each component stays. Rows with a null id stay only where their component has no other. No
-    rows give no rows. The texts move once, to meet the keys of the rows that stay.
+    rows give no rows. No text moves but those of rows that go and of a few others.
     """
     hashed = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    with shuffles_go(df.sparkSession):
+        gone, repeated = near_duplicate_rows(df, id_col, text_col, similarity)
+    kept = without(df, gone, F.col(f"`{id_col}`").cast("long"), hashed)
+    if not repeated:
+        return kept
+    own_h = unused(df, "own_h")
+    return kept.withColumn(own_h, hashed).dropDuplicates([id_col, own_h]).drop(own_h)
+
+
+def without(df: DataFrame, gone: DataFrame, doc_id: Column, h: Column) -> DataFrame:
+    """The rows of df whose (doc_id, h) is not in gone(doc_id, h).
+
+    A map of MAP_BITS bits in words of 64 goes to all rows; only those that it can't tell from gone ones are sent to meet these.
+    """
+    names = own_id, own_h, own_word, own_bits = [unused(df, n) for n in ("own_id", "own_h", "own_word", "own_bits")]
+    place = lambda *key: F.pmod(F.xxhash64(*key), F.lit(MAP_BITS))
+    words = gone.select(place("doc_id", "h").alias("p")).groupBy(F.shiftright("p", 6).alias(own_word)).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias(own_bits))
+    keyed = df.withColumns({own_id: doc_id, own_h: h}).withColumn(own_word, F.shiftright(place(own_id, own_h), 6))
+    marked = keyed.join(F.broadcast(words), own_word, "left")
+    own_bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({own_id}, {own_h}), 64) as int))")
+    there = F.coalesce(F.col(own_bits).bitwiseAND(own_bit), F.lit(0)) != 0
+    again = gone.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"))
+    met = marked.where(there).join(again, F.col(own_id).eqNullSafe(F.col("gone_id")) & (F.col(own_h) == F.col("gone_h")), "left_anti")
+    return marked.where(~there).union(met).drop(*names)
+
+
+def near_duplicate_rows(df: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, bool]:
+    """(doc_id, h) of the rows that go, h hashing the text, and whether an id has a text twice."""
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("bins", pa.binary()), ("keys", pa.binary())])
     docs = documents_of(df, id_col, text_col).withColumn("h", F.xxhash64("text"))
     texts = docs.select("h", "text")
@@ -598,12 +626,10 @@ def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str
     nodes = checkpointed(rows.groupBy("node").agg(least.alias("least"), F.min("fp").alias("fp"), F.first("bins").alias("bins")))
     roots = similar_roots(rows, texts, nodes.select("node", F.col("least.h").alias("h"), "fp", "bins"), clashes, similarity)
     rooted = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
-    own_id, own_h = unused(df, "own_id"), unused(df, "own_h")
-    stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias(own_id), F.col("least.h").alias(own_h))
-    kept = df.join(stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own_id)) & (hashed == F.col(own_h)), "left_semi")
-    if rows.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return kept
-    return kept.withColumn(own_h, hashed).dropDuplicates([id_col, own_h]).drop(own_h)
+    stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("own_id"), F.col("least.h").alias("own_h"))
+    ids = rows.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    gone = ids.join(stay, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h")), "left_anti").select("doc_id", "h")
+    return checkpointed(gone), (ids.agg(F.max("n").alias("n")).first()["n"] or 0) > 1
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
