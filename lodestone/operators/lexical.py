@@ -19,6 +19,8 @@ K1, B = 1.2, 0.75
 OKAPI_K1, OKAPI_FLOOR = 1.5, 0.25
 #: Terms of all questions together that are broadcast.
 BROADCAST_TERMS = 1 << 18
+#: Pairs of a question and a document that one task adds up, at most.
+TASK_PAIRS = 1 << 22
 COLUMNS = ("doc_id", "source", "page_number", "crop_label", "label", "content")
 TABLES = ("documents", "postings", "terms", "fields")
 
@@ -75,6 +77,11 @@ def build_index(documents: DataFrame, fields: tuple[str, ...] = FIELDS) -> Lexic
     return LexicalIndex(documents, postings, terms, per_field, written=False)
 
 
+def parts(documents: int, questions: int, least: int) -> int:
+    """Into how many parts documents go, so that none has more than TASK_PAIRS pairs with questions."""
+    return max(least, -(-documents * questions // TASK_PAIRS))
+
+
 def search(index: LexicalIndex, questions: DataFrame, *, limit: int, fields: tuple[str, ...] = FIELDS, okapi: bool = False) -> DataFrame:
     """Hits (query_id, rank, doc_id, score) for questions(query_id, text, labels array<string> or null).
 
@@ -87,10 +94,12 @@ def search(index: LexicalIndex, questions: DataFrame, *, limit: int, fields: tup
     asked_terms = asked.select("query_id", "labels", F.explode(F.array_distinct("words")).alias("term"))
     fits = F.col("labels").isNull() | (F.size("labels") == 0) | F.coalesce(F.array_contains("labels", F.col("crop_label")), F.lit(False)) if "labels" in questions.columns else F.lit(True)
     # a batch of questions is small beside the postings, up to a size that is checked, and goes to them
-    sent = F.broadcast if asked_terms.count() <= BROADCAST_TERMS else lambda df: df
+    size = asked_terms.agg(F.count("*").alias("terms"), F.count_distinct("query_id").alias("questions")).first()
+    sent = F.broadcast if size["terms"] <= BROADCAST_TERMS else lambda df: df
     few = sent(asked_terms.select("term").distinct())
-    # by document, so that scores add up where the postings are and only the best of each question move again
-    found = index.postings_of(few).where(F.col("field").isin(*fields)).repartition("doc_id")
+    # by document, so that scores add up where the postings are and only the best of each question move again; into so
+    # many parts that the pairs of one fit a task, however many documents and questions there are
+    found = index.postings_of(few).where(F.col("field").isin(*fields)).repartition(parts(index.documents.count(), size["questions"], index.documents.sparkSession.sparkContext.defaultParallelism), "doc_id")
     if index.written or okapi:
         terms = index.terms.where(F.col("field").isin(*fields))
         terms = (terms if okapi else terms.join(few, "term", "left_semi")).groupBy("term", "field").agg(F.sum("df").alias("df")).where("df > 0")
