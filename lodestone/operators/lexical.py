@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import counted, keyword_tokens, strip, token_count, tokens
@@ -63,17 +63,31 @@ def chunk_id(source, page, start, number):
     return F.concat_ws(":", source, F.coalesce(page.cast("string"), F.lit("None")), F.coalesce(start, number).cast("string"), number.cast("string"))
 
 
+def field_texts(fields: tuple[str, ...]) -> Column:
+    """(field, text) rows of a document; a null text counts as empty."""
+    return F.explode(F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[F.coalesce(F.col(f), F.lit("")) for f in fields]))).alias("field", "text")
+
+
+def word_counts(documents: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(doc_id, crop_label, field, length, counts array of (term, tf)): a row for each document and field."""
+    words = documents.select("doc_id", "crop_label", field_texts(fields)).select("doc_id", "crop_label", "field", tokens("text").alias("words"))
+    return words.select("doc_id", "crop_label", "field", F.size("words").alias("length"), counted("words").alias("counts"))
+
+
+def opened(rows: DataFrame) -> DataFrame:
+    """Postings of rows that have counts; all other columns stay."""
+    each = rows.select(*[c for c in rows.columns if c != "counts"], F.explode("counts").alias("p"))
+    return each.select(F.col("p.term").alias("term"), F.col("p.tf").alias("tf"), *[c for c in rows.columns if c != "counts"])
+
+
 def build_index(documents: DataFrame, fields: tuple[str, ...] = FIELDS) -> LexicalIndex:
     """The index of rows with the columns of COLUMNS; ids must be distinct.
 
     A document's terms are counted where the document is, so that postings are made without a shuffle.
     """
-    texts = F.explode(F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[F.coalesce(F.col(f), F.lit("")) for f in fields]))).alias("field", "text")
-    words = documents.select("doc_id", "crop_label", texts).select("doc_id", "crop_label", "field", tokens("text").alias("words"))
-    each = words.select("doc_id", "crop_label", "field", F.size("words").alias("length"), F.explode(counted("words")).alias("p"))
-    postings = each.select(F.col("p.term").alias("term"), "field", "doc_id", F.col("p.tf").alias("tf"), "length", "crop_label")
+    postings = opened(word_counts(documents, fields))
     terms = postings.groupBy("term", "field").agg(F.count("*").alias("df"))
-    per_field = documents.select(texts).groupBy("field").agg(F.count("*").alias("n"), F.avg(token_count("text")).alias("average"))
+    per_field = documents.select(field_texts(fields)).groupBy("field").agg(F.count("*").alias("n"), F.avg(token_count("text")).alias("average"))
     return LexicalIndex(documents, postings, terms, per_field, written=False)
 
 

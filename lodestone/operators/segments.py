@@ -4,7 +4,9 @@ Each update writes one segment: its documents, postings, and statistics, as part
 change. A document that is deleted or replaced gets a tombstone, kept with what it takes off the statistics, so that terms and
 lengths summed over segments and tombstones are those of an index made at once. A commit is a small table that lists
 the segments and tombstone sets that count; it is written last, so that a reader sees all of an update or nothing, and
-what an interrupted update leaves is not seen. Compaction merges segments of one size class by copying live rows.
+what an interrupted update leaves is not seen. Compaction merges segments of one size class by copying live rows and
+adding up statistics. Postings are kept as one row for each document and field, so that what is copied or left out is a
+document's row, and a search opens them.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.lexical import COLUMNS, FIELDS, LexicalIndex, build_index
+from lodestone.operators.lexical import COLUMNS, FIELDS, LexicalIndex, opened, word_counts
 from lodestone.sources.scratch import names, remove
 
 STATE = "kind string, name string, number long"
@@ -104,7 +106,7 @@ class SegmentedIndex:
                 merged[t] = merged[t].unionByName(off.drop("home"))
         fields = merged["fields"].groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).select("field", "n", (F.col("total") / F.col("n")).alias("average"))
         dead = self._dead("ids", state)
-        postings = self._read("postings", list(state.segments))
+        postings = opened(self._read("postings", list(state.segments)))
         return LexicalIndex(self._live("documents", state).select(*COLUMNS), postings, merged["terms"], fields, dead.withColumnRenamed("home", "segment") if dead is not None else None)
 
     # --- updates
@@ -113,7 +115,7 @@ class SegmentedIndex:
         """The statistics of a segment whose documents and postings are written; how many documents it has."""
         part = lambda table: f"{self.root}/{table}/segment={name}"
         documents, postings = (self.spark.read.parquet(part(t)) for t in ("documents", "postings"))
-        postings.groupBy("term", "field").agg(F.count("*").alias("df")).write.parquet(part("terms"))
+        opened(postings).groupBy("term", "field").agg(F.count("*").alias("df")).write.parquet(part("terms"))
         lengths(postings, documents, self.fields).write.parquet(part("fields"))
         return documents.count()
 
@@ -121,7 +123,7 @@ class SegmentedIndex:
         name = f"s{uuid.uuid4().hex}"
         part = lambda table: f"{self.root}/{table}/segment={name}"
         documents.select(*COLUMNS).write.parquet(part("documents"))
-        build_index(self.spark.read.parquet(part("documents")), self.fields).postings.write.parquet(part("postings"))
+        word_counts(self.spark.read.parquet(part("documents")), self.fields).write.parquet(part("postings"))
         return name, self._finish(name)
 
     def _tombstones(self, ids: DataFrame, state: State) -> str | None:
@@ -134,7 +136,7 @@ class SegmentedIndex:
         if gone.isEmpty():
             return None
         postings = self._read("postings", list(state.segments)).join(gone.withColumnRenamed("home", "segment"), ["segment", "doc_id"], "left_semi").withColumnRenamed("segment", "home")
-        postings.groupBy("home", "term", "field").agg((-F.count("*")).alias("df")).write.parquet(part("terms"))
+        opened(postings).groupBy("home", "term", "field").agg((-F.count("*")).alias("df")).write.parquet(part("terms"))
         off = lengths(postings, gone, self.fields, "home")
         off.select("home", "field", (-F.col("n")).alias("n"), (-F.col("total")).alias("total")).write.parquet(part("fields"))
         return name
@@ -183,9 +185,20 @@ class SegmentedIndex:
         state, name = self.state(), f"s{uuid.uuid4().hex}"
         for table in ("documents", "postings"):
             self._live(table, state, members).drop("segment").write.parquet(f"{self.root}/{table}/segment={name}")
-        left = {n: c for n, c in state.segments.items() if n not in members} | {name: self._finish(name)}
+        self._add_up(name, members, state)
+        count = self.spark.read.parquet(f"{self.root}/documents/segment={name}").count()
+        left = {n: c for n, c in state.segments.items() if n not in members} | {name: count}
         self._commit(State(0, left, tuple(d for d in state.dead if self._touches(d, left)), state.batches))
 
+    def _add_up(self, name: str, members: list[str], state: State) -> None:
+        """The statistics of a segment merged from these: theirs, without what tombstones take off."""
+        for table, key, sums in (("terms", ("term", "field"), ("df",)), ("fields", ("field",), ("n", "total"))):
+            rows, off = self._read(table, members).drop("segment"), self._dead(table, state)
+            if off is not None:
+                rows = rows.unionByName(off.where(F.col("home").isin(*members)).drop("home"))
+            merged = rows.groupBy(*key).agg(*[F.sum(c).alias(c) for c in sums])
+            (merged.where("df > 0") if table == "terms" else merged).write.parquet(f"{self.root}/{table}/segment={name}")
+
     def _touches(self, dead: str, segments: dict[str, int]) -> bool:
         return not self._read("dead_ids", [dead]).where(F.col("home").isin(*segments)).isEmpty()
 
@@ -204,6 +217,6 @@ class SegmentedIndex:
 
 def lengths(postings: DataFrame, documents: DataFrame, fields: tuple[str, ...], *by: str) -> DataFrame:
     """(field, n, total): how many documents there are, and how many words these have in each field; a document without words counts."""
-    words = postings.groupBy(*by, "doc_id", "field").agg(F.first("length").alias("length")).groupBy(*by, "field").agg(F.sum("length").alias("total"))
+    words = postings.groupBy(*by, "field").agg(F.sum("length").alias("total"))
     every = (documents.groupBy(*by) if by else documents).agg(F.count("*").alias("n")).withColumn("field", F.explode(F.array(*map(F.lit, fields))))
     return every.join(words, [*by, "field"], "left").select(*by, "field", "n", F.coalesce("total", F.lit(0)).cast("long").alias("total"))

@@ -87,3 +87,18 @@ def test_a_batch_is_added_once(spark, tmp_path):
     batch = spark.createDataFrame([document(r, 1)], DDL)
     assert index.add(batch, batch=("stream", 0)) and not index.add(batch, batch=("stream", 0))
     assert index.add(spark.createDataFrame([document(r, 2)], DDL), batch=("stream", 1)) and index.count() == 2
+
+
+def test_postings_are_a_row_for_each_document_and_field(spark, tmp_path):
+    r = random.Random(9)
+    index = SegmentedIndex(spark, str(tmp_path))
+    live = {f"d{i}": document(r, i) for i in range(12)}
+    index.create(spark.createDataFrame(list(live.values())[:6], DDL))
+    index.add(spark.createDataFrame(list(live.values())[6:], DDL))
+    index.delete(spark.createDataFrame([("d1",), ("d7",)], "doc_id string"))
+    assert index.compact(2) == 2
+    rows = spark.read.parquet(f"{tmp_path}/postings/segment={next(iter(index.state().segments))}").select("doc_id", "field").collect()
+    assert sorted(map(tuple, rows)) == sorted((d, f) for d in live if d not in ("d1", "d7") for f in lexical.FIELDS)
+    fresh = lexical.build_index(spark.createDataFrame([v for k, v in live.items() if k not in ("d1", "d7")], DDL))
+    sums = lambda i: sorted(map(tuple, i.terms.groupBy("term", "field").sum("df").where("`sum(df)` > 0").collect()))
+    assert sums(index.index()) == sums(fresh)
