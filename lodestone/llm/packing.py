@@ -11,9 +11,10 @@ block after its last good cut is carried into the next one.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
-from collections import deque
+import string
 from itertools import pairwise
 
 import numpy as np
@@ -37,8 +38,10 @@ BLOCK_TOKENS = 1 << 20
 CACHE_WORDS = 400_000
 #: Documents that are encoded together.
 DOCUMENTS_AT_ONCE = 256
-#: A line of Latin letters and the ASCII marks after them, or of anything else.
-PIECES = re.compile(r"^(?:([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-/:-@\[-`{-~]*)|(.*))$", re.MULTILINE)
+#: ASCII marks, and lines that are empty or not of Latin letters only.
+MARKS = string.punctuation
+LETTERS = r"A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+NO_WORD = re.compile(rf"^(?:[{LETTERS}]*+[^{LETTERS}\n].*|)$", re.MULTILINE)
 #: Words on which the way through the tokenizer and that straight to its model must agree.
 TRIAL = ("the", "The", "qzxv", "supercalifragilistic", "A", "HtTp", "onenthsh", "Éçouç", "straße", "Žluťoučký", "ªµº", "ĦŁŋſ")
 
@@ -56,13 +59,23 @@ SCHEMA = pa.schema(
 DDL = "doc_id long, start long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, ids binary"
 
 
+def remembered(known: dict[str, bytes], wanted: set[str], made) -> dict[str, bytes]:
+    """known with all that is wanted; what is known and not wanted goes where these would be more than CACHE_WORDS."""
+    fresh = wanted.difference(known)
+    if len(known) + len(fresh) > CACHE_WORDS:
+        known = {x: known[x] for x in wanted.difference(fresh)}
+    for x in fresh:
+        known[x] = made(x)
+    return known
+
+
 class WordEncoder:
     """Token ids, as little-endian unsigned 32-bit bytes, of texts under a tokenizer to which white space is a hard border.
 
     Text between two blanks is encoded once and remembered, as the tokenizer never looks across white space. New words
     of Latin letters, with ASCII marks after them, are two pieces to the tokenizer. These letters go straight to its model
     if a trial at the start shows that the way there only lowers their case and writes bytes as characters; everything
-    else goes through the tokenizer.
+    else goes through the tokenizer. Letters are remembered without the marks and the case, as many words share them.
     """
 
     def __init__(self, path: str):
@@ -70,8 +83,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self.forget()
         tokens = self.tokenizer.get_vocab()
         size = max(tokens.values()) + 1
         self.bytes = [i.to_bytes(4, "little") for i in range(size)]
@@ -81,43 +93,41 @@ class WordEncoder:
         # what a byte-level vocabulary writes for a byte: printable ones as they are, the others as the characters from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
-        self.characters = {b: chr(256 + k) for k, b in enumerate(hidden)}
+        characters = {b: chr(256 + k) for k, b in enumerate(hidden)}
+        # lines of letters stay lines
+        self.characters = "".join([chr(b) if b == 10 else characters.get(b, chr(b)) for b in range(256)])
         self.direct = all(self.letters(w) == self.whole(w) for w in TRIAL)
 
+    def lowered(self, words: list[str]) -> list[str]:
+        """Words of letters as the model gets them."""
+        return codecs.charmap_decode("\n".join(words).lower().encode(), "strict", self.characters)[0].split("\n")
+
     def letters(self, word: str) -> bytes:
-        low = word.lower()
-        if not low.isascii():
-            low = low.encode().decode("latin-1").translate(self.characters)
-        return b"".join([self.bytes[t.id] for t in self.tokenizer.model.tokenize(low)])
+        return b"".join([self.bytes[t.id] for t in self.tokenizer.model.tokenize(self.lowered([word])[0])])
 
     def whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, fresh: list[str]) -> None:
-        words, tails, odd = self.words, self.tails, []
-        table, tokenize, characters = self.bytes, self.tokenizer.model.tokenize, self.characters
-        for w, (stem, tail, _) in zip(fresh, PIECES.findall("\n".join(fresh))):
-            if not stem or not self.direct:
-                odd.append(w)
-                continue
-            low = stem.lower()
-            if not low.isascii():
-                low = low.encode().decode("latin-1").translate(characters)
-            ids = b"".join([table[t.id] for t in tokenize(low)])
-            if tail:
-                if (more := tails.get(tail)) is None:
-                    if len(tails) >= CACHE_WORDS:
-                        tails.clear()
-                    tails[tail] = more = self.whole(tail)
-                ids += more
-            words[w] = ids
+        table, tokenize, odd = self.bytes, self.tokenizer.model.tokenize, fresh
+        if self.direct:
+            letters = [w.rstrip(MARKS) for w in fresh]
+            tails = [w[len(x) :] for w, x in zip(fresh, letters)]
+            others = set(NO_WORD.findall("\n".join(letters)))
+            odd = [w for w, x in zip(fresh, letters) if x in others] if others else []
+            letters = self.lowered(letters)
+            self.stems = remembered(self.stems, set(letters), lambda x: b"".join([table[t.id] for t in tokenize(x)]))
+            self.tails = remembered(self.tails, set(tails), self.whole)
+            self.words.update(zip(fresh, map(bytes.__add__, map(self.stems.__getitem__, letters), map(self.tails.__getitem__, tails))))
         if odd:
             for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-                words[w] = np.array(e.ids, "<u4").tobytes()
+                self.words[w] = np.array(e.ids, "<u4").tobytes()
 
     def forget(self) -> None:
         """Workers live on between tasks; what they remember should not."""
-        self.words, self.tails = {}, {"": b""}
+        self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -154,30 +164,33 @@ def plan_cuts(position: np.ndarray, penalty: np.ndarray, window: int, close: boo
     """
     n = len(position)
     at, cost = position.tolist(), penalty.tolist()
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k < window]
-    exact: dict[int, list[int]] = {}
     number = np.full(at[-1] + 1, -1, np.int32)
     number[position] = np.arange(n)
-    for p in powers:
+    ends, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # of sequences that need no padding
+    for p in [1 << k for k in range(window.bit_length()) if 1 << k < window]:
         found = number[np.maximum(position - p, 0)]
-        for j in np.flatnonzero((position >= p) & (found >= 0)).tolist():
-            exact.setdefault(j, []).append(int(found[j]))
+        ends.append(np.flatnonzero((position >= p) & (found >= 0)))
+        starts.append(found[ends[-1]])
+    ends, starts = np.concatenate(ends), np.concatenate(starts)
+    exact = starts[np.argsort(ends, kind="stable")].tolist()
+    upto = np.cumsum(np.bincount(ends, minlength=n)).tolist()
     best, back = [0.0] * n, [-1] * n
-    queue, keys = deque([0]), deque([0.0])  # boundaries, and what each adds to the cost of a window that starts there
+    queue, keys, head, e = [0], [0.0], 0, 0  # boundaries, and what each adds to the cost of a window that starts there; those before head are too far back
     for j in range(1, n):
         here = at[j]
-        while at[queue[0]] < here - window:
-            queue.popleft()
-            keys.popleft()
-        i, value = queue[0], keys[0] + window - here
-        if j in exact:
-            for k in exact[j]:
+        least = here - window
+        while at[queue[head]] < least:
+            head += 1
+        i, value = queue[head], keys[head] - least
+        if e < upto[j]:
+            for k in exact[e : upto[j]]:
                 if best[k] < value:
                     value, i = best[k], k
+            e = upto[j]
         value += cost[j]
         best[j], back[j] = value, i
         value += here
-        while keys and keys[-1] >= value:
+        while len(keys) > head and keys[-1] >= value:
             keys.pop()
             queue.pop()
         queue.append(j)
