@@ -362,7 +362,8 @@ class Scorer:
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.gates = np.zeros((1 << 12, 6 * HIDDEN), np.float32)
+        # room for all words from the start: pages of zeros take no memory before they are written, a table that grows is there twice
+        self.gates = np.zeros((CACHE_WORDS + PIECE, 6 * HIDDEN), np.float32)
 
     def ids(self, words: list[str]) -> np.ndarray:
         """Numbers of words; the gates of new ones are made at once."""
@@ -373,8 +374,8 @@ class Scorer:
             n = len(self.number)
             if n + len(fresh) > len(self.gates):
                 self.gates = np.concatenate([self.gates, np.zeros((max(n + len(fresh) - len(self.gates), len(self.gates) // 2), 6 * HIDDEN), np.float32)])
-            for a in range(0, len(fresh), 1 << 14):
-                some = fresh[a : a + (1 << 14)]
+            for a in range(0, len(fresh), 1 << 12):
+                some = fresh[a : a + (1 << 12)]
                 self.gates[n + a : n + a + len(some)] = self.net.gates(self.net.vectors(word_rows(some), *gram_rows(some)))
             self.number.update(zip(fresh, range(n, n + len(fresh))))
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
