@@ -238,7 +238,10 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def histogram(grams: np.ndarray) -> bytes:
-    """How many shingles of a set fall into each of a power of two of bins, at least half as many as shingles; 255 stands for 255 or more."""
+    """How many shingles of a set fall into each of a power of two of bins, at least half as many as shingles; 255 stands for 255 or more.
+
+    A looser bound than parities(), which the near copies use, of twice as many bytes.
+    """
     bins = 64
     while 2 * bins < len(grams):
         bins *= 2
@@ -255,6 +258,47 @@ def may_be_similar(a: bytes, b: bytes, similarity: float) -> bool:
     return np.minimum(x, y).sum() >= similarity / (1 + similarity) * (x.sum() + y.sum()) - 1e-9
 
 
+def parities(grams: np.ndarray) -> bytes:
+    """A bit for each of a power of two of bins, at least twice as many as shingles: whether an odd number of the set's shingles falls into it."""
+    bins = 64
+    while bins < 2 * len(grams):
+        bins *= 2
+    return np.packbits(np.bincount(grams & (bins - 1), minlength=bins) & 1).tobytes()
+
+
+class Maps:
+    """The parities of some sets, to tell how far pairs of these are apart at least."""
+
+    def __init__(self, maps, size: np.ndarray):
+        self.size, self.words = size, np.frombuffer(b"".join(maps), np.uint64)
+        self.count = np.fromiter(map(len, maps), np.int64, len(maps)) // 8
+        self.start = np.cumsum(self.count) - self.count
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits in which the maps of i and j differ, the longer map folded to half where it is twice as long; no more than shingles that one set alone has."""
+        swap = self.count[i] < self.count[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        out = np.empty(len(i), np.int64)
+        kind = 2 * self.count[j] + (self.count[i] > self.count[j])
+        for k in np.unique(kind).tolist():
+            chosen, w = np.flatnonzero(kind == k), k // 2
+            for some in np.array_split(chosen, 1 + len(chosen) * w // (1 << 19)):
+                at = self.start[i[some]][:, None] + np.arange(w)
+                both = self.words[at] ^ self.words[self.start[j[some]][:, None] + np.arange(w)]
+                out[some] = np.bitwise_count(both ^ self.words[at + w] if k & 1 else both).sum(1)
+        return out
+
+    def share(self, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+        """What the sets of each pair differ in at least, as a share of what the similarity allows; infinite where it is over one. No similar pair is ruled out."""
+        n, m = self.size[i], self.size[j]
+        out = np.full(len(i), np.inf)
+        fit = np.flatnonzero(np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
+        most = (1 - similarity) / (1 + similarity) * (n + m)[fit] + 1e-9
+        share = self.apart(i[fit], j[fit]) / most
+        out[fit] = np.where(share <= 1, share, np.inf)
+        return out
+
+
 def possible(i: np.ndarray, n: np.ndarray, j: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sets of n and m shingles whose first common one is at places i and j can have the similarity."""
     return np.minimum(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - 1e-9
@@ -281,12 +325,15 @@ def run_starts(key: np.ndarray) -> np.ndarray:
 
 
 PLACE = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("pos", pa.int64()), ("size", pa.int64())])
+SHARED = PLACE.append(pa.field("n", pa.int64()))
 #: Texts of the sample that says which shingles are common; it steers the order only, not which links are found.
 ORDER_SAMPLE = 4000
 #: Sets under a shingle of their prefixes from which it is put behind all others, and how often the order is mended so.
 CROWD, MENDS = 256, 2
 #: Partners by chance of a set under each shingle of its prefix, before all pairs that are left are compared.
 DRAWS = 8
+#: Sets under a shingle from which their maps go there, so that only pairs leave that these don't rule out; and how many partners are drawn there.
+LONG, LONG_DRAWS = 32, 32
 #: Bits of the maps that tell most texts of no pair before they are shingled again, and most rows that stay before they meet those that go.
 MAP_BITS = 1 << 25
 
@@ -377,7 +424,7 @@ def reordered(rows: DataFrame, texts: DataFrame, common, hot: np.ndarray, simila
 
 
 def shared_places(rows: DataFrame) -> DataFrame:
-    """(key, node, pos, size): of rows(node, size, keys), the keys that more than one node has."""
+    """(key, node, pos, size, n): of rows(node, size, keys), the keys that more than one node has, and how many have it."""
 
     def places(parts):
         seen = set()
@@ -398,23 +445,28 @@ def shared_places(rows: DataFrame) -> DataFrame:
             columns = [c[fresh] for c in columns]
             starts = run_starts(columns[0])
             n = np.diff(np.append(starts, len(columns[0])))
-            more = np.repeat(n > 1, n)
-            yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in columns], schema=PLACE)
+            n = np.repeat(n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(c[n > 1]) for c in (*columns, n)], schema=SHARED)
 
     ddl = "key long, node long, pos long, size long"
-    return rows.select("node", "size", "keys").mapInArrow(places, ddl).repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared, ddl)
+    return rows.select("node", "size", "keys").mapInArrow(places, ddl).repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared, ddl + ", n long")
 
 
-def first_pairs(columns: list[np.ndarray], similarity: float):
-    """In each run one set against all others; in long runs, which one changes with the key."""
-    key, node, pos, size = columns[:4]
+def leads(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all sets but one of each run, and of that one; in long runs, which one it is changes with the key."""
     starts = run_starts(key)
     n = np.diff(np.append(starts, len(key)))
     mixed = (node ^ ((key & 7) * 0x1E3779B97F4A7C15)) * 0x2545F4914F6CDD1D
     mixed = np.where(np.repeat(n > 16, n), mixed, node)
     lead = np.repeat(np.lexsort((mixed, np.repeat(np.arange(len(n)), n)))[starts], n)
-    ok = (lead != np.arange(len(key))) & possible(pos, size, pos[lead], size[lead], similarity)
-    yield node[ok], node[lead[ok]]
+    i = np.flatnonzero(lead != np.arange(len(key)))
+    return i, lead[i]
+
+
+def first_pairs(columns: list[np.ndarray], similarity: float):
+    """In each run one set against all others."""
+    key, node, pos, size = columns[:4]
+    yield from open_pairs(None, *leads(key, node), node, pos, size, similarity)
 
 
 def mixed(x: np.ndarray, k: int) -> np.ndarray:
@@ -441,17 +493,64 @@ def some_pairs(columns: list[np.ndarray], similarity: float):
     yield from chance_pairs(columns, similarity)
 
 
+def drawn_pairs(columns: list[np.ndarray], similarity: float, draws: int = LONG_DRAWS):
+    """In each run, of one set against all others and of each against some drawn by hash, pairs that the sets' maps leave open.
+
+    Of its draws a set keeps the first two and the nearest: those connect a group at large, this one a set that few others are near to.
+    """
+    key, node, pos, size, maps = columns
+    held, all_sets = Maps(maps, size), np.arange(len(key))
+    yield from open_pairs(held, *leads(key, node), node, pos, size, similarity)
+    starts = run_starts(key)
+    n = np.diff(np.append(starts, len(key)))
+    found, least, nearest = np.zeros(len(key), np.int64), np.full(len(key), np.inf), all_sets.copy()
+    for draw in range(draws):
+        drawn = np.repeat(starts, n) + (mixed(node ^ key, draw) % np.repeat(n, n).astype(np.uint64)).astype(np.int64)
+        i = np.flatnonzero((node != node[drawn]) & possible(pos, size, pos[drawn], size[drawn], similarity))
+        share = held.share(i, drawn[i], similarity)
+        nearer = share < least[i]
+        least[i[nearer]], nearest[i[nearer]] = share[nearer], drawn[i[nearer]]
+        i = i[np.isfinite(share)]
+        found[i] += 1
+        i = i[found[i] <= 2]
+        yield node[i], node[drawn[i]]
+    i = np.flatnonzero(np.isfinite(least))
+    yield node[i], node[nearest[i]]
+
+
+def open_pairs(held: Maps | None, i: np.ndarray, j: np.ndarray, node: np.ndarray, pos: np.ndarray, size: np.ndarray, similarity: float):
+    """Those of the pairs of places that their places, and the sets' maps if there are any, leave open."""
+    ok = possible(pos[i], size[i], pos[j], size[j], similarity)
+    i, j = i[ok], j[ok]
+    if held is not None:
+        ok = np.isfinite(held.share(i, j, similarity))
+        i, j = i[ok], j[ok]
+    yield node[i], node[j]
+
+
 def other_pairs(columns: list[np.ndarray], similarity: float):
-    """In each run all pairs of sets that have different roots."""
-    key, node, pos, size, root = columns
+    """In each run all pairs of sets that have different roots, if the sets' maps, where a sixth column has them, leave them open."""
+    key, root = columns[0], columns[4]
     starts = run_starts(key)
-    several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-    ends = np.append(starts[1:], len(key))
-    for a, b in zip(starts[several].tolist(), ends[several].tolist()):
-        values, counts = np.unique(root[a:b], return_counts=True)
-        for i in (a + np.flatnonzero(root[a:b] != values[counts.argmax()])).tolist():
-            ok = (root[a:b] != root[i]) & possible(pos[a:b], size[a:b], pos[i], size[i], similarity)
-            yield node[a:b][ok], np.full(int(ok.sum()), node[i])
+    n = np.diff(np.append(starts, len(key)))
+    several = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), n)
+    n = np.repeat(n, n)
+    held = Maps(columns[5], columns[3]) if len(columns) > 5 else None
+    short = np.flatnonzero(several & (n < LONG))
+    for step in range(1, LONG):  # each set and the one so many places further
+        short = short[n[short] > step]
+        i = short[: np.searchsorted(short, len(key) - step)]
+        i = i[(key[i] == key[i + step]) & (root[i] != root[i + step])]
+        yield from open_pairs(held, i, i + step, *columns[1:4], similarity)
+    long = starts[several[starts] & (n[starts] >= LONG)]
+    for a, m in zip(long.tolist(), n[long].tolist()):
+        own = root[a : a + m]
+        values, inverse, counts = np.unique(own, return_inverse=True, return_counts=True)
+        most = inverse == counts.argmax()
+        apart = np.flatnonzero(~most)
+        for some in np.array_split(apart, 1 + len(apart) * m // (1 << 18)):
+            i, j = np.nonzero((own[some][:, None] != own) & (most | (np.arange(m) > some[:, None])))
+            yield from open_pairs(held, a + some[i], a + j, *columns[1:4], similarity)
 
 
 def hash_map(wanted: DataFrame):
@@ -505,15 +604,17 @@ def told_apart(df: DataFrame, clashes: DataFrame) -> DataFrame:
 
 
 def only_possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs that the histograms in nodes(node, bins) leave open."""
+    """Those of the pairs that the maps in nodes(node, size, maps) leave open."""
 
     def run(parts):
         for part in parts:
-            a, b = part.column(2).to_pylist(), part.column(3).to_pylist()
-            yield part.select([0, 1]).filter(pa.array([may_be_similar(x, y, similarity) for x, y in zip(a, b)], pa.bool_()))
+            k = part.num_rows
+            maps = part.column(3).to_pylist() + part.column(5).to_pylist()
+            held = Maps(maps, np.concatenate([part.column(2).to_numpy(), part.column(4).to_numpy()]))
+            yield part.select([0, 1]).filter(pa.array(np.isfinite(held.share(np.arange(k), np.arange(k, 2 * k), similarity))))
 
-    side = lambda node, bins: nodes.select(F.col("node").alias(node), F.col("bins").alias(bins))
-    return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    side = lambda node, n, maps: nodes.select(F.col("node").alias(node), F.col("size").alias(n), F.col("maps").alias(maps))
+    return pairs.join(side("u", "n", "a"), "u").join(side("v", "m", "b"), "v").select("u", "v", "n", "a", "m", "b").mapInArrow(run, "u long, v long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, clashes: DataFrame, similarity: float) -> DataFrame:
@@ -545,19 +646,27 @@ def pairs_in_runs(places: DataFrame, pairs_of, similarity: float) -> DataFrame:
 
 
 def similar_roots(rows: DataFrame, texts: DataFrame, nodes: DataFrame, clashes: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) over all links of at least that Jaccard similarity; nodes(node, h, fp, bins) has a text's hash for each set.
+    """(node, root) over all links of at least that Jaccard similarity; nodes(node, h, fp, size, maps) has a text's hash for each set.
 
     Candidates come from the BK-trees over the sets' fingerprints. No radius that prunes reaches every pair of that
     similarity, so sets also meet under a shingle of their prefixes, which loses none: there one is compared with all
     others, and each with DRAWS drawn by chance, and then all pairs that the links so far leave in different components.
     So a large group of near copies costs no square of its size, as nearly all of it is connected before the second step.
-    Every pair is verified on the sets themselves.
+    Where LONG sets or more meet, their maps are there, and pairs that these rule out, nearly all that aren't links, are
+    never made. Every pair is verified on the sets themselves.
     """
     places = checkpointed(shared_places(rows))
-    links = verified(fingerprint_pairs(nodes).union(pairs_in_runs(places, some_pairs, similarity)), texts, nodes, clashes, similarity)
+    few = places.where(F.col("n") < LONG).drop("n")
+    many = checkpointed(places.where(F.col("n") >= LONG).drop("n").join(nodes.select("node", "maps"), "node").select("key", "node", "pos", "size", "maps"))
+    first = fingerprint_pairs(nodes).union(pairs_in_runs(few, some_pairs, similarity)).union(pairs_in_runs(many, drawn_pairs, similarity))
+    links = verified(first, texts, nodes, clashes, similarity)
     roots = components(links)
-    rooted = places.join(roots, "node", "left").select("key", "node", "pos", "size", F.coalesce("root", "node").alias("root"))
-    rest = verified(pairs_in_runs(rooted, other_pairs, similarity), texts, nodes, clashes, similarity)
+
+    def rooted(met: DataFrame, *more: str) -> DataFrame:
+        return met.join(roots, "node", "left").select("key", "node", "pos", "size", F.coalesce("root", "node").alias("root"), *more)
+
+    left = pairs_in_runs(rooted(few), other_pairs, similarity).union(pairs_in_runs(rooted(many, "maps"), other_pairs, similarity))
+    rest = verified(left, texts, nodes, clashes, similarity)
     return roots if rest.isEmpty() else components(links.union(rest))
 
 
@@ -598,7 +707,7 @@ def without(df: DataFrame, gone: DataFrame, doc_id: Column, h: Column) -> DataFr
 
 def near_duplicate_rows(df: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, bool]:
     """(doc_id, h) of the rows that go, h hashing the text, and whether an id has a text twice."""
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("bins", pa.binary()), ("keys", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("maps", pa.binary()), ("keys", pa.binary())])
     docs = documents_of(df, id_col, text_col).withColumn("h", F.xxhash64("text"))
     texts = docs.select("h", "text")
     order = common_grams(texts)
@@ -607,13 +716,13 @@ def near_duplicate_rows(df: DataFrame, id_col: str, text_col: str, similarity: f
     def described(doc_id: int | None, text: str, h: int) -> tuple:
         hashes = shingle_hashes(text, SIMILAR_WIDTH)
         grams = gram_set(hashes)
-        return doc_id, h, *node_of(grams.tobytes()), len(grams), fingerprint_of(hashes), histogram(grams), prefix(grams, *common.value, similarity).tobytes()
+        return doc_id, h, *node_of(grams.tobytes()), len(grams), fingerprint_of(hashes), parities(grams), prefix(grams, *common.value, similarity).tobytes()
 
     def run(parts):
         for part in parts:
             yield from batches(schema, (described(*r) for r in zip(*(c.to_pylist() for c in part.columns))), 1024)
 
-    rows = checkpointed(docs.mapInArrow(run, "doc_id long, h long, node long, other long, size long, fp long, bins binary, keys binary"))
+    rows = checkpointed(docs.mapInArrow(run, "doc_id long, h long, node long, other long, size long, fp long, maps binary, keys binary"))
     for _ in range(MENDS):
         hot = crowded(rows)
         if not len(hot[0]):
@@ -623,8 +732,8 @@ def near_duplicate_rows(df: DataFrame, id_col: str, text_col: str, similarity: f
     clashes = rows.groupBy("node").agg(F.min("other").alias("least_other"), F.max("other").alias("last")).where("least_other < last").select("node", "least_other")
     rows = told_apart(rows, clashes)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
-    nodes = checkpointed(rows.groupBy("node").agg(least.alias("least"), F.min("fp").alias("fp"), F.first("bins").alias("bins")))
-    roots = similar_roots(rows, texts, nodes.select("node", F.col("least.h").alias("h"), "fp", "bins"), clashes, similarity)
+    nodes = checkpointed(rows.groupBy("node").agg(least.alias("least"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("maps").alias("maps")))
+    roots = similar_roots(rows, texts, nodes.select("node", F.col("least.h").alias("h"), "fp", "size", "maps"), clashes, similarity)
     rooted = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("own_id"), F.col("least.h").alias("own_h"))
     ids = rows.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
