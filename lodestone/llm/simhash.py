@@ -352,10 +352,10 @@ def common_grams(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["g"].to_numpy(), found["n"].to_numpy()
 
 
-def crowded(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def crowded(rows: DataFrame, among=None) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, counts), by shingle, of those that stand in the prefixes of very many sets: more than CROWD, and than a millionth of all places.
 
-    So there are at most 2^20 of them. Equal sets count once in a task.
+    So there are at most 2^20 of them. Equal sets count once in a task. Only shingles in the map `among`, if there is one, are counted.
     """
     places = rows.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0)).alias("n")).first()["n"] // 8
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
@@ -364,7 +364,10 @@ def crowded(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         seen, held, size = set(), [], 0
 
         def batch():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            keys = np.concatenate(held)
+            if among is not None:
+                keys = keys[mapped(keys, among.value)]
+            keys, n = np.unique(keys, return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], schema=schema)
 
         for part in parts:
@@ -393,10 +396,21 @@ def raised(common: tuple[np.ndarray, np.ndarray], hot: tuple[np.ndarray, np.ndar
     return keys, value
 
 
-def reordered(rows: DataFrame, texts: DataFrame, common, hot: np.ndarray, similarity: float) -> DataFrame:
-    """rows with new prefixes, by the order `common`, where the old ones hold one of the shingles that it puts further back.
+def shingle_map(fresh: DataFrame):
+    """A broadcast map of the shingles in fresh(h, keys)."""
 
-    The prefix of any other set is the same under both orders, as putting back what isn't in it changes nothing.
+    def run(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(b"".join(part.column(0).to_pylist()), np.int64)))], names=["h"])
+
+    return hash_map(fresh.select("keys").mapInArrow(run, "h long"))
+
+
+def reordered(rows: DataFrame, texts: DataFrame, common, hot: np.ndarray, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """rows with new prefixes, by the order `common`, where the old ones hold one of the shingles that it puts further back; first (h, keys) of these.
+
+    The prefix of any other set is the same under both orders, as putting back what isn't in it changes nothing. So a shingle
+    that no new prefix has stands in no more prefixes than before.
     """
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast((*common, hot))
@@ -419,8 +433,8 @@ def reordered(rows: DataFrame, texts: DataFrame, common, hot: np.ndarray, simila
             if some:
                 yield to_batch(schema, [(h, prefix(gram_set(shingle_hashes(text, SIMILAR_WIDTH)), keys, counts, similarity).tobytes()) for h, text in some])
 
-    fresh = texts.mapInArrow(renewed, "h long, keys binary").groupBy("h").agg(F.first("keys").alias("keys"))
-    return checkpointed(marked.where("not touched").drop("touched").unionByName(again.drop("keys").join(fresh, "h")))
+    fresh = checkpointed(texts.mapInArrow(renewed, "h long, keys binary").groupBy("h").agg(F.first("keys").alias("keys")))
+    return fresh, checkpointed(marked.where("not touched").drop("touched").unionByName(again.drop("keys").join(fresh, "h")))
 
 
 def shared_places(rows: DataFrame) -> DataFrame:
@@ -563,14 +577,19 @@ def hash_map(wanted: DataFrame):
     return wanted.sparkSession.sparkContext.broadcast(bits.ravel())
 
 
+def mapped(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the map has these hashes."""
+    p = h % MAP_BITS
+    return (bits[p >> 3] >> (p & 7) & 1).astype(bool)
+
+
 def chosen_texts(parts, bits: np.ndarray):
     """For each batch of (h, text) the (h, text) in the map, each hash once in a task."""
     seen = set()
     for part in parts:
         h = part.column(0).to_numpy()
-        p = h % MAP_BITS
         out = []
-        for i in np.flatnonzero(bits[p >> 3] >> (p & 7) & 1).tolist():
+        for i in np.flatnonzero(mapped(h, bits)).tolist():
             if int(h[i]) not in seen:
                 seen.add(int(h[i]))
                 out.append((int(h[i]), part.column(1)[i].as_py()))
@@ -723,12 +742,13 @@ def near_duplicate_rows(df: DataFrame, id_col: str, text_col: str, similarity: f
             yield from batches(schema, (described(*r) for r in zip(*(c.to_pylist() for c in part.columns))), 1024)
 
     rows = checkpointed(docs.mapInArrow(run, "doc_id long, h long, node long, other long, size long, fp long, maps binary, keys binary"))
+    fresh = None
     for _ in range(MENDS):
-        hot = crowded(rows)
+        hot = crowded(rows, None if fresh is None else shingle_map(fresh))
         if not len(hot[0]):
             break
         order = raised(order, hot)
-        rows = reordered(rows, texts, order, hot[0], similarity)
+        fresh, rows = reordered(rows, texts, order, hot[0], similarity)
     clashes = rows.groupBy("node").agg(F.min("other").alias("least_other"), F.max("other").alias("last")).where("least_other < last").select("node", "least_other")
     rows = told_apart(rows, clashes)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))

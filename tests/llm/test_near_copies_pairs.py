@@ -71,3 +71,20 @@ def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     kept = {x["doc_id"] for x in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
     assert kept == set(root)
     assert pairs[-1] < 3000 and sum(pairs) < 15_000  # 15 352 and 28 178 where the rest met the whole group
+
+
+def test_only_shingles_of_new_prefixes_are_counted_again(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 10)
+    line = " ".join(f"licence{i}" for i in range(40))
+    texts = [(k, f"{line} " + " ".join(f"a{k}x{i}" for i in range(12))) for k in range(40)] + [(1000 + k, " ".join(f"b{k}x{i}" for i in range(60))) for k in range(200)]
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    sets = [(h, simhash.gram_set(simhash.shingle_hashes(t, 5))) for h, t in texts]
+    rows = spark.createDataFrame([(h, h, bytearray(simhash.prefix(g, *none, 0.8).tobytes())) for h, g in sets], "node long, h long, keys binary").repartition(4)
+    hot = simhash.crowded(rows)
+    fresh, again = simhash.reordered(rows, spark.createDataFrame(texts, "h long, text string"), simhash.raised(none, hot), hot[0], 0.8)
+    among = simhash.shingle_map(fresh)
+    assert len(hot[0]) and again.count() == 240
+    whole, part = simhash.crowded(again), simhash.crowded(again, among)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, part))
+    assert simhash.mapped(np.concatenate([g for h, g in sets if h >= 1000]), among.value).mean() < 0.01
+    assert simhash.mapped(np.frombuffer(b"".join(bytes(r["keys"]) for r in fresh.collect()), np.int64), among.value).all()
